@@ -12,16 +12,22 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm.common import prepare, stored
 
-TREES, TREE_ROWS = 100, 256
-#: The forest is grown from this many documents at most, those of smallest hashed id.
+TREES, TREE_ROWS, DEPTH = 100, 256, 10
+#: The forest is grown from this many documents labelled good at most, those of smallest hashed id. Bad ones come in
+#: clusters, which a forest grown among them would take for normal.
 FIT_ROWS = 8192
+#: With fewer rows labelled good, unlabelled ones are taken too.
+LEAST_FIT_ROWS = 64
 #: The threshold may reject at most this share of the labelled good documents.
 MOST_GOOD_LOST = 0.005
 SCORE_BINS = 1000
 MIN_WORDS = 50
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-FEATURES = ["log_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "distinct_share", "long_word_share", "line_words"]
-_NOT_SYMBOL = {i: None for i in range(128) if chr(i) not in "#*$%&|<>"}
+FEATURES = ["word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "mark_share", "digit_share", "long_word_share"]
+_UPPER = bytes(range(65, 91))
+_DIGITS = b"0123456789"
+#: ASCII punctuation but for what ends clauses and joins words.
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'-")
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -53,8 +59,9 @@ def text_statistics(text: str | None) -> list[float]:
     lines = [x for x in raw.split(b"\n") if not x.isspace() and x]
     dup_lines = len(lines) - len(set(lines))
     repeats = repeated_words(words)
+    share = lambda kind: (len(raw) - len(raw.translate(None, kind))) / chars
     long_words = sum(1 for w in words if len(w) > 24)
-    return [n, chars, symbols, dup_lines, repeats, math.log1p(n), chars / n, symbols / chars, dup_lines / max(1, len(lines)), repeats / n, len(set(words)) / math.sqrt(n), long_words / n, math.log1p(n / max(1, len(lines)))]
+    return [n, chars, symbols, dup_lines, repeats, chars / n, symbols / chars, dup_lines / max(1, len(lines)), repeats / n, share(_UPPER), share(_MARKS), share(_DIGITS), long_words / n]
 
 
 def quality_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,28 +85,32 @@ def _depth_left(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def grow_forest(rows: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 7) -> dict[str, np.ndarray]:
-    """Isolation trees as arrays [tree, node]: feature (-1: leaf), cut, left child (right: + 1), path length at a leaf."""
+def grow_forest(rows: np.ndarray, reach: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, depth: int = DEPTH, seed: int = 7) -> dict[str, np.ndarray]:
+    """Isolation trees as arrays [tree, node]: feature (-1: leaf), cut, left child (right: + 1), path length at a leaf.
+
+    Cuts are drawn within the box that ``reach`` (rows of all sorts) spans, not within the fitted rows' own range: a rule
+    that hardly any good document breaks has no range there, and its breakers must end in an empty branch at once.
+    """
     rng = np.random.default_rng(seed)
     size = min(tree_rows, len(rows))
-    most = max(1, math.ceil(math.log2(max(2, size))))
-    room = 2 * size + 1
+    room = 2 ** (depth + 1)
     out = {"feature": np.full((trees, room), -1, np.int16), "cut": np.zeros((trees, room)), "left": np.zeros((trees, room), np.int32), "path": np.zeros((trees, room)), "scale": np.array(_depth_left(size) or 1.0)}
+    low, high = reach.min(axis=0), reach.max(axis=0)
     for t in range(trees):
-        todo, used = [(0, rng.choice(len(rows), size, replace=False), 0)], 1
+        todo, used = [(0, rng.choice(len(rows), size, replace=False), 0, low, high)], 1
         while todo:
-            node, own, depth = todo.pop()
-            spread = np.ptp(rows[own], axis=0)
-            open_features = np.flatnonzero(spread > 0)
-            if depth >= most or len(own) <= 1 or not len(open_features):
-                out["path"][t, node] = depth + _depth_left(len(own))
+            node, own, at, lo, hi = todo.pop()
+            features = np.flatnonzero(hi > lo)
+            if at >= depth or len(own) <= 1 or not len(features):
+                out["path"][t, node] = at + _depth_left(len(own))
                 continue
-            f = rng.choice(open_features)
-            low = rows[own, f].min()
-            cut = low + spread[f] * rng.uniform(0.0, 1.0)
+            f = rng.choice(features)
+            cut = rng.uniform(lo[f], hi[f])
             side = rows[own, f] <= cut
             out["feature"][t, node], out["cut"][t, node], out["left"][t, node] = f, cut, used
-            todo += [(used, own[side], depth + 1), (used + 1, own[~side], depth + 1)]
+            below, above = hi.copy(), lo.copy()
+            below[f] = above[f] = cut
+            todo += [(used, own[side], at + 1, lo, below), (used + 1, own[~side], at + 1, above, hi)]
             used += 2
     return out
 
@@ -153,16 +164,22 @@ def quality_forest(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     ``labels`` has doc_id and quality (1 good, 0 bad; other values do not count). Returns doc_id, BASE, base_failed
     (under 50 words, or over half of the words repeat), kept (false if base_failed, else the forest's verdict), score.
 
-    The forest is fitted on ``fit_rows`` rows at most, of the smallest hashed ids among those that pass the base rules;
+    The forest is fitted on ``fit_rows`` rows at most, of the smallest hashed ids among those labelled good that pass the
+    base rules (of all that pass, where hardly any are labelled);
     statistics, scores and the calibration cover all rows. A null or empty text fails the base rules. With no row to fit
     on, or no labels of both kinds, the base rules alone decide. Repeated rows are judged one by one.
     """
     stats = stored(quality_statistics(docs, id_col, text_col), "quality")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed)
-    chosen = stats.where(~F.col("base_failed")).orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(fit_rows).select(*FEATURES).toPandas().to_numpy(float)
-    scored = score_documents(stats, grow_forest(chosen) if len(chosen) > 1 else None)
     marks = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    passing = stats.where(~F.col("base_failed"))
+    good = passing.join(marks.where("quality = 1"), "doc_id", "left_semi")
+    sample = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(fit_rows).select(*FEATURES).toPandas().to_numpy(float)
+    chosen = sample(good)
+    reach = sample(passing)
+    chosen = chosen if len(chosen) >= LEAST_FIT_ROWS else reach
+    scored = score_documents(stats, grow_forest(chosen, reach) if len(chosen) > 1 else None)
     threshold = calibrated_threshold(scored.where(~F.col("base_failed")).select("doc_id", "score"), marks)
     kept = ~F.col("base_failed") & (F.col("score") < threshold)
     return scored.select("doc_id", *BASE, "base_failed", kept.alias("kept"), "score")
