@@ -136,6 +136,20 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity: int, k: int) -> Da
     return met.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
 
 
+def lone_counts(texts: DataFrame, k: int) -> DataFrame:
+    """(id, alone): how many shingles of a text stand in no other one of ``texts``, for texts that have such."""
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _WordHashes()
+        with np.errstate(over="ignore"):
+            for pdf in batches:
+                yield pd.DataFrame({"id": pdf["id"], "h": [shingle_hashes(text_words(t), known, k).view(np.int64) for t in pdf["text"]]})
+
+    rows = texts.select("id", "text").mapInPandas(hashed, "id long, h array<long>").select("id", F.explode("h").alias("h"))
+    counts = rows.groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("c"))
+    return counts.where("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, shingle_words: int = SHINGLE_WORDS, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of their word shingles of ``similarity`` percent or more.
 
@@ -146,7 +160,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts of equal words form a class, of which the smallest id alone is banded. Of each band bucket every member is
     checked against the bucket's smallest id on full sets, so a bucket of m copies costs m checks. In buckets that this
     leaves in several components, every member outside the most frequent one is checked against all members of other
-    components, so no link that a shared band offers is lost; sizes too far apart to reach the similarity are passed by.
+    components, so no link that a shared band offers is lost. Passed by without a check are pairs that cannot reach the
+    similarity: their sizes are too far apart, or too many shingles of one stand in no other open text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     all_rows = stored(sketched(rows, bands, band_rows, shingle_words), "sketch")
@@ -167,10 +182,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(parts, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     mixed_buckets = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     open_rows = stored(placed.join(mixed_buckets, "key", "left_semi"), "open")
+    # Shingles that no other open text has cannot be shared: they bound what any two sets have in common.
+    alone = lone_counts(texts.join(open_rows.select("id").distinct(), "id", "left_semi"), shingle_words)
+    open_rows = open_rows.join(alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
+    open_rows = stored(open_rows.where(100 * F.col("common") >= similarity * F.col("n")).select("key", "id", "n", "common", "component"), "open")
     counts = open_rows.groupBy("key", "component").agg(F.count("*").alias("c"))
     most = counts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("most"))
-    minor = open_rows.join(most, "key").where("component <> most").select("key", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("component").alias("of_x"))
-    crossed = minor.join(open_rows, "key").where((F.col("component") != F.col("of_x")) & near_size(F.col("n"), F.col("n_x")))
+    minor = open_rows.join(most, "key").where("component <> most").select("key", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("common").alias("common_x"), F.col("component").alias("of_x"))
+    enough = (100 + similarity) * F.least("common", "common_x") >= similarity * (F.col("n") + F.col("n_x"))
+    crossed = minor.join(open_rows, "key").where((F.col("component") != F.col("of_x")) & near_size(F.col("n"), F.col("n_x")) & enough)
     crossed = crossed.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
     more = confirmed(crossed.join(links, ["a", "b"], "left_anti"), texts, similarity, shingle_words)
     parts = stored(connected_components(links.unionByName(more)), "parts")
