@@ -56,8 +56,8 @@ register(
 )
 _CHI = """, o AS (SELECT {a} AS x, is_fake AS y, count(*) AS o FROM s GROUP BY ALL), e AS (SELECT x, y, sum(o) AS nx FROM o GROUP BY ALL),
 xs AS (SELECT x, sum(o) AS nx FROM o GROUP BY x), ys AS (SELECT y, sum(o) AS ny FROM o GROUP BY y), z AS (SELECT count(*) AS r, sum(nx) AS n, (SELECT count(*) FROM ys) AS k FROM xs),
-t AS (SELECT abs(coalesce(o.o, 0) - nx * ny / n) AS gap, nx * ny / n AS e, (r - 1) * (k - 1) AS dof, n, least(r, k) AS l FROM xs CROSS JOIN ys CROSS JOIN z LEFT JOIN o ON o.x = xs.x AND o.y = ys.y)
-SELECT round(sum(power(CASE WHEN dof = 1 THEN gap - least(gap, 0.5) ELSE gap END, 2) / e), 6) AS chi2, dof, round(sqrt(sum(power(CASE WHEN dof = 1 THEN gap - least(gap, 0.5) ELSE gap END, 2) / e) / (n * (l - 1))), 6) AS cramers_v FROM t GROUP BY dof, n, l"""
+g9 AS (SELECT abs(coalesce(o.o, 0) - nx * ny / n) AS gap, nx * ny / n AS e, (r - 1) * (k - 1) AS dof, n, least(r, k) AS l FROM xs CROSS JOIN ys CROSS JOIN z LEFT JOIN o ON o.x = xs.x AND o.y = ys.y)
+SELECT round(sum(power(CASE WHEN dof = 1 THEN gap - least(gap, 0.5) ELSE gap END, 2) / e), 6) AS chi2, dof, round(sqrt(sum(power(CASE WHEN dof = 1 THEN gap - least(gap, 0.5) ELSE gap END, 2) / e) / (n * (l - 1))), 6) AS cramers_v FROM g9 GROUP BY dof, n, l"""
 register("ts01", lambda s, d: rounded(stats.chi_square(_scored(s, d), "rating", "is_fake")), _S + _CHI.format(a="rating"))
 register("ts01_yates", lambda s, d: rounded(stats.chi_square(_scored(s, d), "extreme_rating", "is_fake")), _S + _CHI.format(a="extreme_rating"))
 register(
