@@ -109,7 +109,7 @@ def _concentration(s, d):
     return rounded(ranked.agg(*[(F.sum(F.when(F.col("k") <= F.ceil(F.col("n") * p), F.col("c"))) / F.sum("c")).alias(a) for p, a in ((0.01, "top1_share"), (0.1, "top10_share"))]))
 
 
-register("ag12", _concentration, _F + ", c AS (SELECT count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, prod_id) AS k, count(*) OVER () AS n FROM r GROUP BY prod_id) SELECT round(sum(c) FILTER (k <= ceil(n * 0.01)) / sum(c), 6) AS top1_share, round(sum(c) FILTER (k <= ceil(n * 0.1)) / sum(c), 6) AS top10_share FROM c")
+register("ag12", _concentration, _F + ", g9 AS (SELECT count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, prod_id) AS k, count(*) OVER () AS n FROM r GROUP BY prod_id) SELECT round(sum(c) FILTER (k <= ceil(n * 0.01)) / sum(c), 6) AS top1_share, round(sum(c) FILTER (k <= ceil(n * 0.1)) / sum(c), 6) AS top10_share FROM g9")
 register("ag13", lambda s, d: standardize(reviews(s, d)).agg(F.count_distinct("user_id").alias("users"), F.count_distinct("prod_id").alias("products")), _F + " SELECT count(DISTINCT user_id) AS users, count(DISTINCT prod_id) AS products FROM r")
 _POINTS = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 register("ag14", lambda s, d: rounded(features(s, d).agg(*[F.percentile("word_len", p).alias(f"q{int(p * 100)}") for p in _POINTS])), _F + " SELECT " + ", ".join(f"round(quantile_cont(word_len, {p}), 6) AS q{int(p * 100)}" for p in _POINTS) + " FROM f")
@@ -121,7 +121,7 @@ def _entropy(s, d):
     return rounded(c.select("prod_id", p.alias("p")).groupBy("prod_id").agg((-F.sum(F.col("p") * F.log2("p"))).alias("rating_entropy")))
 
 
-register("ag15", _entropy, _F + ", c AS (SELECT prod_id, count(*) / sum(count(*)) OVER (PARTITION BY prod_id) AS p FROM r GROUP BY prod_id, rating) SELECT prod_id, round(-sum(p * log2(p)), 6) AS rating_entropy FROM c GROUP BY prod_id")
+register("ag15", _entropy, _F + ", g9 AS (SELECT prod_id, count(*) / sum(count(*)) OVER (PARTITION BY prod_id) AS p FROM r GROUP BY prod_id, rating) SELECT prod_id, round(-sum(p * log2(p)), 6) AS rating_entropy FROM g9 GROUP BY prod_id")
 register(
     "ag16",
     lambda s, d: rounded(standardize(reviews(s, d)).groupBy("user_id", "prod_id").agg(F.count("*").alias("n"), F.datediff(F.max("date"), F.min("date")).alias("span_days")).where("n > 1")),
