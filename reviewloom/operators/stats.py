@@ -100,3 +100,31 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     fixed = F.when(F.col("dof") == 1, gap - F.least(gap, F.lit(0.5))).otherwise(gap)
     s = t.groupBy("dof", "n", "r", "k").agg(F.sum(fixed * fixed / F.col("e")).alias("chi2"))
     return s.select("chi2", "dof", F.sqrt(F.col("chi2") / (F.col("n") * (F.least("r", "k") - 1))).alias("cramers_v"))
+
+
+def feature_screen(df: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """Pearson and Spearman correlation with a 0/1 label, and the AUC, of each column.
+
+    One pass counts rows per column and value; ranks and sums are taken over these counts.
+    """
+    long = df.select(F.col(label).alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x"))
+    counts = long.groupBy("x.feature", "x.v").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
+    upto = F.sum("n").over(Window.partitionBy("feature").orderBy("v"))
+    ranked = counts.withColumn("k", upto - F.col("n") + (F.col("n") + 1) / 2)
+    n, p = F.sum("n"), F.sum("p")
+
+    def correlation(x: str):
+        s, ss, sy = F.sum(F.col("n") * F.col(x)), F.sum(F.col("n") * F.col(x) * F.col(x)), F.sum(F.col("p") * F.col(x))
+        return (n * sy - s * p) / F.sqrt((n * ss - s * s) * (n * p - p * p))
+
+    auc = (F.sum(F.col("p") * F.col("k")) - p * (p + 1) / 2) / (p * (n - p))
+    return ranked.groupBy("feature").agg(correlation("v").alias("pearson"), correlation("k").alias("spearman"), auc.alias("auc"))
+
+
+def odds_table(df: DataFrame, flags: list[str], label: str) -> DataFrame:
+    """``odds_ratio`` of several flags in one pass."""
+    long = df.select(F.col(label).alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in flags])).alias("x"))
+    on, real = F.col("x.v") == 1, F.col("y") == 1
+    t = long.groupBy("x.feature").agg(F.count_if(on & real).alias("a"), F.count_if(on & ~real).alias("b"), F.count_if(~on & real).alias("c"), F.count_if(~on & ~real).alias("d"))
+    a, b, c, d = (F.col(x) for x in "abcd")
+    return t.select("feature", ((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))).alias("odds_ratio"), (a / F.greatest(a + b, F.lit(1))).alias("rate_on"), (c / F.greatest(c + d, F.lit(1))).alias("rate_off"))
