@@ -49,7 +49,7 @@ register(
     lambda s, d: anchors.segmented_anchors(_nodes(s, d), "user_id", 5),
     _F + """, g AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date, review_id) - 1 AS pos FROM r), g1 AS (
   SELECT review_id AS dst, user_id, unnest([pos - 1, pos // 2, 0, 0, (pos - 1) // 4, (pos - 1) * 2 // 4, (pos - 1) * 3 // 4, pos - 1]) AS spot, unnest(range(8)) AS o FROM g WHERE pos > 5),
-g2 AS (SELECT dst, user_id, spot FROM g1 GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY dst ORDER BY min(o)) <= 5),
+g2 AS (SELECT dst, user_id, spot FROM g1 GROUP BY dst, user_id, spot QUALIFY row_number() OVER (PARTITION BY dst ORDER BY min(o)) <= 5),
 g3 AS (SELECT * FROM g2 UNION ALL SELECT a.review_id, a.user_id, b.pos FROM g a JOIN g b ON a.user_id = b.user_id AND b.pos < a.pos AND a.pos <= 5)
 SELECT g.review_id AS src, dst FROM g3 JOIN g ON g.user_id = g3.user_id AND g.pos = g3.spot""",
 )
