@@ -11,7 +11,10 @@ from reviewloom.sources import table
 
 COLUMNS = ["rating_norm", "log_word_len"]
 INPUTS = ["rating_norm", "log_word_len", "prior_user_review_count", "prior_product_rating_std", "rating_impact_abs", "upper_ratio"]
-_TRAIN = F.col("split") == "train"
+
+
+def _train():
+    return F.col("split") == "train"
 
 
 def _split(s, d):
@@ -39,9 +42,9 @@ register(
 
 
 def _network(s, d):
-    return models.network_scores(_split(s, d), INPUTS, "is_fake", _TRAIN)
+    return models.network_scores(_split(s, d), INPUTS, "is_fake", _train())
 
 
 # Fitted models have no SQL.
 register("gn01", lambda s, d: rounded(_network(s, d).select("review_id", "split", "is_fake", "score")))
-register("tx02", lambda s, d: rounded(models.latent(matrix.tfidf(table(s, d, "documents"), train := _split(s, d).where(_TRAIN).select("doc_id"), max_features=1000), train, 16)[0]))
+register("tx02", lambda s, d: rounded(models.latent(matrix.tfidf(table(s, d, "documents"), train := _split(s, d).where(_train()).select("doc_id"), max_features=1000), train, 16)[0]))

@@ -129,10 +129,13 @@ register(
 )
 
 # Windows.
-_WEEKLY = F.coalesce(F.sum("c").over(Window.partitionBy("prod_id").orderBy("no").rangeBetween(-4, -1)), F.lit(0))
+def _weekly():
+    return F.coalesce(F.sum("c").over(Window.partitionBy("prod_id").orderBy("no").rangeBetween(-4, -1)), F.lit(0))
+
+
 register(
     "wn09",
-    lambda s, d: features(s, d).groupBy("prod_id", "week").agg(F.count("*").alias("c")).withColumn("no", (F.datediff("week", F.lit("1970-01-05")) / 7).cast("long")).select("prod_id", "week", _WEEKLY.alias("prior_4w")),
+    lambda s, d: features(s, d).groupBy("prod_id", "week").agg(F.count("*").alias("c")).withColumn("no", (F.datediff("week", F.lit("1970-01-05")) / 7).cast("long")).select("prod_id", "week", _weekly().alias("prior_4w")),
     _F + " SELECT prod_id, week, CAST(ptotal AS BIGINT) AS prior_4w FROM w3",
 )
 register("wn16", lambda s, d: anchors.placed(_nodes(s, d), "user_id").select("review_id", "pos"), _F + " SELECT review_id, row_number() OVER (PARTITION BY user_id ORDER BY date, review_id) - 1 AS pos FROM r")

@@ -12,7 +12,10 @@ from reviewloom.sources import table
 
 #: Budget of the adapter's samplings: small enough that the ladder and the skipping of units matter at the test scales.
 BUDGET = 600
-_TRAIN = F.col("split") == "train"
+
+
+def _train():
+    return F.col("split") == "train"
 
 
 def _split(s, d):
@@ -105,14 +108,14 @@ sa AS (SELECT quantile_cont(word_len, 0.25) AS a, median(word_len) AS m FROM b W
 _HISTORY = _HISTORY.replace(" b AS (", " bb AS (").replace("FROM b ", "FROM bb ")
 register(
     "fe01",
-    lambda s, d: rounded(profiles.text_sufficiency(_split(s, d), _TRAIN).select("review_id", *_FE01)),
+    lambda s, d: rounded(profiles.text_sufficiency(_split(s, d), _train()).select("review_id", *_FE01)),
     _PARTS + _HISTORY.replace("b.review_id", "bb.review_id") + f" SELECT review_id, round(word_len - m, 6) AS {_FE01[0]}, round(word_len / greatest(m, 1), 6) AS {_FE01[1]}, CAST(word_len <= a AS BIGINT) AS {_FE01[2]}, CAST(word_len <= a AS BIGINT) * CAST(extreme_rating AS BIGINT) AS {_FE01[3]} FROM j",
 )
-register("jn08", lambda s, d: rounded(profiles.text_sufficiency(_split(s, d), _TRAIN).select("review_id", _FE01[0])), _PARTS + _HISTORY.replace("b.review_id", "bb.review_id") + f" SELECT review_id, round(word_len - m, 6) AS {_FE01[0]} FROM j")
+register("jn08", lambda s, d: rounded(profiles.text_sufficiency(_split(s, d), _train()).select("review_id", _FE01[0])), _PARTS + _HISTORY.replace("b.review_id", "bb.review_id") + f" SELECT review_id, round(word_len - m, 6) AS {_FE01[0]} FROM j")
 _FE02 = ["standardized_rating_deviation_from_prior_product_mean", "abs_standardized_rating_deviation_from_prior_product_mean", "product_reviews_last_7d_share_of_prior_count", "product_reviews_last_30d_share_of_prior_count", "low_product_history_by_train_q25"]
 register(
     "fe02",
-    lambda s, d: rounded(profiles.product_prior_context(_split(s, d), _TRAIN).select("review_id", *_FE02)),
+    lambda s, d: rounded(profiles.product_prior_context(_split(s, d), _train()).select("review_id", *_FE02)),
     _PARTS + ", o AS (SELECT greatest(coalesce(quantile_cont(prior_product_rating_std, 0.25) FILTER (prior_product_rating_std > 0), 1), 1e-6) AS fl, quantile_cont(prior_product_review_count, 0.25) AS low FROM p1 WHERE split = 'train'), z AS (SELECT *, rating_deviation_from_prior_product_mean / greatest(prior_product_rating_std, fl) AS dev, greatest(prior_product_review_count, 1) AS h FROM p1, o) "
     f"SELECT review_id, round(dev, 6) AS {_FE02[0]}, round(abs(dev), 6) AS {_FE02[1]}, round(product_reviews_last_7d / h, 6) AS {_FE02[2]}, round(product_reviews_last_30d / h, 6) AS {_FE02[3]}, CAST(prior_product_review_count <= low AS BIGINT) AS {_FE02[4]} FROM z",
 )
@@ -126,7 +129,7 @@ register(
 )
 register(
     "fe05",
-    lambda s, d: rounded(profiles.template_similarity(_split(s, d), table(s, d, "embeddings"), _TRAIN).select("review_id", "max_sim", "top3_sim", "high_sim")),
+    lambda s, d: rounded(profiles.template_similarity(_split(s, d), table(s, d, "embeddings"), _train()).select("review_id", "max_sim", "top3_sim", "high_sim")),
     _PARTS + ", e AS (SELECT p1.*, CAST(embedding AS DOUBLE[]) AS v FROM p1 JOIN embeddings USING (vec_id)), x AS (SELECT a.review_id, a.split, CASE WHEN a.review_id = b.review_id THEN 0 ELSE least(1, greatest(-1, list_cosine_similarity(a.v, b.v))) END AS sim FROM e a JOIN e b ON a.prod_id = b.prod_id AND a.week = b.week), "
     "y AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY sim DESC) AS k, count(*) OVER (PARTITION BY review_id) AS n FROM x), z AS (SELECT review_id, split, max(sim) AS max_sim, avg(sim) AS top3_sim FROM y WHERE k <= least(3, greatest(n - 1, 1)) GROUP BY ALL) "
     "SELECT review_id, round(max_sim, 6) AS max_sim, round(top3_sim, 6) AS top3_sim, CAST(round(max_sim, 9) >= (SELECT round(quantile_cont(max_sim, 0.9), 9) FROM z WHERE split = 'train') AS BIGINT) AS high_sim FROM z",
