@@ -109,6 +109,38 @@ def test_line_chunks_remove_only_what_stood_before(spark, docs):
             assert all(line in whole for line in left)
 
 
+def plain_line_dedup(rows, min_chars=80):
+    """Every run of lines, of every size, beside every earlier one."""
+    texts = {d: [x for x in re.split(r"(?<=\n)(?!$)|(?<=[.!?] )", t)] for d, t in rows}
+    enough = lambda x: len("".join(x)) >= min_chars if len(x) > 1 else len(WORD.findall(x[0])) > 50
+    runs = lambda x: [(a, b) for a in range(len(x)) for b in range(a + 1, len(x) + 1) if enough(x[a:b])]
+    seen, made = set(), {}
+    for d in sorted(texts):
+        x, gone, ends = texts[d], set(), {}
+        for a, b in runs(x):
+            ends[tuple(x[a:b])] = min(b, ends.get(tuple(x[a:b]), b))
+        for a, b in runs(x):
+            if tuple(x[a:b]) in seen or ends[tuple(x[a:b])] <= a:
+                gone.update(range(a, b))
+        seen.update(ends)
+        made[d] = "".join(line for i, line in enumerate(x) if i not in gone)
+    return made
+
+
+def test_short_passages_in_other_surroundings_go(spark):
+    """Passages of 1 to 8 lines and over 50 words, each thrice, and runs that only a later document shares in full."""
+    rng, rows = np.random.default_rng(3), []
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**9, n)) + "\n"
+    passages = ["".join(say(-(-51 // n)) for _ in range(n)) for n in range(1, 9) for _ in range(5)]
+    for k, p in enumerate(passages):
+        rows += [(10 * k + c, "".join(say(int(rng.integers(3, 14))) for _ in range(3)) + p + "".join(say(int(rng.integers(3, 14))) for _ in range(3))) for c in range(3)]
+    a, b, c, d, e = (say(12) for _ in range(5))
+    rows += [(9001, say(9) + b + c + say(9)), (9002, say(9) + a + b + c + d + e), (9003, say(9) + a + b + c + d + e + "\n\n"), (9004, a + say(8) + a + b + say(3) + a + b), (9005, "x\n" * 100)]
+    made = {r.doc_id: r.text for r in line_dedup.line_chunk_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert made == plain_line_dedup(rows)
+    assert not any(p in made[10 * k + c] or p.split("\n")[0] in made[10 * k + c] for k, p in enumerate(passages) for c in (1, 2))
+
+
 # Quality rules
 
 
