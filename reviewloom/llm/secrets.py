@@ -39,7 +39,8 @@ _LEADS = ("passw", "secret", "token", "api_key", "apikey")
 #: Words that make what follows them sensitive; matched without case.
 SENSITIVE = ("auth", "bearer", "credential", "private key", "private_key", "privatekey", "access_key", "accesskey", "pwd", "passphrase", "signature", "session_id", "sessionid", "client_id", "secret", "token", "password", "passwd", "api_key", "apikey", "api key")
 _SENSITIVE = re.compile("|".join(map(re.escape, SENSITIVE)), re.I | re.A)
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % LEAST_CHARS)
+#: '=' ends a name, so a value may begin after it, and only pads the end of a value.
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % (LEAST_CHARS - 2))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -77,6 +78,8 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, l
             if m.start() > word.end() + NEAR:
                 break
             at = m.end()
+            if m.end() - m.start() < LEAST_CHARS:
+                continue
             mixed = any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])
             if mixed and all(m.end() <= a or b <= m.start() for a, _, b in base) and novelty.of(text, m.start(), m.end()) >= least:
                 out.append((m.start(), len(BASE_KINDS), m.end()))

@@ -226,6 +226,16 @@ def test_added_secrets():
     assert not said("a stone named q7Rz1LmX9vKp4WtY8sNd lies here")
 
 
+@pytest.mark.parametrize("name", ["AWS_SECRET_ACCESS_KEY", "pwd", "secret_key", "signature", "auth", "session_id", "client_id", "passphrase", "export ACCESS_KEY"])
+def test_added_secrets_of_names(name):
+    n = secrets.Novelty()
+    said = lambda text: [text[a:b] for a, _, b in secrets.novel_spans(text, secrets.base_spans(text), n)]
+    for value in ("q7Rz1LmX9vKp4WtY8sNd", "q7Rz1LmX9vKp4WtY8sNdA==", "Zk3/9vQ+x7LmB2"):
+        assert said(f"run with {name}={value} then stop") == [value] * (len(value) >= secrets.LEAST_CHARS)
+        assert said(f"run with {name}='{value}'; then stop") == [value] * (len(value) >= secrets.LEAST_CHARS)
+    assert not said(f"run with {name}=configuration_settings_default_1 then stop")
+
+
 # Language identification
 
 
