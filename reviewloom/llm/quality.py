@@ -88,7 +88,7 @@ def _depth_left(n: float) -> float:
 def grow_forest(rows: np.ndarray, reach: np.ndarray, trees: int = TREES, tree_rows: int = TREE_ROWS, depth: int = DEPTH, seed: int = 7) -> dict[str, np.ndarray]:
     """Isolation trees as arrays [tree, node]: feature (-1: leaf), cut, left child (right: + 1), path length at a leaf.
 
-    Cuts are drawn within the box that ``reach`` (rows of all sorts) spans, not within the fitted rows' own range: a rule
+    Cuts are drawn within the box that ``reach`` (least and greatest values of rows of all sorts) spans, not within the fitted rows' own range: a rule
     that hardly any good document breaks has no range there, and its breakers must end in an empty branch at once.
     """
     rng = np.random.default_rng(seed)
@@ -166,7 +166,7 @@ def quality_forest(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     The forest is fitted on ``fit_rows`` rows at most, of the smallest hashed ids among those labelled good that pass the
     base rules (of all that pass, where hardly any are labelled);
-    statistics, scores and the calibration cover all rows. A null or empty text fails the base rules. With no row to fit
+    the range of each statistic, scores and the calibration cover all rows. A null or empty text fails the base rules. With no row to fit
     on, or no labels of both kinds, the base rules alone decide. Repeated rows are judged one by one.
     """
     stats = stored(quality_statistics(docs, id_col, text_col), "quality")
@@ -177,9 +177,9 @@ def quality_forest(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     good = passing.join(marks.where("quality = 1"), "doc_id", "left_semi")
     sample = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(fit_rows).select(*FEATURES).toPandas().to_numpy(float)
     chosen = sample(good)
-    reach = sample(passing)
-    chosen = chosen if len(chosen) >= LEAST_FIT_ROWS else reach
-    scored = score_documents(stats, grow_forest(chosen, reach) if len(chosen) > 1 else None)
+    chosen = chosen if len(chosen) >= LEAST_FIT_ROWS else sample(passing)
+    ends = passing.agg(*[F.min(c) for c in FEATURES], *[F.max(c) for c in FEATURES]).first()
+    scored = score_documents(stats, grow_forest(chosen, np.array(ends, float).reshape(2, -1)) if len(chosen) > 1 else None)
     threshold = calibrated_threshold(scored.where(~F.col("base_failed")).select("doc_id", "score"), marks)
     kept = ~F.col("base_failed") & (F.col("score") < threshold)
     return scored.select("doc_id", *BASE, "base_failed", kept.alias("kept"), "score")

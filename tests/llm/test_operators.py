@@ -170,6 +170,16 @@ def test_quality(spark, docs, hard, none):
     assert sorted(quality.good_documents(docs, labels).columns) == sorted(docs.columns)
 
 
+def test_forest_cuts_span_all_passing_documents(spark, docs, monkeypatch):
+    reaches, grow = [], quality.grow_forest
+    monkeypatch.setattr(quality, "grow_forest", lambda rows, reach: reaches.append(reach) or grow(rows, reach))
+    quality.quality_forest(docs, spark.read.parquet(f"{SMALL}/labels.parquet"), fit_rows=16)
+    rows = [quality.text_statistics(t) for _, t in small(docs)]
+    passing = np.array([r[len(quality.BASE) :] for r in rows if r[0] >= quality.MIN_WORDS and 100 * r[4] <= 50 * r[0]])
+    (reach,) = reaches
+    assert (reach.min(axis=0) == passing.min(axis=0)).all() and (reach.max(axis=0) == passing.max(axis=0)).all()
+
+
 # Personal data and secrets
 
 
