@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.llm.common import prepare, stored
@@ -98,7 +98,7 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
-    """(id, n_shingles, same, keys): the set size, a digest of the words, and the band keys of each text."""
+    """From (id, text, print): id, print, the set size, a digest of the words, and the band keys of each text."""
     prepare(docs.sparkSession)
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,9 +112,9 @@ def sketched(docs: DataFrame, bands: int, rows: int, k: int) -> DataFrame:
                     sizes.append(len(elements))
                     same.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
                     keys.append(band_keys(similarity_sketch(elements, bands * rows), bands, rows) if words else None)
-                yield pd.DataFrame({"id": pdf["id"], "n_shingles": sizes, "same": same, "keys": keys})
+                yield pd.DataFrame({"id": pdf["id"], "print": pdf["print"], "n_shingles": sizes, "same": same, "keys": keys})
 
-    return docs.mapInPandas(sketch, "id long, n_shingles long, same binary, keys array<long>")
+    return docs.mapInPandas(sketch, "id long, print long, n_shingles long, same binary, keys array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, similarity: int, k: int) -> DataFrame:
@@ -136,43 +136,76 @@ def confirmed(pairs: DataFrame, texts: DataFrame, similarity: int, k: int) -> Da
     return met.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
 
 
-def lone_counts(texts: DataFrame, k: int) -> DataFrame:
-    """(id, alone): how many shingles of a text stand in no other one of ``texts``, for texts that have such."""
+def signatures(texts: DataFrame, k: int) -> DataFrame:
+    """(id, level, signature, folded): a bitmap of the hashed shingles of each text, as longs.
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    2 ** level bits, at least 8 and fewer than 16 for each shingle; bit h modulo that is set for a shingle of hash h.
+    ``folded`` has half as many bits: the same bitmap at the level below.
+    """
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _WordHashes()
         with np.errstate(over="ignore"):
             for pdf in batches:
-                yield pd.DataFrame({"id": pdf["id"], "h": [shingle_hashes(text_words(t), known, k).view(np.int64) for t in pdf["text"]]})
+                out = []
+                for doc, text in zip(pdf["id"], pdf["text"], strict=True):
+                    h = shingle_hashes(text_words(text), known, k)
+                    level = max(7, (8 * len(h) - 1).bit_length())
+                    bits = np.zeros(1 << level, np.uint8)
+                    bits[(h & np.uint64((1 << level) - 1)).astype(np.intp)] = 1
+                    whole, half = (np.packbits(x, bitorder="little").view(np.int64) for x in (bits, bits[: len(bits) // 2] | bits[len(bits) // 2 :]))
+                    out.append((doc, level, whole, half))
+                yield pd.DataFrame(out, columns=["id", "level", "signature", "folded"])
+
+    return texts.select("id", "text").mapInPandas(drawn, "id long, level int, signature array<long>, folded array<long>")
+
 
-    rows = texts.select("id", "text").mapInPandas(hashed, "id long, h array<long>").select("id", F.explode("h").alias("h"))
-    counts = rows.groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("c"))
-    return counts.where("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
+def may_reach(x: str, y: str, similarity: int) -> Column:
+    """Whether the sets of two signature rows can reach the similarity: never false for sets that do.
+
+    Each bit that one bitmap has and the other lacks stands for one element at least that the other set lacks, so the
+    intersection is at most either set's size less the count of such bits.
+    """
+    of = lambda side, name: F.col(f"{side}.{name}")
+    at = lambda side, other: F.when(of(side, "level") > of(other, "level"), of(side, "folded")).otherwise(of(side, "signature"))
+    lacking = lambda a, b: F.aggregate(F.zip_with(at(a, b), at(b, a), lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda s, c: s + c)
+    near_size = 100 * F.least(of(x, "n"), of(y, "n")) >= similarity * F.greatest(of(x, "n"), of(y, "n"))
+    enough = lambda a, b: (100 + similarity) * (of(a, "n") - lacking(a, b)) >= similarity * (of(x, "n") + of(y, "n"))
+    return near_size & enough(x, y) & enough(y, x)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, shingle_words: int = SHINGLE_WORDS, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of their word shingles of ``similarity`` percent or more.
 
-    Returns doc_id, n_shingles, component_id (smallest id reachable, itself included), kept (doc_id = component_id).
-    Null, empty and wordless texts have no shingles and link with nothing. Rows with a null id link with nothing and are
-    kept, with a null component. Rows that share an id and a text are one; ids should be unique.
+    Returns doc_id (as given), n_shingles, component_id (smallest id reachable, itself included), kept (doc_id =
+    component_id). Null, empty and wordless texts have no shingles and link with nothing. Rows with a null id link with
+    nothing and are kept, with a null component. Of rows that share an id the text of the smallest digest stands for the
+    id in links; each row with the words of a class belongs to it. Ids of any type that orders are taken.
 
     Texts of equal words form a class, of which the smallest id alone is banded. Of each band bucket every member is
     checked against the bucket's smallest id on full sets, so a bucket of m copies costs m checks. In buckets that this
-    leaves in several components, every member outside the most frequent one is checked against all members of other
-    components, so no link that a shared band offers is lost. Passed by without a check are pairs that cannot reach the
-    similarity: their sizes are too far apart, or too many shingles of one stand in no other open text.
+    leaves in several components, every member outside the most frequent one meets all members of other components, so no
+    link that a shared band offers is lost; of these pairs only those whose bitmaps leave the similarity within reach
+    (``may_reach``) leave the join and are checked on full sets.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    given = docs.select(F.col(id_col).alias("given"), F.col(text_col).cast("string").alias("text"))
+    whole = given.schema["given"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    if whole:
+        rows = given.select(F.col("given").cast("long").alias("id"), "text")
+        names = None
+    else:  # number ids of other types in their order; only ids are sorted
+        names = numbered(given.select("given").where("given IS NOT NULL").distinct())
+        rows = given.join(names, "given", "left").select("id", "text")
+    rows = rows.withColumn("print", F.xxhash64("text"))
     all_rows = stored(sketched(rows, bands, band_rows, shingle_words), "sketch")
     worded = all_rows.where("same IS NOT NULL AND id IS NOT NULL")
     classes = worded.groupBy("same").agg(F.min("id").alias("rep"))
-    reps = worded.join(classes, (worded["same"] == classes["same"]) & (worded["id"] == classes["rep"]), "left_semi").dropDuplicates(["id"])
+    reps = worded.join(classes, (worded["same"] == classes["same"]) & (worded["id"] == classes["rep"]), "left_semi").groupBy("id").agg(F.min_by(F.struct("print", "n_shingles", "keys"), F.struct("same", "print")).alias("r")).select("id", "r.*")
     in_band = reps.select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     buckets = in_band.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", "hub")
     members = stored(in_band.join(buckets, "key"), "buckets")
-    wanted = members.select("id").distinct()
-    texts = stored(rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    wanted = reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "print")
+    texts = stored(rows.join(wanted, ["id", "print"], "left_semi").dropDuplicates(["id"]), "texts")
     sized = members.select("id", "n").distinct()
     near_size = lambda x, y: 100 * F.least(x, y) >= similarity * F.greatest(x, y)
     stars = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), "n").distinct()
@@ -182,29 +215,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(parts, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     mixed_buckets = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     open_rows = stored(placed.join(mixed_buckets, "key", "left_semi"), "open")
-    # Shingles that no other open text has cannot be shared: they bound what any two sets have in common.
-    alone = lone_counts(texts.join(open_rows.select("id").distinct(), "id", "left_semi"), shingle_words)
-    open_rows = open_rows.join(alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
-    open_rows = stored(open_rows.where(100 * F.col("common") >= similarity * F.col("n")).select("key", "id", "n", "common", "component"), "open")
     counts = open_rows.groupBy("key", "component").agg(F.count("*").alias("c"))
     most = counts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("most"))
-    minor = open_rows.join(most, "key").where("component <> most").select("key", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("common").alias("common_x"), F.col("component").alias("of_x"))
-    enough = (100 + similarity) * F.least("common", "common_x") >= similarity * (F.col("n") + F.col("n_x"))
-    crossed = minor.join(open_rows, "key").where((F.col("component") != F.col("of_x")) & near_size(F.col("n"), F.col("n_x")) & enough)
-    crossed = crossed.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    drawn = stored(signatures(texts.join(open_rows.select("id").distinct(), "id", "left_semi"), shingle_words), "signatures")
+    open_rows = open_rows.join(drawn, "id").join(most, "key")
+    # Both sides of the join are alike, so that one shuffle serves both.
+    apart = (F.col("x.component") != F.col("x.most")) & (F.col("x.component") != F.col("y.component"))
+    crossed = open_rows.alias("x").join(open_rows.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & may_reach("x", "y", similarity))
+    crossed = crossed.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     more = confirmed(crossed.join(links, ["a", "b"], "left_anti"), texts, similarity, shingle_words)
     parts = stored(connected_components(links.unionByName(more)), "parts")
     final = classes.join(parts, classes["rep"] == parts["id"], "left").select("same", F.coalesce("component", "rep").alias("component"))
     found = all_rows.join(final, "same", "left").withColumn("component_id", F.coalesce("component", "id"))
     kept = F.col("id").eqNullSafe(F.col("component_id"))
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
+    out = found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
+    if names is None:
+        return out
+    own, root = names.select(F.col("id").alias("doc_id"), F.col("given").alias("own")), names.select(F.col("id").alias("component_id"), F.col("given").alias("root"))
+    return out.join(own, "doc_id", "left").join(root, "component_id", "left").select(F.col("own").alias("doc_id"), "n_shingles", F.col("root").alias("component_id"), "kept")
+
+
+def numbered(ids: DataFrame) -> DataFrame:
+    """(given, id): distinct values and their places in order, from a range partitioning and the counts before each part."""
+    parts = stored(ids.repartitionByRange("given").sortWithinPartitions("given").select("given", F.spark_partition_id().alias("part")), "ids")
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))  # a row per partition
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy("given"))
+    return stored(parts.withColumn("inside", inside).join(before, "part").select("given", (F.col("before") + F.col("inside")).alias("id")), "numbers")
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all input columns, without those that a near duplicate of smaller id stands for.
 
-    Rows that share an id are near duplicates of themselves only and stay together.
+    Rows that share an id are near duplicates of themselves only and stay together; rows with a null id stay.
     """
     gone = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_gone_id")).distinct()
     rows = docs.select(F.struct("*").alias("row"))
-    return rows.join(gone, rows["row"][id_col] == gone["_gone_id"], "left_anti").select("row.*")
+    # Rows with a null id stay out of the join, where one task would get them all.
+    named, nameless = rows.where(F.col("row")[id_col].isNotNull()), rows.where(F.col("row")[id_col].isNull())
+    return named.join(gone, F.col("row")[id_col] == F.col("_gone_id"), "left_anti").unionByName(nameless).select("row.*")

@@ -306,12 +306,34 @@ def test_near_duplicates(spark, hard, none):
     rows += [(100 + k, " ".join(base[k:] + [f"u{i}" for i in range(k)])) for k in range(0, 30, 3)] + [(200, None), (201, ""), (202, "a b"), (203, "A  b"), (204, "a b c")]
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == plain_components(rows)
+    named = spark.createDataFrame([(f"doc-{k:03d}", t) for k, t in rows] + [(None, "a b")], "doc_id string, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(named).collect() if r.doc_id}
+    assert got == {f"doc-{k:03d}": (n, f"doc-{c:03d}", kept) for k, (n, c, kept) in plain_components(rows).items()}
     odd = minhash.near_duplicates(hard).collect()
     assert len(odd) == len(HARD) and all(r.component_id is None and r.n_shingles is not None for r in odd if r.doc_id is None)
     assert {r.component_id for r in odd if r.doc_id in (0, 4)} == {0}
     assert minhash.near_duplicates(none).count() == 0 and minhash.distinct_documents(none).columns == none.columns
 
 
+def test_bitmaps_rule_out_no_link(spark):
+    """Sets at every similarity around the limit, of sizes that need other levels: none that reaches it is ruled out."""
+    rng, rows, real = np.random.default_rng(4), [], {}
+    for k in range(240):
+        n = int(rng.choice([3, 40, 62, 66, 130, 1000]))
+        base = [f"w{x}" for x in rng.integers(0, 10**9, n)]
+        other = base[: n - int(rng.integers(0, max(2, n // 4)))] + [f"v{x}" for x in rng.integers(0, 10**9, int(rng.integers(0, max(2, n // 6))))]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        a, b = (minhash.exact_shingles(minhash.text_words(t)) for _, t in rows[-2:])
+        real[k] = (len(a), len(b), 100 * len(a & b) >= 75 * len(a | b))
+    drawn = minhash.signatures(spark.createDataFrame(rows, "id long, text string"), 5)
+    sizes = spark.createDataFrame([(2 * k + i, r[i]) for k, r in real.items() for i in (0, 1)], "id long, n long")
+    own = drawn.join(sizes, "id")
+    met = own.where("id % 2 = 0").alias("x").join(own.where("id % 2 = 1").alias("y"), F.col("x.id") + 1 == F.col("y.id"))
+    got = {r.k: r.may for r in met.select((F.col("x.id") / 2).cast("long").alias("k"), minhash.may_reach("x", "y", 75).alias("may")).collect()}
+    assert len(got) == len(real) and all(got[k] for k, r in real.items() if r[2])
+    assert sum(got[k] for k, r in real.items() if not r[2]) < 0.2 * sum(not r[2] for r in real.values())
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     with np.errstate(over="ignore"):
