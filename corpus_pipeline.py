@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewloom.llm import line_dedup, minhash, mixing, packing, quality
-from reviewloom.llm.common import stored, table
+from reviewloom.llm.common import discard, stored, table
 from reviewloom.llm.queries import vocabulary
 
 
@@ -41,9 +41,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. A stage's table is deleted once the next one is written."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = stored(docs, f"stage{i + 1}")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs

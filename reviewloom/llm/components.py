@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import stored
+from reviewloom.llm.common import discard, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -25,7 +25,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        now = stored(small.where("a <> b").distinct(), "edges")
+        last, now = now, stored(small.where("a <> b").distinct(), "edges")
+        discard(last, large)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == before:
             break

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import prepare, stored
+from reviewloom.llm.common import discard, prepare, stored
 from reviewloom.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = connected_components(links)
     placed = members.join(parts, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     mixed_buckets = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_rows = stored(placed.join(mixed_buckets, "key", "left_semi"), "open")
+    open_rows = open_stored = stored(placed.join(mixed_buckets, "key", "left_semi"), "open")
     counts = open_rows.groupBy("key", "component").agg(F.count("*").alias("c"))
     most = counts.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("most"))
     drawn = stored(signatures(texts.join(open_rows.select("id").distinct(), "id", "left_semi"), shingle_words), "signatures")
@@ -225,6 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crossed = crossed.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     more = confirmed(crossed.join(links, ["a", "b"], "left_anti"), texts, similarity, shingle_words)
     parts = stored(connected_components(links.unionByName(more)), "parts")
+    discard(members, texts, links, open_stored, drawn)
     final = classes.join(parts, classes["rep"] == parts["id"], "left").select("same", F.coalesce("component", "rep").alias("component"))
     found = all_rows.join(final, "same", "left").withColumn("component_id", F.coalesce("component", "id"))
     kept = F.col("id").eqNullSafe(F.col("component_id"))

@@ -68,7 +68,8 @@ def systematic_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Within a source, documents stand in order of size class, then block, then id; the expected copies are summed along
     that order, one random offset per source (from ``seed``) is added, and a document is taken once for each whole
-    number that its own share crosses. Returns doc_id, row_key, size, source_size, target, copies, taken.
+    number that its own share crosses. Returns doc_id, row_key, print (a hash of the text), size,
+    source_size, target, copies, taken.
 
     A null source is a source of its own; null or wordless texts have size 0 and take no words; a source without words
     has target 0 and no copies. Repeated rows count one by one. The texts are read once and never shuffled. The prefix
@@ -76,24 +77,24 @@ def systematic_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     only, so no source sits in one task.
     """
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), _row_key(F.col(id_col), text).alias("row_key"))
-    lean = stored(rows.select("doc_id", "row_key", "source", "size", size_class(F.col("size")).alias("class")), "mix")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), _row_key(F.col(id_col), text).alias("row_key"), F.xxhash64(text).alias("print"))
+    lean = stored(rows.select("doc_id", "row_key", "print", "source", "size", size_class(F.col("size")).alias("class")), "mix")
     classes = lean.groupBy("source", "class").agg(F.count("*").alias("class_rows"), F.sum("size").alias("class_size"))
     blocks = max(1, math.ceil((classes.agg(F.max("class_rows")).first()[0] or 0) / BLOCK_ROWS))
     targets = source_targets(classes.groupBy("source").agg(F.sum("class_size").alias("source_size")))
-    placed = lean.select("doc_id", "row_key", "size", "class", _name(F.col("source")).alias("name"), F.floor(md5_fraction(F.col("row_key")) * blocks).cast("long").alias("block"))
+    placed = lean.select("doc_id", "row_key", "print", "size", "class", _name(F.col("source")).alias("name"), F.floor(md5_fraction(F.col("row_key")) * blocks).cast("long").alias("block"))
     counts = placed.groupBy("name", "class", "block").agg(F.count("*").alias("rows_here"))
     before = F.sum("rows_here").over(Window.partitionBy("name").orderBy("class", "block")) - F.col("rows_here")
     targets = targets.select(_name(F.col("source")).alias("name"), "source_size", "target", "rate")
     first = counts.select("name", "class", "block", before.alias("before")).join(targets, "name")
     offset = md5_fraction(F.concat(F.lit(f"{seed}|"), F.col("name")))
-    rank = F.row_number().over(Window.partitionBy("name", "class", "block").orderBy("row_key"))
+    rank = F.row_number().over(Window.partitionBy("name", "class", "block").orderBy("row_key", "size", "print"))
     upto = lambda r: F.floor(r * F.col("rate") + offset).cast("long")
     copies = upto(F.col("before") + F.col("rank")) - upto(F.col("before") + F.col("rank") - 1)
     return (
         placed.withColumn("rank", rank)
         .join(first, ["name", "class", "block"])
-        .select("doc_id", "row_key", "size", "source_size", "target", copies.alias("copies"))
+        .select("doc_id", "row_key", "print", "size", "source_size", "target", copies.alias("copies"))
         .withColumn("taken", F.col("copies") * F.col("size"))
     )
 
@@ -101,11 +102,17 @@ def systematic_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """The documents of the mix, all input columns, each row as often as ``systematic_mix`` takes it.
 
-    Rows that share an id (or, without one, a text) share its copies out one by one. One shuffle of the texts, by id.
+    Null and wordless texts add nothing to any source and are left out. Rows that share an id and a text (or, without an
+    id, a text) share their copies out one by one. One shuffle of the texts, by id and text hash.
     """
-    taken = systematic_mix(docs, id_col, text_col, source_col, seed)
-    taken = taken.groupBy("row_key").agg(F.sort_array(F.collect_list("copies"), False).alias("shares"))
-    keyed = docs.select(F.struct("*").alias("row"), _row_key(F.col(id_col), F.col(text_col)).alias("row_key"))
-    nth = F.row_number().over(Window.partitionBy("row_key").orderBy(F.xxhash64("row")))
-    joined = keyed.withColumn("nth", nth).join(taken, "row_key").withColumn("copies", F.element_at("shares", F.col("nth")))
+    taken = systematic_mix(docs, id_col, text_col, source_col, seed).where("taken > 0").groupBy("row_key", "print", "copies").agg(F.count("*").alias("rows"))
+    # Copies are 0 to MOST, so a key has a few entries however many rows share it.
+    taken = taken.groupBy("row_key", "print").agg(F.sort_array(F.collect_list(F.struct("copies", "rows")), False).alias("shares"))
+    keyed = docs.select(F.struct("*").alias("row"), _row_key(F.col(id_col), F.col(text_col)).alias("row_key"), F.xxhash64(F.col(text_col)).alias("print"))
+    nth = F.row_number().over(Window.partitionBy("row_key", "print").orderBy(F.xxhash64("row")))
+    joined = keyed.join(taken, ["row_key", "print"]).withColumn("nth", nth)
+    # The rows before an entry's own are those of the entries with more copies.
+    step = lambda s, x: F.struct((s["left"] - x["rows"]).alias("left"), F.when((s["left"] > 0) & (s["left"] <= x["rows"]), x["copies"]).otherwise(s["copies"]).alias("copies"))
+    start = F.struct(F.col("nth").cast("long").alias("left"), F.lit(0).cast("long").alias("copies"))
+    joined = joined.withColumn("copies", F.aggregate("shares", start, step)["copies"])
     return joined.where(F.col("copies") > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")

@@ -7,17 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import prepare, stored
+from reviewloom.llm.common import discard, prepare, stored
 
 TREES, TREE_ROWS, DEPTH = 100, 256, 10
-#: The forest is grown from this many documents labelled good at most, those of smallest hashed id. Bad ones come in
-#: clusters, which a forest grown among them would take for normal.
+#: The forest is grown from this many documents labelled good at most, those of smallest hashed id among the even hashes;
+#: the rows of odd hashes set the threshold. Bad ones come in clusters, which a forest grown among them would take for
+#: normal.
 FIT_ROWS = 8192
-#: With fewer rows labelled good, unlabelled ones are taken too.
-LEAST_FIT_ROWS = 64
 #: The threshold may reject at most this share of the labelled good documents.
 MOST_GOOD_LOST = 0.005
 SCORE_BINS = 1000
@@ -158,40 +157,59 @@ def calibrated_threshold(scored: DataFrame, labels: DataFrame, most_good_lost: f
     return float(np.argmax(gain)) / SCORE_BINS
 
 
+def fitted(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[dict[str, np.ndarray] | None, float]:
+    """The forest and its threshold from ``quality_statistics`` and the labels; no forest with fewer than two rows to grow it."""
+    marks = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    passing = stats.where(~base_failed())
+    even = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    good = passing.where(even).join(marks.where("quality = 1"), "doc_id", "left_semi")
+    chosen = good.orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(fit_rows).select(*FEATURES).toPandas().to_numpy(float)
+    if len(chosen) < 2:
+        return None, math.inf
+    ends = passing.agg(*[F.min(c) for c in FEATURES], *[F.max(c) for c in FEATURES]).first()
+    forest = grow_forest(chosen, np.array(ends, float).reshape(2, -1))
+    return forest, calibrated_threshold(score_documents(passing.where(~even), forest).select("doc_id", "score"), marks)
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def quality_forest(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
     """Judge every document by fixed base rules and by an isolation forest on its rule statistics.
 
     ``labels`` has doc_id and quality (1 good, 0 bad; other values do not count). Returns doc_id, BASE, base_failed
     (under 50 words, or over half of the words repeat), kept (false if base_failed, else the forest's verdict), score.
 
-    The forest is fitted on ``fit_rows`` rows at most, of the smallest hashed ids among those labelled good that pass the
-    base rules (of all that pass, where hardly any are labelled);
-    the range of each statistic, scores and the calibration cover all rows. A null or empty text fails the base rules. With no row to fit
-    on, or no labels of both kinds, the base rules alone decide. Repeated rows are judged one by one.
+    The forest is fitted on ``fit_rows`` rows at most among those labelled good that pass the base rules, half of which
+    are held out for the threshold with the labelled bad ones; the range of each statistic and the scores cover all rows.
+    A null or empty text fails the base rules. With fewer than two rows to fit on, or no held-out labels of both kinds,
+    the base rules alone decide. Repeated rows are judged one by one.
     """
     stats = stored(quality_statistics(docs, id_col, text_col), "quality")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    stats = stats.withColumn("base_failed", failed)
-    marks = labels.where("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    passing = stats.where(~F.col("base_failed"))
-    good = passing.join(marks.where("quality = 1"), "doc_id", "left_semi")
-    sample = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(fit_rows).select(*FEATURES).toPandas().to_numpy(float)
-    chosen = sample(good)
-    chosen = chosen if len(chosen) >= LEAST_FIT_ROWS else sample(passing)
-    ends = passing.agg(*[F.min(c) for c in FEATURES], *[F.max(c) for c in FEATURES]).first()
-    scored = score_documents(stats, grow_forest(chosen, np.array(ends, float).reshape(2, -1)) if len(chosen) > 1 else None)
-    threshold = calibrated_threshold(scored.where(~F.col("base_failed")).select("doc_id", "score"), marks)
-    kept = ~F.col("base_failed") & (F.col("score") < threshold)
-    return scored.select("doc_id", *BASE, "base_failed", kept.alias("kept"), "score")
+    forest, threshold = fitted(stats, labels, fit_rows)
+    failed = base_failed()
+    kept = ~failed & (F.col("score") < threshold)
+    return score_documents(stats, forest).select("doc_id", *BASE, failed.alias("base_failed"), kept.alias("kept"), "score")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all input columns, that ``quality_forest`` keeps.
+    """The documents, all input columns, that ``quality_forest`` keeps: each row by its own text, whatever its id.
 
-    Rows that share an id go or stay together: all go if one of them is rejected. Rows without an id are judged by the
-    base rules inside ``quality_forest`` but cannot be found again by id, and go.
+    Statistics are stored for the fit only; the verdict is computed again beside each row, so texts are never shuffled
+    and rows with null or shared ids need no way back.
     """
-    verdicts = quality_forest(docs, labels, id_col, text_col).groupBy("doc_id").agg(F.min("kept").alias("_kept"))
-    good = verdicts.where("_kept").select(F.col("doc_id").alias("_good_id"))
-    rows = docs.select(F.struct("*").alias("row"))
-    return rows.join(good, rows["row"][id_col] == good["_good_id"], "left_semi").select("row.*")
+    stats = stored(quality_statistics(docs, id_col, text_col), "quality")
+    forest, threshold = fitted(stats, labels)
+    discard(stats)
+
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        rows = np.array([text_statistics(t) for t in texts], float).reshape(len(texts), -1)
+        n, repeats = rows[:, 0], rows[:, BASE.index("n_repeat_words")]
+        passed = (n >= MIN_WORDS) & (100 * repeats <= 50 * n)
+        if forest is not None:
+            passed[passed] = forest_scores(forest, rows[passed, len(BASE) :]) < threshold
+        return pd.Series(passed)
+
+    return docs.where(good(F.col(text_col).cast("string")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm import hamming, langid, line_dedup, minhash, mixing, packing, pii, quality, secrets, sharding
 from reviewloom.llm.queries import ORACLE_SQL, QUERIES, vocabulary
-from tests.compare import differences
+from tests.compare import differences, duck
 from tests.conftest import SMALL
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -361,7 +361,13 @@ def test_mix(spark, docs, hard, none):
     assert mixing.systematic_mix(hard).count() == len(HARD) and mixing.systematic_mix(none).count() == 0
     out = mixing.mixed_documents(hard)
     assert out.columns == hard.columns
-    assert out.count() == sum(r.copies for r in mixing.systematic_mix(hard).collect())
+    assert out.count() == sum(r.copies for r in mixing.systematic_mix(hard).collect() if r.size)
+    many = spark.createDataFrame([(None, f"some words {k % 3}", None) for k in range(40)] + [(1, "a b", "x")] * 7 + [(2, "c", "x")] * 5, "doc_id long, text string, source string")
+    want = Counter()
+    for r in mixing.systematic_mix(many).collect():
+        want[r.row_key] += r.copies
+    got = Counter(r.k for r in mixing.mixed_documents(many).select(mixing._row_key(F.col("doc_id"), F.col("text")).alias("k")).collect())
+    assert got == Counter({k: n for k, n in want.items() if n})
 
 
 # Packing
@@ -418,6 +424,9 @@ def test_hamming(spark):
         best = sorted(((real[q] ^ c) % 2**64).bit_count() * 1000 + i for i, c in real.items() if i != q)[:10]
         assert sorted(got[q]) == [(k + 1, x // 1000, x % 1000) for k, x in enumerate(best)]
     assert hamming.hamming_top_k(df.limit(0), df.limit(0)).count() == 0
+    named = df.withColumns({c: F.lit("x") for c in ("seg", "value", "n", "least", "bound", "query", "rank")})
+    again = hamming.hamming_top_k(named, named.where("id % 50 = 0")).collect()
+    assert sorted((r.rank, r.distance, r.neighbor_id) for r in again if r.query_id == 50) == sorted(got[50])
     two = df.where("id < 2").distinct()
     assert hamming.hamming_top_k(two, two).count() == 2
 
@@ -425,23 +434,73 @@ def test_hamming(spark):
 # Pipeline
 
 
-def test_pipeline(spark, docs):
+def plain_scores(forest, rows):
+    """Each row down each tree, one by one."""
+    out = []
+    for row in rows:
+        total = 0.0
+        for feature, cut, left, path in zip(forest["feature"], forest["cut"], forest["left"], forest["path"], strict=True):
+            node = 0
+            while feature[node] >= 0:
+                node = left[node] + int(row[feature[node]] > cut[node])
+            total += path[node]
+        out.append(2 ** (-total / len(forest["path"]) / float(forest["scale"])))
+    return out
+
+
+def plain_pipeline(spark, docs, folder, monkeypatch):
+    """(doc_id, text) of the mix and how often each is taken: plain versions of the first three stages, SQL for the others."""
+    made, fitted = [], quality.fitted
+    monkeypatch.setattr(quality, "fitted", lambda *a: made.append(fitted(*a)) or made[-1])
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    verdicts = {r.doc_id: r.kept for r in quality.quality_forest(docs, labels).collect()}
+    (forest, threshold), rows = made[0], docs.select("doc_id", "text", "source").collect()
+    good = []
+    for r in rows:
+        stats = quality.text_statistics(r.text)
+        base = stats[0] >= 50 and 100 * stats[4] <= 50 * stats[0]
+        kept = base and plain_scores(forest, [stats[len(quality.BASE) :]])[0] < threshold
+        assert verdicts[r.doc_id] == kept
+        good += [r] if kept else []
+    texts, source = dict(plain_line_dedup([(r.doc_id, r.text) for r in good])), {r.doc_id: r.source for r in good}
+    kept = {d: texts[d] for d, (_, _, k) in plain_components(list(texts.items())).items() if k}
+    spark.createDataFrame([(d, t, source[d]) for d, t in kept.items()], "doc_id long, text string, source string").coalesce(1).toPandas().to_parquet(f"{folder}/documents.parquet")
+    con = duck(folder)
+    return kept, {d: taken // size for d, size, taken in con.execute(f"SELECT doc_id, size, taken FROM ({ORACLE_SQL['op7_systematic_mix']})").fetchall() if size and taken}
+
+
+def test_run_gives_what_a_plain_pipeline_gives(spark, docs, tmp_path, monkeypatch):
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary())
+    t.encode_special_tokens = True
+    kept, copies = plain_pipeline(spark, docs, str(tmp_path), monkeypatch)
+    rows = p.run(spark, SMALL).collect()
+    assert Counter(r.doc_id for r in rows if r.start == 0) == Counter(copies)
+    by_piece, by_sequence = Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in rows), defaultdict(list)
+    for r in rows:
+        by_sequence[r.sequence_id].append(r)
+    for doc, n in copies.items():
+        ids = [*t.encode(kept[doc], add_special_tokens=False).ids, 0]
+        own = sorted(k[1:] for k in by_piece if k[0] == doc)
+        assert [x[0] for x in own] == list(np.cumsum([0, *(x[1] for x in own)])[:-1]) and sum(x[1] for x in own) == len(ids)
+        assert all(by_piece[doc, a, m, crc] == n and crc == zlib.crc32(np.array(ids[a : a + m], "<u4").tobytes()) for a, m, crc in own)
+    for own in by_sequence.values():
+        ends = list(np.cumsum([0, *(r.length for r in sorted(own, key=lambda r: r.offset))]))
+        assert sorted(r.offset for r in own) == ends[:-1] and ends[-1] <= 1024
+
+
+def test_stages_on_hard_rows(spark, hard):
+    """Nulls, empty texts, repeated rows and an empty table through the whole chain."""
     import corpus_pipeline as p
 
-    now, texts = docs, dict(small(docs))
-    seen = []
-    for name, stage in p.STAGES:
-        before, now = now, stage(spark, now, SMALL).persist()
-        seen.append((name, before.count(), now.count()))
-        if name != "pack":
-            assert now.columns == docs.columns
-        if name == "quality rules":
-            assert {r.doc_id: r.text for r in now.collect()}.items() <= texts.items()
-        elif name == "line dedup":
-            assert before.count() == now.count()
-        elif name == "near dedup":
-            kept = {d for d, (_, _, k) in plain_components(small(before)).items() if k}
-            assert {r.doc_id for r in now.collect()} == kept
-        elif name == "pack":
-            assert now.where("start = 0").count() == before.count()
-    assert seen[0][2] < seen[0][1]
+    rich = hard.unionByName(hard.withColumn("text", F.concat_ws(" ", *[F.concat(F.lit(f"w{i} "), F.coalesce("text", F.lit("none"))) for i in range(60)])))
+    for start in (rich, rich.limit(0)):
+        now = start
+        for name, stage in p.STAGES:
+            before, now = now, stage(spark, now, SMALL).persist()
+            assert now.columns == before.columns or name == "pack"
+            assert before.count() == now.count() or name != "line dedup"
+    nameless = quality.good_documents(rich, spark.read.parquet(f"{SMALL}/labels.parquet")).where("doc_id IS NULL")
+    assert nameless.columns == rich.columns
