@@ -72,10 +72,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 #: High-recall generators; they overlap on purpose. Each stands with what a text must hold for it to be worth a look.
 GENERATORS = (
-    ("contact", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[(\[] ?(?:at|AT) ?[)\]] ?[A-Za-z0-9-]{1,63}(?: ?[(\[] ?(?:dot|DOT) ?[)\]] ?[A-Za-z0-9-]{1,63}| ?\. ?[A-Za-z0-9-]{1,63}){1,4}"), ("(at)", "[at]", "(AT)", "[AT]", "( at", "[ at")),
-    ("callnumber", re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{2,5}\)|[0-9]{2,5})[ ./-]{1,2}[0-9]{2,5}(?:[ ./-][0-9]{2,5}){0,4}(?![0-9A-Za-z])"), ()),
-    ("national", re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9A-Za-z-])"), ()),
-    ("account", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"), ()),
+    ("contact", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[(\[] ?(?:at|AT) ?[)\]] ?[A-Za-z0-9-]{1,63}(?: ?[(\[] ?(?:dot|DOT) ?[)\]] ?[A-Za-z0-9-]{1,63}| ?\. ?[A-Za-z0-9-]{1,63}){1,4}"), re.compile(r"[(\[] ?(?:at|AT) ?[)\]]")),
+    ("callnumber", re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{2,5}\)|[0-9]{2,5})[ ./-]{1,2}[0-9]{2,5}(?:[ ./-][0-9]{2,5}){0,4}(?![0-9A-Za-z])"), re.compile("[0-9]")),
+    ("callnumber", re.compile(r"(?<![0-9A-Za-z+.,_-])[0-9]{7,15}(?![0-9A-Za-z])"), re.compile("[0-9]{7}")),
+    ("national", re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9A-Za-z-])"), re.compile("[0-9]")),
+    ("account", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"), re.compile("[A-Z]{2}[0-9]{2}")),
 )
 #: Words that stand before personal data, and before numbers that are none; matched without case.
 CONTEXT = {
@@ -110,17 +111,7 @@ def features(text: str, start: int, end: int, kind: str) -> list[float]:
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    has_digit = None
-    out = []
-    for kind, pattern, needs in GENERATORS:
-        if needs:
-            if not any(x in text for x in needs):
-                continue
-        elif has_digit is None:
-            has_digit = re.search("[0-9]", text) is not None
-        if needs or has_digit:
-            out += [(m.start(), m.end(), kind) for m in pattern.finditer(text)]
-    return out
+    return [(m.start(), m.end(), kind) for kind, pattern, needs in GENERATORS if needs.search(text) for m in pattern.finditer(text)]
 
 
 def made_examples(rows: int = FIT_ROWS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -139,7 +130,7 @@ def made_examples(rows: int = FIT_ROWS, seed: int = 3) -> tuple[np.ndarray, np.n
         if kind == "contact":
             return f"{letters(6)} (at) {letters(7)} (dot) {rng.choice(['com', 'org', 'net'])}" if real or rng.random() < 0.3 else f"{letters(3)} (at) {letters(4)} . {letters(9)}"
         if kind == "callnumber":
-            return rng.choice([f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)}-{number(3)}-{number(4)}", f"0{number(2)} {number(3)} {number(4)}", f"0{number(3)}/{number(5)}"]) if real else rng.choice([f"{number(4)}-{number(2)}-{number(2)}", f"{number(2)}.{number(2)}", f"{number(3)}-{number(3)}", f"{number(3)} {number(3)}", f"{number(2)}/{number(2)}/{number(4)}", f"{number(3)}-{number(3)}-{number(4)}"])
+            return rng.choice([f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)}-{number(3)}-{number(4)}", f"0{number(2)} {number(3)} {number(4)}", f"0{number(3)}/{number(5)}", f"{rng.randint(1, 9)}{number(9)}"]) if real else rng.choice([f"{rng.randint(1, 9)}{number(rng.randint(6, 11))}", f"{number(4)}-{number(2)}-{number(2)}", f"{number(2)}.{number(2)}", f"{number(3)}-{number(3)}", f"{number(3)} {number(3)}", f"{number(2)}/{number(2)}/{number(4)}", f"{number(3)}-{number(3)}-{number(4)}"])
         if kind == "national":
             return f"{rng.randint(100, 665)}-{number(2)}-{number(4)}"
         return iban(real)

@@ -27,7 +27,7 @@ def _span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
     counts: list[Column] = [count(k).alias(f"n_{k}") for k in kinds]
-    return found.select("doc_id", *counts, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op4_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:

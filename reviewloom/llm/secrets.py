@@ -18,8 +18,6 @@ ADDED_KIND = "novel"
 AROUND = 256
 #: A candidate of at least so many characters is reported if it adds so many bytes per character.
 LEAST_CHARS, NOVELTY = 16, 0.72
-#: Characters before a candidate in which a sensitive word must stand.
-NEAR = 40
 
 #: Words of code and configuration that prime the compressor: what is built from them is no secret.
 IDENTIFIERS = """
@@ -71,12 +69,14 @@ class Novelty:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int, int]]:
-    """Strings in a sensitive context that the compressor cannot foresee and no base span overlaps."""
-    out, at = [], 0
+    """Strings after a sensitive word on its line that the compressor cannot foresee and no base span overlaps."""
+    out, at, line_end = [], 0, -1
     for word in _SENSITIVE.finditer(text):
-        for m in _CANDIDATE.finditer(text, max(at, word.end())):
-            if m.start() > word.end() + NEAR:
-                break
+        if word.end() <= line_end:  # an earlier word of the line has led to all that follows it
+            continue
+        line_end = text.find("\n", word.end())
+        line_end = len(text) if line_end < 0 else line_end
+        for m in _CANDIDATE.finditer(text, max(at, word.end()), line_end):
             at = m.end()
             if m.end() - m.start() < LEAST_CHARS:
                 continue

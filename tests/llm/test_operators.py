@@ -237,7 +237,7 @@ def test_spans(spark, docs, hard, none, query, plain, kinds, module):
 def test_added_personal_data():
     model, threshold = pii.trained()
     said = lambda text: [(text[a:b], (pii.BASE_KINDS + pii.ADDED_KINDS)[k]) for a, k, b in pii.added_spans(text, pii.base_spans(text), model, threshold)]
-    assert said("please call 030 555 1234 tonight") and not said("version 2024-11-05 of page 12")
+    assert said("please call 030 555 1234 tonight") and said("phone: 5551234567 ") and said("mail: someone ( AT ) example [dot] org now") and not said("version 2024-11-05 of page 12")
     x, y = pii.made_examples(3000, seed=99)
     p = model.probability(x) >= threshold
     assert (p & (y == 1)).sum() >= 0.97 * p.sum() and (p & (y == 1)).sum() >= 0.6 * y.sum()
@@ -248,6 +248,9 @@ def test_added_secrets():
     said = lambda text: [text[a:b] for a, _, b in secrets.novel_spans(text, secrets.base_spans(text), n)]
     assert said("the bearer credential is q7Rz1LmX9vKp4WtY8sNd now") == ["q7Rz1LmX9vKp4WtY8sNd"]
     assert not said("the bearer credential is configuration_settings_default_1 now")
+    far = "the credential that we were given in a long letter of the last week of that month is "
+    assert said(far + "q7Rz1LmX9vKp4WtY8sNd now, bH3kT9xQw2LpZ6mRcvYu") == ["q7Rz1LmX9vKp4WtY8sNd", "bH3kT9xQw2LpZ6mRcvYu"] and not said(far + "\nq7Rz1LmX9vKp4WtY8sNd")
+    assert said("x " * 200_000 + far + "q7Rz1LmX9vKp4WtY8sNd ") == ["q7Rz1LmX9vKp4WtY8sNd"]
     assert not said("a stone named q7Rz1LmX9vKp4WtY8sNd lies here")
 
 
