@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Quantiles of the shock impact, tried in this order until the chosen reviews fit the budget.
+#: Quantiles of the shock impact, tried in this order until the chosen reviews fit the budget.
 LADDER = (0.0, 0.25, 0.50, 0.60, 0.70, 0.75, 0.80, 0.90, 0.95)
 
 
@@ -26,19 +26,22 @@ def shock_reach(f: DataFrame, excluded: DataFrame | None = None, max_prior: int
     return f.withColumn("reach", F.greatest("impact", ahead("prod_id", product_context), ahead("user_id", user_context))).drop("_out")
 
 
-def ladder_threshold(reached: DataFrame, max_nodes: int, taken: int = 0) -> float | None:
-    """The first impact quantile at which all that is reached fits beside ``taken``, or null. Two rows of nine numbers are fetched."""
+def ladder_threshold(reached: DataFrame, max_nodes: int, taken: int = 0) -> tuple[float | None, float | None]:
+    """The first impact quantile at which all that is reached fits beside ``taken``, or null; and the last rung's.
+
+    Two rows of nine numbers are fetched.
+    """
     cuts = reached.agg(F.percentile("impact", F.array(*[F.lit(q) for q in LADDER])).alias("c")).first()["c"]
     if not cuts:
-        return None
+        return None, None
     counts = reached.agg(*[F.count_if(F.col("reach") >= c).alias(f"n{i}") for i, c in enumerate(cuts)]).first()
-    return next((c for i, c in enumerate(cuts) if counts[i] + taken <= max_nodes), None)
+    return next((c for i, c in enumerate(cuts) if counts[i] + taken <= max_nodes), None), cuts[-1]
 
 
 def shock_context(f: DataFrame, max_nodes: int, legacy: DataFrame | None = None, **seeds) -> DataFrame:
     """(review_id): seeds and their context under a budget, with ``legacy`` reviews first if given.
 
-    If no rung fits, the seeds of largest impact fill what the budget leaves, without context.
+    If no rung fits, the seeds of the last rung fill what the budget leaves, largest impact first, without context.
     """
     reached = shock_reach(f, legacy, **seeds)
     if legacy is not None:  # context may fall on legacy reviews, which count once
@@ -46,9 +49,9 @@ def shock_context(f: DataFrame, max_nodes: int, legacy: DataFrame | None = None,
     taken = legacy.count() if legacy is not None else 0
     if taken > max_nodes:
         raise ValueError(f"{taken} reviews of selected units exceed {max_nodes}")
-    cut = ladder_threshold(reached, max_nodes, taken)
+    cut, last = ladder_threshold(reached, max_nodes, taken)
     if cut is None:
-        chosen = reached.where("impact IS NOT NULL").orderBy(F.desc("impact"), "date", "review_id").limit(max_nodes - taken)
+        chosen = reached.where(F.col("impact") >= F.lit(last).cast("double")).orderBy(F.desc("impact"), "date", "review_id").limit(max_nodes - taken)
     else:
         chosen = reached.where(F.col("reach") >= cut)
     chosen = chosen.select("review_id")

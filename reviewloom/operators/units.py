@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHIFTS = ["same_dir_log_count_lift_4w", "total_log_count_lift_4w", "direction_concentration_lift_4w", "new_user_ratio_lift_4w", "short_review_ratio_lift_4w", "word_len_drop_ratio_4w", "abuse_burst_behavior_score_4w"]
-#: Sources of the quantile flags in absolute mode.
+#: Fixed values, this map and the next: sources of the quantile flags in absolute mode.
 ABSOLUTE = {"review_growth_flag": "growth_ratio_30d", "new_user_ratio_flag": "new_user_ratio", "extreme_rating_ratio_flag": "extreme_ratio", "short_review_ratio_flag": "short_ratio", "weak_product_flag": "weak_product_score", "rating_deviation_flag": "mean_abs_rating_dev", "rating_direction_concentration_flag": "rating_direction_concentration"}
 #: In relative mode; names and sources no longer agree, which is kept.
 RELATIVE = {"review_growth_flag": "same_dir_log_count_lift_4w_median", "new_user_ratio_flag": "new_user_ratio_lift_4w_median", "extreme_rating_ratio_flag": "abuse_burst_behavior_score_4w_median", "short_review_ratio_flag": "short_review_ratio_lift_4w_median", "weak_product_flag": "word_len_drop_ratio_4w_median", "rating_deviation_flag": "standardized_mean_abs_rating_dev", "rating_direction_concentration_flag": "direction_concentration_lift_4w_median"}
@@ -48,7 +48,8 @@ def product_week_units(f: DataFrame) -> DataFrame:
 def flagged(units: DataFrame, mode: str = "absolute", quantile: float = 0.75, min_reviews: int = 10, min_users: int = 8, min_flags: int = 2) -> DataFrame:
     """Adds base_candidate, seven quantile flags, sampling_flag_count and selected.
 
-    Thresholds are exact quantiles over base candidates only, one row joined to all units.
+    Thresholds are exact quantiles over base candidates only, one row joined to all units; without a base candidate no
+    quantile flag is set and nothing is selected.
     """
     if mode not in ("absolute", "relative"):
         raise ValueError(f"unknown flag mode {mode!r}")
@@ -60,7 +61,7 @@ def flagged(units: DataFrame, mode: str = "absolute", quantile: float = 0.75, mi
         scaled = lambda u: u.crossJoin(F.broadcast(positive)).withColumn("standardized_mean_abs_rating_dev", F.col("mean_abs_rating_dev") / F.greatest(F.col("prior_product_rating_std_median"), F.col("_floor"))).drop("_floor")
         units, base = scaled(units), scaled(base)
     cuts = base.agg(*[F.percentile(c, quantile).alias(f"_{flag}") for flag, c in sources.items()])  # one row
-    units = units.crossJoin(F.broadcast(cuts)).withColumns({flag: (F.col(c) >= F.col(f"_{flag}")).cast("long") for flag, c in sources.items()})
+    units = units.crossJoin(F.broadcast(cuts)).withColumns({flag: F.coalesce((F.col(c) >= F.col(f"_{flag}")).cast("long"), F.lit(0).cast("long")) for flag, c in sources.items()})
     count: Column = sum((F.col(flag) for flag in sources), F.lit(0)) + F.col("local_template_repeat_flag")
     units = units.withColumn("sampling_flag_count", count.cast("long"))
     return units.withColumn("selected", F.col("base_candidate") & (F.col("sampling_flag_count") >= min_flags)).drop(*[f"_{flag}" for flag in sources])

@@ -160,16 +160,28 @@ x3 AS (SELECT term, count(*) AS df, sum(tf) AS total, (SELECT count(*) FROM xt)
 x4 AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM x3 WHERE df >= 2 AND df <= 0.95 * n ORDER BY total DESC, term LIMIT 50000),
 x5 AS (SELECT doc_id, term, tf * idf AS w FROM x2 JOIN x4 USING (term)) SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM x5""",
 )
-register(
-    "val01",
-    lambda s, d: rounded(history.dense_index(_nodes(s, d)).agg(((F.count("*") == F.max("node_idx") + 1) & (F.count("*") == F.count_distinct("node_idx")) & (F.min("node_idx") == 0)).alias("dense"))),
-    "SELECT true AS dense",
-)
-register(
-    "val03",
-    lambda s, d: _split(s, d).groupBy("review_id").agg(F.count("*").alias("c"), F.count("split").alias("k")).agg(F.count_if(F.col("c") > 1).alias("in_several"), F.count_if(F.col("k") == 0).alias("in_none")),
-    "SELECT CAST(0 AS BIGINT) AS in_several, CAST(0 AS BIGINT) AS in_none",
-)
+def _is_dense(part):
+    return F.lit(part).alias("part"), ((F.count("*") == F.max("node_idx") + 1) & (F.count("*") == F.count_distinct("node_idx")) & (F.min("node_idx") == 0)).alias("dense")
+
+
+def _dense(s, d):
+    """An index as it is made, and one that rows are missing from."""
+    idx = history.dense_index(_nodes(s, d))
+    return idx.agg(*_is_dense("whole")).unionByName(idx.where("node_idx % 7 <> 3").agg(*_is_dense("broken")))
+
+
+_DENSE_SQL = "count(*) = max(i) + 1 AND count(*) = count(DISTINCT i) AND min(i) = 0 AS dense FROM k"
+register("val01", _dense, _F + f", k AS (SELECT row_number() OVER (ORDER BY date, review_id) - 1 AS i FROM r) SELECT 'whole' AS part, {_DENSE_SQL} UNION ALL SELECT 'broken', {_DENSE_SQL} WHERE i % 7 <> 3")
+
+
+def _mask_faults(s, d):
+    """Counts over a split with faults put in: every tenth review in two parts, others in none."""
+    split = _split(s, d).select("review_id", F.when(F.col("review_id") % 15 != 7, F.col("split")).alias("split"))
+    twice = split.unionByName(split.where("review_id % 10 = 0").withColumn("split", F.lit("test")))
+    return twice.groupBy("review_id").agg(F.count("*").alias("c"), F.count("split").alias("k")).agg(F.count_if(F.col("c") > 1).alias("in_several"), F.count_if(F.col("k") == 0).alias("in_none"))
+
+
+register("val03", _mask_faults, _PARTS + " SELECT count(*) FILTER (review_id % 10 = 0) AS in_several, count(*) FILTER (review_id % 15 = 7 AND review_id % 10 <> 0) AS in_none FROM p1")
 register(
     "sc23",
     lambda s, d: rounded(_shifted_cosines(s, d)),

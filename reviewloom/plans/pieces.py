@@ -25,6 +25,10 @@ def _flags(s, d):
     return units.flagged(units.product_week_units(features(s, d)), "relative")
 
 
+def _pairs(s, d, rating):
+    return _nodes(s, d).where(F.col("rating") == rating).select("user_id", "prod_id")
+
+
 # Scalars.
 register("sc05", lambda s, d: rounded(table(s, d, "documents").select("doc_id", F.size(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9']+"), 0))).alias("tokens"))), "SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+'))) AS BIGINT) AS tokens FROM documents")
 register("sc12", lambda s, d: table(s, d, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars")), "SELECT doc_id, coalesce(lang, '') AS lang, length(coalesce(text, '')) AS chars FROM documents")
@@ -90,7 +94,7 @@ register("prj06", lambda s, d: table(s, d, "events").select("event_id", F.coales
 # Joins.
 register("jn01", lambda s, d: rounded(_nodes(s, d).join(texts(s, d).select("doc_id", "word_len"), "doc_id", "left").select("review_id", "word_len")), _F + " SELECT review_id, word_len FROM r LEFT JOIN t USING (doc_id)")
 register("jn04", lambda s, d: _nodes(s, d).join(_nodes(s, d).where("rating = 1").select("user_id"), "user_id", "left_semi").select("review_id"), _F + " SELECT review_id FROM r WHERE user_id IN (SELECT user_id FROM r WHERE rating = 1)")
-register("jn05", lambda s, d: _nodes(s, d).join(_nodes(s, d).where("rating = 1").select("user_id"), "user_id", "left_anti").select("review_id"), _F + " SELECT review_id FROM r WHERE user_id NOT IN (SELECT user_id FROM r WHERE rating = 1)")
+register("jn05", lambda s, d: _nodes(s, d).join(_pairs(s, d, 1), ["user_id", "prod_id"], "left_anti").select("review_id"), _F + " SELECT review_id FROM r WHERE (user_id, prod_id) NOT IN (SELECT (user_id, prod_id) FROM r WHERE rating = 1)")
 register("jn06", lambda s, d: features(s, d).join(features(s, d).where("extreme_rating = 1 AND is_fake = 1").select("prod_id", "week"), ["prod_id", "week"], "left_semi").select("review_id"), _F + " SELECT review_id FROM f WHERE (prod_id, week) IN (SELECT (prod_id, week) FROM f WHERE extreme_rating = 1 AND is_fake = 1)")
 register("jn07", lambda s, d: _nodes(s, d).select("review_id", F.count("*").over(Window.partitionBy("prod_id", "rating")).alias("bucket_size")), _F + " SELECT review_id, count(*) OVER (PARTITION BY prod_id, rating) AS bucket_size FROM r")
 register(
@@ -172,8 +176,8 @@ register("st02", _first_role, _F + ", k AS (" + " UNION ALL ".join(f"SELECT revi
 register("st03", lambda s, d: features(s, d).select("prod_id", "week").distinct(), _F + " SELECT DISTINCT prod_id, week FROM f")
 register(
     "st04",
-    lambda s, d: _nodes(s, d).where("rating = 1").select("user_id").union(_nodes(s, d).where("rating = 5").select("user_id")).distinct().join(_nodes(s, d).where("rating = 3").select("user_id"), "user_id", "left_anti"),
-    _F + " (SELECT user_id FROM r WHERE rating = 1 UNION SELECT user_id FROM r WHERE rating = 5) EXCEPT SELECT user_id FROM r WHERE rating = 3",
+    lambda s, d: _pairs(s, d, 1).union(_pairs(s, d, 5)).distinct().join(_pairs(s, d, 3), ["user_id", "prod_id"], "left_anti"),
+    _F + " (SELECT user_id, prod_id FROM r WHERE rating = 1 UNION SELECT user_id, prod_id FROM r WHERE rating = 5) EXCEPT SELECT user_id, prod_id FROM r WHERE rating = 3",
 )
 register("st05", lambda s, d: _three_kinds(s, d).select("src", "dst").where("src <> dst").distinct(), _KINDS + " SELECT DISTINCT src, dst FROM k2 WHERE src <> dst")
 register("st07", lambda s, d: edges.prior_context(features(s, d), 5).join(edges.last_k(_nodes(s, d), "user_id", 5), ["src", "dst"], "left_anti"), _LAST + _PRIOR + " SELECT ed05.src, ed05.dst FROM ed05 ANTI JOIN ed02 ON ed05.src = ed02.src AND ed05.dst = ed02.dst")

@@ -39,7 +39,7 @@ def _reach_sql(legacy: bool) -> str:
 s2 AS (SELECT *, greatest(impact, max(impact) OVER (PARTITION BY prod_id ORDER BY date, review_id ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), max(impact) OVER (PARTITION BY user_id ORDER BY date, review_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)) AS reach FROM s1),
 s4 AS ({' UNION ALL '.join(f'SELECT {q} AS q, quantile_cont(impact, {q}) AS cut FROM s2' for q in sampling.LADDER)}),
 s5 AS (SELECT q, cut FROM s4 WHERE (SELECT count(*) FROM s2 WHERE old OR reach >= cut) <= {budget} ORDER BY q LIMIT 1),
-s6 AS (SELECT review_id FROM s2 WHERE old OR (NOT EXISTS (FROM s5) AND review_id IN (SELECT review_id FROM s2 WHERE impact IS NOT NULL ORDER BY impact DESC, date, review_id LIMIT (SELECT {budget} - count(*) FROM s2 WHERE old))) OR reach >= (SELECT cut FROM s5))"""
+s6 AS (SELECT review_id FROM s2 WHERE old OR (NOT EXISTS (FROM s5) AND review_id IN (SELECT review_id FROM s2 WHERE impact >= (SELECT max(cut) FROM s4) ORDER BY impact DESC, date, review_id LIMIT (SELECT {budget} - count(*) FROM s2 WHERE old))) OR reach >= (SELECT cut FROM s5))"""
 
 
 def _fill_sql(legacy: bool) -> str:
