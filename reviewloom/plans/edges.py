@@ -84,7 +84,20 @@ register(
     _TYPED + " SELECT CAST(edge_type AS BIGINT) AS edge_type, count(*) AS directed_edges, count(DISTINCT (least(src, dst), greatest(src, dst))) AS undirected_edges, round(count(*) / (SELECT count(*) FROM r), 6) AS mean_degree, "
     "(SELECT count(*) FROM r) - (SELECT count(DISTINCT n) FROM (SELECT unnest([x.src, x.dst]) AS n FROM te x WHERE x.edge_type = te.edge_type)) AS isolated_nodes FROM te GROUP BY edge_type",
 )
-register("val04", lambda s, d: rounded(edges.edge_violations(typed_edges(s, d), _nodes(s, d))), _TYPED + " SELECT CAST(0 AS BIGINT) AS self_loops, CAST(0 AS BIGINT) AS unknown_types, CAST(0 AS BIGINT) AS repeats, CAST(0 AS BIGINT) AS unknown_ends")
+def _faulty_edges(s, d):
+    """Typed edges with faults put in: repeats, loops of an unknown type, and ends that are no review."""
+    e = typed_edges(s, d).select("src", "dst", F.col("edge_type").cast("long").alias("edge_type"))
+    loops = e.where("src % 7 = 3").select("src", F.col("src").alias("dst"), F.lit(9).cast("long").alias("edge_type"))
+    lost = e.where("src % 11 = 2").select((-F.col("src") - 1).alias("src"), "dst", "edge_type")
+    return e.unionByName(e.where("src % 5 = 0")).unionByName(loops).unionByName(lost)
+
+
+register(
+    "val04",
+    lambda s, d: rounded(edges.edge_violations(_faulty_edges(s, d), _nodes(s, d))),
+    _TYPED + ", vb AS (SELECT * FROM te UNION ALL SELECT * FROM te WHERE src % 5 = 0 UNION ALL SELECT src, src, 9 FROM te WHERE src % 7 = 3 UNION ALL SELECT -src - 1, dst, edge_type FROM te WHERE src % 11 = 2) SELECT count(*) FILTER (src = dst) AS self_loops, count(*) FILTER (edge_type NOT IN (0, 1, 2)) AS unknown_types, "
+    "CAST((SELECT coalesce(sum(c - 1), 0) FROM (SELECT count(*) AS c FROM vb GROUP BY src, dst, edge_type)) AS BIGINT) AS repeats, (SELECT count(*) FROM (SELECT unnest([src, dst]) AS e FROM vb) WHERE e NOT IN (SELECT review_id FROM r)) AS unknown_ends FROM vb",
+)
 register(
     "gn02",
     lambda s, d: rounded(edges.neighbour_means(typed_edges(s, d), features(s, d), ["rating_norm", "log_word_len"])),
