@@ -2,15 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def running(counts: DataFrame, value: str, sums: list[str], descending: bool = False, ranges: int = 128) -> DataFrame:
+    """Adds upto_<s> for each of ``sums``: its total over all rows up to this one in the order of ``value``, which is distinct.
+
+    A window over all values would run in one task. Values are cut into ranges at approximate quantiles, sums run inside
+    each range, and what the ranges before hold, at most ``ranges`` rows, is broadcast. Rows whose sums are all 0 go.
+    """
+    counts = counts.where(reduce(lambda a, b: a + b, [F.col(c) for c in sums]) > 0)
+    cuts = counts.agg(F.array_distinct(F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(20 * ranges))).alias("_cuts"))
+    cut = counts.crossJoin(F.broadcast(cuts)).withColumn("_range", F.when(F.col(value).isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(value))))).drop("_cuts")
+    order = (lambda c: F.desc(c)) if descending else F.asc
+    before = Window.orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = cut.groupBy("_range").agg(*[F.sum(c).alias(c) for c in sums]).select("_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{c}") for c in sums])
+    inside = Window.partitionBy("_range").orderBy(order(value))
+    out = cut.join(F.broadcast(whole), "_range")
+    return out.withColumns({f"upto_{c}": F.sum(c).over(inside) + F.col(f"_before_{c}") for c in sums}).drop("_range", *[f"_before_{c}" for c in sums])
+
+
+def _gamma_tail(a: float, x: float) -> float:
+    """Upper regularised incomplete gamma function, by the series below a + 1 and the continued fraction above."""
+    if x <= 0:
+        return 1.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        n = a
+        while abs(term) > abs(total) * 1e-15:
+            n += 1
+            term *= x / n
+            total += term
+        return 1 - front * total
+    value, n = 0.0, 300
+    for i in range(n, 0, -1):
+        value = i * (i - a) / (x + 2 * i + 1 - a - value)
+    return front / (x + 1 - a - value)
+
+
+def _t_tail(t: float, dof: float) -> float:
+    """Both tails of Student's distribution: 1 less the series of the incomplete beta function, or the normal tails far out."""
+    x, b = t * t / (dof + t * t), dof / 2
+    if t * t > 600:
+        return 0.0
+    term = total = 1.0
+    n = 0
+    while term > total * 1e-16 and n < 100_000:
+        term *= x * (0.5 + b + n) / (1.5 + n)
+        total += term
+        n += 1
+    front = math.exp(0.5 * math.log(x) + b * math.log1p(-x) + math.lgamma(b + 0.5) - math.lgamma(b) - math.lgamma(0.5)) * 2 if x > 0 else 0.0
+    return max(0.0, 1 - front * total)
+
+
+def _helper(f):
+    """A function of one or two numbers for result tables of a few rows; null in, null out."""
+    return F.udf(lambda *xs: None if any(x is None for x in xs) else float(f(*xs)), "double")
+
+
+def chi_square_p(chi2: Column, dof: Column) -> Column:
+    return _helper(lambda x, k: _gamma_tail(k / 2, x / 2) if k > 0 else 1.0)(chi2, dof)
+
+
+def t_p(t: Column, dof: Column) -> Column:
+    return _helper(_t_tail)(t, dof)
+
+
+def normal_p(z: Column) -> Column:
+    """Both tails of the normal distribution."""
+    return _helper(lambda z: math.erfc(abs(z) / math.sqrt(2)))(z)
+
+
+def kolmogorov_p(distance: Column, n1: Column, n2: Column) -> Column:
+    """Limit distribution of the two-sample distance."""
+    x2 = distance * distance * n1 * n2 / (n1 + n2)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda s, k: s + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * x2))
+    return F.when(x2 < 0.04, 1.0).otherwise(F.least(F.greatest(series, F.lit(0.0)), F.lit(1.0)))
+
+
 def average_ranks(df: DataFrame, column: str) -> DataFrame:
     """Adds avg_rank, ties sharing their mean rank. Counts per value are summed; no row is ranked by itself."""
     counts = df.groupBy(column).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.orderBy(column))
-    ranks = counts.select(F.col(column).alias("_value"), (upto - F.col("_c") + (F.col("_c") + 1) / 2).alias("avg_rank"))
+    ranks = running(counts, column, ["_c"]).select(F.col(column).alias("_value"), (F.col("upto__c") - F.col("_c") + (F.col("_c") + 1) / 2).alias("avg_rank"))
     return df.join(ranks, df[column].eqNullSafe(ranks["_value"])).drop("_value")
 
 
@@ -20,14 +98,12 @@ def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """Step-wise: ties form one step; null if only one class is there."""
-    w = Window.orderBy(F.desc("v"))
-    steps = _by_score(df, score, label).withColumns({"tp": F.sum("pos").over(w), "all": F.sum(F.col("pos") + F.col("neg")).over(w)})
+    steps = running(_by_score(df, score, label), "v", ["pos", "neg"], descending=True).withColumns({"tp": F.col("upto_pos"), "all": F.col("upto_pos") + F.col("upto_neg")})
     return steps.agg(F.when((F.sum("pos") > 0) & (F.sum("neg") > 0), F.sum(F.col("pos") * F.col("tp") / F.col("all")) / F.sum("pos")).alias("average_precision"))
 
 
 def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    pairs = _by_score(df, score, label).withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    pairs = running(_by_score(df, score, label), "v", ["pos", "neg"]).withColumn("won", F.col("pos") * (F.col("upto_neg") - F.col("neg") / 2))
     n = F.sum("pos") * F.sum("neg")
     return pairs.agg(F.when(n > 0, F.sum("won") / n).alias("roc_auc"))
 
@@ -72,25 +148,39 @@ def odds_ratio(df: DataFrame, flag: str, label: str) -> DataFrame:
 
 
 def two_groups(df: DataFrame, value: str, label: str) -> DataFrame:
-    """Cohen's d (pooled sample variance), Welch's t, Cliff's delta and Mann-Whitney U of a value, label 1 against 0."""
+    """Cohen's d (pooled sample variance), Welch's t, Cliff's delta and Mann-Whitney U of a value, label 1 against 0.
+
+    welch_p takes Welch's degrees of freedom; mann_whitney_p the normal limit with ties and continuity.
+    """
     one, two = F.when(F.col(label) == 1, F.col(value)), F.when(F.col(label) == 0, F.col(value))
     m = df.agg(*[f(c).alias(n + s) for s, c in (("1", one), ("0", two)) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
     auc = roc_auc(df, value, label)
     pooled = F.sqrt(((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0")) / (F.col("n1") + F.col("n0") - 2))
     gap = F.col("m1") - F.col("m0")
-    return m.crossJoin(auc).select(F.lit(value).alias("feature"), (gap / pooled).alias("cohens_d"), (gap / F.sqrt(F.col("v1") / F.col("n1") + F.col("v0") / F.col("n0"))).alias("welch_t"), (2 * F.col("roc_auc") - 1).alias("cliffs_delta"), (F.col("roc_auc") * F.col("n1") * F.col("n0")).alias("mann_whitney_u"))
+    e1, e0, n = F.col("v1") / F.col("n1"), F.col("v0") / F.col("n0"), F.col("n1") + F.col("n0")
+    ties = df.where(F.col(label).isin(0, 1) & F.col(value).isNotNull()).groupBy(value).agg(F.count("*").cast("double").alias("c")).agg(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"))
+    t = gap / F.sqrt(e1 + e0)
+    dof = (e1 + e0) * (e1 + e0) / (e1 * e1 / (F.col("n1") - 1) + e0 * e0 / (F.col("n0") - 1))
+    product = F.col("n1") * F.col("n0")
+    spread = F.sqrt(product / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    z = F.greatest((F.abs(F.col("roc_auc") - 0.5) * product - 0.5) / spread, F.lit(0.0))
+    return m.crossJoin(auc).crossJoin(ties).select(
+        F.lit(value).alias("feature"), (gap / pooled).alias("cohens_d"), t.alias("welch_t"), t_p(t, dof).alias("welch_p"), (2 * F.col("roc_auc") - 1).alias("cliffs_delta"),
+        (F.col("roc_auc") * product).alias("mann_whitney_u"), normal_p(z).alias("mann_whitney_p"),
+    )
 
 
 def kolmogorov_smirnov(df: DataFrame, value: str, side: str) -> DataFrame:
-    """Largest distance of the two cumulative distributions, side 1 against 0."""
+    """Largest distance of the two cumulative distributions, side 1 against 0, and its p-value in the limit."""
     c = df.groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(side) == 1).alias("a"), F.count_if(F.col(side) == 0).alias("b"))
-    w, whole = Window.orderBy("v"), Window.partitionBy()
-    gap = F.abs(F.sum("a").over(w) / F.sum("a").over(whole) - F.sum("b").over(w) / F.sum("b").over(whole))
-    return c.select(gap.alias("gap")).agg(F.max("gap").alias("ks_statistic"))
+    whole = c.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    gap = F.abs(F.col("upto_a") / F.col("na") - F.col("upto_b") / F.col("nb"))
+    best = running(c, "v", ["a", "b"]).crossJoin(F.broadcast(whole)).groupBy("na", "nb").agg(F.max(gap).alias("ks_statistic"))
+    return best.select("ks_statistic", kolmogorov_p(F.col("ks_statistic"), F.col("na"), F.col("nb")).alias("p_value"))
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Statistic (with Yates' correction at one degree of freedom), degrees of freedom and Cramer's V of two columns."""
+    """Statistic (with Yates' correction at one degree of freedom), degrees of freedom, p-value and Cramer's V of two columns."""
     cells = df.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("o"))
     xs, ys = cells.groupBy("x").agg(F.sum("o").alias("nx")), cells.groupBy("y").agg(F.sum("o").alias("ny"))
     full = F.broadcast(xs).crossJoin(F.broadcast(ys)).join(cells, ["x", "y"], "left").withColumn("o", F.coalesce("o", F.lit(0)))
@@ -99,7 +189,7 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     gap = F.abs(F.col("o") - F.col("e"))
     fixed = F.when(F.col("dof") == 1, gap - F.least(gap, F.lit(0.5))).otherwise(gap)
     s = t.groupBy("dof", "n", "r", "k").agg(F.sum(fixed * fixed / F.col("e")).alias("chi2"))
-    return s.select("chi2", "dof", F.sqrt(F.col("chi2") / (F.col("n") * (F.least("r", "k") - 1))).alias("cramers_v"))
+    return s.select("chi2", "dof", chi_square_p(F.col("chi2"), F.col("dof")).alias("p_value"), F.sqrt(F.col("chi2") / (F.col("n") * (F.least("r", "k") - 1))).alias("cramers_v"))
 
 
 def feature_screen(df: DataFrame, columns: list[str], label: str) -> DataFrame:

@@ -45,10 +45,27 @@ SELECT 'word_len' AS feature, """
 for _name, _column, _sql in (
     ("ts02", "cohens_d", "round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6)"),
     ("ts03", "cliffs_delta", "round(2 * auc - 1, 6)"),
-    ("ts05", "welch_t", "round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6)"),
-    ("ts06", "mann_whitney_u", "round(auc * n1 * n0, 6)"),
 ):
     register(_name, lambda s, d, c=_column: rounded(stats.two_groups(_scored(s, d), "word_len", "is_fake").select("feature", c)), _TWO + f"{_sql} AS {_column} FROM m")
+
+
+def _tail_sql(a: str, x: str) -> str:
+    """Upper incomplete gamma function as 1 less a power series; 0 where the series would need too many terms."""
+    return f"CASE WHEN {x} <= 0 THEN 1 WHEN {x} > 300 THEN 0 ELSE greatest(0, 1 - list_sum(list_transform(range(0, 1500), lambda n: exp(({a} + n) * ln({x}) - {x} - lgamma({a} + n + 1))))) END"
+
+
+register(
+    "ts05",
+    lambda s, d: rounded(stats.two_groups(_scored(s, d), "word_len", "is_fake").select("feature", "welch_t", "welch_p")),
+    _TWO.replace("SELECT 'word_len' AS feature, ", ", q AS (SELECT (m1 - m0) / sqrt(v1 / n1 + v0 / n0) AS t, power(v1 / n1 + v0 / n0, 2) / (power(v1 / n1, 2) / (n1 - 1) + power(v0 / n0, 2) / (n0 - 1)) AS dof FROM m), q1 AS (SELECT t, t * t / (dof + t * t) AS x, dof / 2 AS b FROM q) ")
+    + "SELECT 'word_len' AS feature, round(t, 6) AS welch_t, round(CASE WHEN x <= 0 THEN 1 WHEN t * t > 600 THEN 0 ELSE greatest(0, 1 - list_sum(list_transform(range(0, 1500), lambda n: exp((0.5 + n) * ln(x) + b * ln(1 - x) + lgamma(0.5 + b + n) - lgamma(1.5 + n) - lgamma(b))))) END, 6) AS welch_p FROM q1",
+)
+register(
+    "ts06",
+    lambda s, d: rounded(stats.two_groups(_scored(s, d), "word_len", "is_fake").select("feature", "mann_whitney_u", "mann_whitney_p")),
+    _TWO.replace("SELECT 'word_len' AS feature, ", ", tc AS (SELECT count(*) AS c FROM s GROUP BY word_len), q AS (SELECT auc * n1 * n0 AS u, greatest((abs(auc - 0.5) * n1 * n0 - 0.5) / sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - (SELECT sum(c * c * c - c) FROM tc) / ((n1 + n0) * (n1 + n0 - 1)))), 0) AS z FROM m), q1 AS (SELECT u, z * z / 2 AS x FROM q) ")
+    + f"SELECT 'word_len' AS feature, round(u, 6) AS mann_whitney_u, round({_tail_sql('0.5', 'x')}, 6) AS mann_whitney_p FROM q1",
+)
 register(
     "ts04",
     lambda s, d: rounded(stats.odds_ratio(_scored(s, d), "extreme_rating", "is_fake")),
@@ -57,16 +74,16 @@ register(
 _CHI = """, o AS (SELECT {a} AS x, is_fake AS y, count(*) AS o FROM s GROUP BY ALL), e AS (SELECT x, y, sum(o) AS nx FROM o GROUP BY ALL),
 xs AS (SELECT x, sum(o) AS nx FROM o GROUP BY x), ys AS (SELECT y, sum(o) AS ny FROM o GROUP BY y), z AS (SELECT count(*) AS r, sum(nx) AS n, (SELECT count(*) FROM ys) AS k FROM xs),
 g9 AS (SELECT abs(coalesce(o.o, 0) - nx * ny / n) AS gap, nx * ny / n AS e, (r - 1) * (k - 1) AS dof, n, least(r, k) AS l FROM xs CROSS JOIN ys CROSS JOIN z LEFT JOIN o ON o.x = xs.x AND o.y = ys.y)
-SELECT round(sum(power(CASE WHEN dof = 1 THEN gap - least(gap, 0.5) ELSE gap END, 2) / e), 6) AS chi2, dof, round(sqrt(sum(power(CASE WHEN dof = 1 THEN gap - least(gap, 0.5) ELSE gap END, 2) / e) / (n * (l - 1))), 6) AS cramers_v FROM g9 GROUP BY dof, n, l"""
-register("ts01", lambda s, d: rounded(stats.chi_square(_scored(s, d), "rating", "is_fake")), _S + _CHI.format(a="rating"))
-register("ts01_yates", lambda s, d: rounded(stats.chi_square(_scored(s, d), "extreme_rating", "is_fake")), _S + _CHI.format(a="extreme_rating"))
+SELECT round(c, 6) AS chi2, dof, round({tail}, 6) AS p_value, round(sqrt(c / (n * (l - 1))), 6) AS cramers_v FROM (SELECT sum(power(CASE WHEN dof = 1 THEN gap - least(gap, 0.5) ELSE gap END, 2) / e) AS c, dof, n, l, c / 2 AS x, dof / 2 AS a FROM g9 GROUP BY dof, n, l)"""
+register("ts01", lambda s, d: rounded(stats.chi_square(_scored(s, d), "rating", "is_fake")), _S + _CHI.format(a="rating", tail=_tail_sql("a", "x")))
+register("ts01_yates", lambda s, d: rounded(stats.chi_square(_scored(s, d), "extreme_rating", "is_fake")), _S + _CHI.format(a="extreme_rating", tail=_tail_sql("a", "x")))
 register(
     "ts08",
     lambda s, d: rounded(stats.kolmogorov_smirnov(_scored(s, d), "word_len", "is_fake")),
-    _S + ", g AS (SELECT word_len AS v, sum(is_fake) AS a, sum(1 - is_fake) AS b FROM s GROUP BY word_len), h AS (SELECT abs(sum(a) OVER w / sum(a) OVER () - sum(b) OVER w / sum(b) OVER ()) AS gap FROM g WINDOW w AS (ORDER BY v)) SELECT round(max(gap), 6) AS ks_statistic FROM h",
+    _S + ", g AS (SELECT word_len AS v, sum(is_fake) AS a, sum(1 - is_fake) AS b FROM s GROUP BY word_len), h AS (SELECT abs(sum(a) OVER w / sum(a) OVER () - sum(b) OVER w / sum(b) OVER ()) AS gap FROM g WINDOW w AS (ORDER BY v)) SELECT round(max(gap), 6) AS ks_statistic, round(CASE WHEN x < 0.04 THEN 1 ELSE least(1, greatest(0, list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END) * exp(-2 * k * k * x))))) END, 6) AS p_value FROM (SELECT max(gap) AS gap, power(max(gap), 2) * (SELECT sum(a) * sum(b) / (sum(a) + sum(b)) FROM g) AS x FROM h) GROUP BY x",
 )
 
-for _name, _key in {"ag07_rating": "rating", "ag07_month": "month", "ag07_dow": "day_of_week"}.items():
+for _name, _key in {"ag07_rating": "rating", "ag07_month": "month"}.items():
     register(
         _name,
         lambda s, d, k=_key: rounded(features(s, d).groupBy(k).agg(F.count("*").alias("reviews"), F.sum("is_fake").alias("fake"), F.avg("is_fake").alias("fake_rate"))),
@@ -77,6 +94,20 @@ register(
     lambda s, d: rounded(features(s, d).groupBy("is_fake").agg(F.avg("char_len").alias("mean_chars"), F.median("char_len").alias("median_chars"), F.percentile("char_len", 0.9).alias("p90"), F.percentile("char_len", 0.99).alias("p99"))),
     _F + " SELECT CAST(is_fake AS BIGINT) AS is_fake, round(avg(char_len), 6) AS mean_chars, round(median(char_len), 6) AS median_chars, round(quantile_cont(char_len, 0.9), 6) AS p90, round(quantile_cont(char_len, 0.99), 6) AS p99 FROM f GROUP BY is_fake",
 )
+register(
+    "ag07_year",
+    lambda s, d: rounded(features(s, d).groupBy(F.year("date").alias("year")).agg(F.count("*").alias("reviews"), F.sum("is_fake").alias("fake"), F.avg("is_fake").alias("fake_rate"))),
+    _F + " SELECT year(date) AS year, count(*) AS reviews, CAST(sum(is_fake) AS BIGINT) AS fake, round(avg(is_fake), 6) AS fake_rate FROM f GROUP BY 1",
+)
+
+
+def _week_days(s, d):
+    """All seven days, those without reviews too."""
+    got = features(s, d).groupBy("day_of_week").agg(F.count("*").alias("reviews"), F.sum("is_fake").alias("fake"), F.avg("is_fake").alias("fake_rate"))
+    return rounded(s.range(7).select(F.col("id").alias("day_of_week")).join(got, "day_of_week", "left").fillna(0, ["reviews", "fake"]))
+
+
+register("ag07_dow", _week_days, _F + " SELECT w.x AS day_of_week, count(f.review_id) AS reviews, CAST(coalesce(sum(is_fake), 0) AS BIGINT) AS fake, round(avg(is_fake), 6) AS fake_rate FROM range(7) w(x) LEFT JOIN f ON f.day_of_week = w.x GROUP BY 1")
 #: Right-closed bins of text length, the first with its lower end; labels are an interface.
 _CUTS = (0, 50, 100, 200, 500, 1000, 5000, 1_000_000)
 _LABELS = [f"({'-0.001' if i == 0 else float(a)}, {float(b)}]" for i, (a, b) in enumerate(zip(_CUTS, _CUTS[1:], strict=False))]
@@ -90,10 +121,18 @@ def _histogram(s, d):
 
 
 register("ag09", _histogram, _F + f", g AS (SELECT {' + '.join(f'CAST(char_len > {c} AS INT)' for c in _CUTS[1:])} AS bin, is_fake FROM f) SELECT label, count(g.bin) AS reviews, round(avg(is_fake), 6) AS fake_rate FROM (VALUES {', '.join(f'({i}, {chr(39)}{x}{chr(39)})' for i, x in enumerate(_LABELS))}) l(bin, label) LEFT JOIN g USING (bin) GROUP BY label")
+
+
+def _crosstab(s, d):
+    t = features(s, d).groupBy("rating").agg(F.count_if(F.col("is_fake") == 1).alias("fake"), F.count_if(F.col("is_fake") == 0).alias("real"))
+    whole = Window.partitionBy()
+    return rounded(t.withColumns({f"{c}_share": F.col(c) / F.sum(c).over(whole) for c in ("fake", "real")}))
+
+
 register(
     "ag10",
-    lambda s, d: rounded(features(s, d).groupBy("rating").agg(F.count_if(F.col("is_fake") == 1).alias("fake"), F.count_if(F.col("is_fake") == 0).alias("real"))),
-    _F + " SELECT rating, count(*) FILTER (is_fake = 1) AS fake, count(*) FILTER (is_fake = 0) AS real FROM f GROUP BY rating",
+    _crosstab,
+    _F + ", g9 AS (SELECT rating, count(*) FILTER (is_fake = 1) AS fake, count(*) FILTER (is_fake = 0) AS real FROM f GROUP BY rating) SELECT *, round(fake / sum(fake) OVER (), 6) AS fake_share, round(real / sum(real) OVER (), 6) AS real_share FROM g9",
 )
 register(
     "ag11",
@@ -103,13 +142,21 @@ register(
 
 
 def _concentration(s, d):
-    c = standardize(reviews(s, d)).groupBy("prod_id").agg(F.count("*").alias("c"))
-    w, whole = Window.orderBy(F.desc("c"), "prod_id"), Window.partitionBy()
-    ranked = c.select("c", F.row_number().over(w).alias("k"), F.count("*").over(whole).alias("n"))
-    return rounded(ranked.agg(*[(F.sum(F.when(F.col("k") <= F.ceil(F.col("n") * p), F.col("c"))) / F.sum("c")).alias(a) for p, a in ((0.01, "top1_share"), (0.1, "top10_share"))]))
+    """Shares of the largest products, by how many products have each number of reviews: few rows, whatever the products."""
+    per = standardize(reviews(s, d)).groupBy("prod_id").agg(F.count("*").alias("c"), F.sum("is_fake").alias("fake"))
+    sizes = per.groupBy("c").agg(F.count("*").alias("m"), F.count_if(F.col("fake") > 0).alias("any"), F.count_if(F.col("fake") == F.col("c")).alias("every"))
+    whole = Window.partitionBy()
+    ranked = sizes.withColumns({"upto": F.sum("m").over(Window.orderBy(F.desc("c"))), "n": F.sum("m").over(whole)})
+    taken = lambda p: F.greatest(F.least(F.ceil(F.col("n") * p) - (F.col("upto") - F.col("m")), F.col("m")), F.lit(0))
+    shares = [(F.sum(taken(p) * F.col("c")) / F.sum(F.col("c") * F.col("m"))).alias(a) for p, a in ((0.01, "top1_share"), (0.1, "top10_share"))]
+    return rounded(ranked.agg(*shares, (F.sum("any") / F.sum("m")).alias("share_with_fake"), F.sum("every").alias("all_fake")))
 
 
-register("ag12", _concentration, _F + ", g9 AS (SELECT count(*) AS c, row_number() OVER (ORDER BY count(*) DESC, prod_id) AS k, count(*) OVER () AS n FROM r GROUP BY prod_id) SELECT round(sum(c) FILTER (k <= ceil(n * 0.01)) / sum(c), 6) AS top1_share, round(sum(c) FILTER (k <= ceil(n * 0.1)) / sum(c), 6) AS top10_share FROM g9")
+register(
+    "ag12",
+    _concentration,
+    _F + ", g9 AS (SELECT count(*) AS c, sum(is_fake) AS fake, row_number() OVER (ORDER BY count(*) DESC, prod_id) AS k, count(*) OVER () AS n FROM r GROUP BY prod_id) SELECT round(sum(c) FILTER (k <= ceil(n * 0.01)) / sum(c), 6) AS top1_share, round(sum(c) FILTER (k <= ceil(n * 0.1)) / sum(c), 6) AS top10_share, round(count(*) FILTER (fake > 0) / count(*), 6) AS share_with_fake, count(*) FILTER (fake = c) AS all_fake FROM g9",
+)
 register("ag13", lambda s, d: standardize(reviews(s, d)).agg(F.count_distinct("user_id").alias("users"), F.count_distinct("prod_id").alias("products")), _F + " SELECT count(DISTINCT user_id) AS users, count(DISTINCT prod_id) AS products FROM r")
 _POINTS = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 register("ag14", lambda s, d: rounded(features(s, d).agg(*[F.percentile("word_len", p).alias(f"q{int(p * 100)}") for p in _POINTS])), _F + " SELECT " + ", ".join(f"round(quantile_cont(word_len, {p}), 6) AS q{int(p * 100)}" for p in _POINTS) + " FROM f")
