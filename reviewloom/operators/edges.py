@@ -101,15 +101,15 @@ def cold_start_cohort(f: DataFrame, max_prior: int = 1, days: int = 3, k: int =
     return both_ways(top_k(pairs, k, F.col("days_apart"), distance, F.col("dst")))
 
 
-def campaign_pairs(f: DataFrame, vectors: DataFrame, existing: DataFrame | None = None, quantile: float = 0.6, k: int = 3, budget: int = 6000, min_score: float = 0.2, min_group: int = 3) -> DataFrame:
+def campaign_pairs(f: DataFrame, vectors: DataFrame, train: Column | None = None, existing: DataFrame | None = None, quantile: float = 0.6, k: int = 3, budget: int = 6000, min_score: float = 0.2, min_group: int = 3) -> DataFrame:
     """Directed edges between like reviews of one product, week and direction where behavior has shifted.
 
-    ``vectors`` has vec_id and embedding. Groups are gated by size and mean lift before any pair is made; pairs that
+    ``vectors`` has vec_id and embedding. Cutoffs are learned on rows where ``train`` holds, or on all. Groups are gated by size and mean lift before any pair is made; pairs that
     ``existing`` has are passed over; each source keeps its k best, then the best ``budget`` of all stay.
     """
     lift = reduce(lambda a, b: a + b, [F.greatest(F.col(c), F.lit(0.0)) for c in CAMPAIGN_LIFTS])
     f = f.withColumn("lift", lift)
-    cuts = f.agg(F.percentile("lift", quantile).alias("cut"), F.percentile("lift", 0.9).alias("q90"), F.greatest(F.coalesce(F.percentile(F.when(F.col("prior_product_rating_std") > 0, F.col("prior_product_rating_std")), 0.25), F.lit(1.0)), F.lit(1e-6)).alias("std_floor"))
+    cuts = (f if train is None else f.where(train)).agg(F.coalesce(F.percentile("lift", quantile), F.lit(0.0)).alias("cut"), F.coalesce(F.percentile("lift", 0.9), F.lit(1.0)).alias("q90"), F.greatest(F.coalesce(F.percentile(F.when(F.col("prior_product_rating_std") > 0, F.col("prior_product_rating_std")), 0.25), F.lit(1.0)), F.lit(1e-6)).alias("std_floor"))
     cuts = cuts.withColumn("q90", F.greatest("q90", "cut", F.lit(1e-6)))
     g = Window.partitionBy("prod_id", "week", "rating_direction")
     f = f.where("rating_direction <> 0").withColumns({"_size": F.count("*").over(g), "_mean": F.avg("lift").over(g)}).crossJoin(F.broadcast(cuts))
@@ -131,32 +131,67 @@ def campaign_pairs(f: DataFrame, vectors: DataFrame, existing: DataFrame | None
     return kept.orderBy(F.desc("score"), "src", "dst").limit(budget).select("src", "dst", "score")
 
 
+def numbered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds pos, from 0 in (date, review_id) order within the keys, and size. Rows with a null key or date go.
+
+    Rows are ranked within a key's day and days by their prefix sums, so a hot key is no single task.
+    """
+    by = Window.partitionBy(*keys)
+    days = df.groupBy(*keys, "date").agg(F.count("*").alias("_c"))
+    days = days.select(*keys, "date", F.coalesce(F.sum("_c").over(by.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(by).alias("size"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "date").orderBy("review_id")) - 1
+    return df.select(*keys, "date", "review_id").withColumn("_nth", nth).join(days, [*keys, "date"]).withColumn("pos", F.col("_nth") + F.col("_before")).select(*keys, "review_id", "pos", "size")
+
+
+def _greedy(ids: list, at: list[int], degree: list[int], cap: int, done: int = 0) -> pd.DataFrame:
+    """Edges by growing distance of positions, beyond ``done``, then by position, while both ends have fewer than ``cap``."""
+    out, open_ = [], [i for i in range(len(ids)) if degree[i] < cap]
+    for _, i, j in sorted((at[j] - at[i], i, j) for i in open_ for j in open_ if at[j] - at[i] > done):
+        if degree[i] < cap and degree[j] < cap:
+            out += [(ids[i], ids[j]), (ids[j], ids[i])]
+            degree[i] += 1
+            degree[j] += 1
+    return pd.DataFrame(out, columns=["src", "dst"])
+
+
 def capped_clique(df: DataFrame, keys: list[str], cap: int) -> DataFrame:
     """Symmetric edges within groups. Up to cap + 1 members all pairs; in larger groups by growing distance in (date, id)
     order, an edge being added only while both ends have fewer than ``cap``.
 
-    The greedy part depends on what was added before, so it runs per group in Python on ids only.
+    What is added depends on what was added before, which groups of up to ``6 * cap`` settle in Python on ids only. In a
+    larger group every step of 1 to cap // 2 is added whole and gives each inner member two edges; with an odd cap the
+    next step links alternate runs of its own length, which fills them. These are joins on (keys, position). What stays
+    open are the first and last (cap + 1) // 2 members, which Python links; so no task holds a large group.
     """
-    sized = df.withColumn("_size", F.count("*").over(Window.partitionBy(*keys)))
-    small = sized.where(F.col("_size") <= cap + 1).select(*keys, "review_id")
+    bound, half, odd = 6 * cap, cap // 2, cap % 2
+    n = numbered(df, keys)
+    small = n.where(F.col("size") <= cap + 1).select(*keys, "review_id")
     pairs = small.withColumnRenamed("review_id", "src").join(small.withColumnRenamed("review_id", "dst"), keys).where("src <> dst").select("src", "dst")
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf.sort_values(["date", "review_id"])["review_id"].tolist()
-        degree, out, open_ = [0] * len(ids), [], len(ids)
-        for step in range(1, len(ids)):
-            if open_ < 2:
-                break
-            for i in range(len(ids) - step):
-                if degree[i] < cap and degree[i + step] < cap:
-                    out += [(ids[i], ids[i + step]), (ids[i + step], ids[i])]
-                    for at in (i, i + step):
-                        degree[at] += 1
-                        open_ -= degree[at] == cap
-        return pd.DataFrame(out, columns=["src", "dst"])
-
-    large = sized.where(F.col("_size") > cap + 1).select(*keys, "date", "review_id").groupBy(*keys).applyInPandas(greedy, "src long, dst long")
-    return pairs.unionByName(large)
+    def middle(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf.sort_values("pos")["review_id"].tolist()
+        return _greedy(ids, list(range(len(ids))), [0] * len(ids), cap)
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        at, size, degree = pdf["pos"].tolist(), int(pdf["size"].iloc[0]), []
+        for pos in at:
+            got = min(pos, half) + min(size - 1 - pos, half)
+            if odd:  # runs of half + 1 members, the first linked to the second, the third to the fourth
+                run = pos // (half + 1)
+                got += run % 2 == 1 or pos + half + 1 < size
+            degree.append(got)
+        return _greedy(pdf["review_id"].tolist(), at, degree, cap, half + odd)
+
+    mid = n.where(F.col("size").between(cap + 2, bound)).groupBy(*keys).applyInPandas(middle, "src long, dst long")
+    large = n.where(F.col("size") > bound)
+    steps = F.sequence(F.lit(1), F.lit(half)) if half else F.array().cast("array<int>")
+    if odd:
+        steps = F.when(F.floor(F.col("pos") / (half + 1)) % 2 == 0, F.concat(steps, F.array(F.lit(half + 1)))).otherwise(steps)
+    first = large.select(*keys, F.col("review_id").alias("src"), F.explode(steps).alias("_step"), "pos").withColumn("pos", F.col("pos") + F.col("_step"))
+    inner = first.join(large.select(*keys, "pos", F.col("review_id").alias("dst")), [*keys, "pos"]).select("src", "dst")
+    outer = large.where((F.col("pos") <= half) | (F.col("pos") >= F.col("size") - half - 1)).groupBy(*keys).applyInPandas(ends, "src long, dst long")
+    return pairs.unionByName(mid).unionByName(inner).unionByName(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).unionByName(outer)
 
 
 def collapsed(edges: DataFrame) -> DataFrame:

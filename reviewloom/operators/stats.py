@@ -139,6 +139,15 @@ def best_threshold(df: DataFrame, score: str, label: str, rate_cap: bool = False
     return best.select(F.coalesce(F.col("b.threshold"), F.lit(0.5)).alias("threshold"), (-F.col("b.m")).alias("macro_f1"))
 
 
+def evaluated(df: DataFrame, score: str, label: str, split: str = "split") -> DataFrame:
+    """Test rows at the threshold of best macro F1 on validation rows: the threshold, ``confusion``, average precision, AUC."""
+    valid, test = df.where(F.col(split) == "valid"), df.where(F.col(split) == "test").withColumn(score, F.round(score, 9))
+    chosen = best_threshold(valid, score, label).select("threshold")
+    hits = test.crossJoin(F.broadcast(chosen)).select(label, "threshold", (F.col(score) >= F.col("threshold")).cast("double").alias("_hit"))
+    one = confusion(hits, "_hit", label, 0.5, ["threshold"])
+    return one.crossJoin(average_precision(test, score, label)).crossJoin(roc_auc(test, score, label))
+
+
 def odds_ratio(df: DataFrame, flag: str, label: str) -> DataFrame:
     """Odds ratio of the label by a flag with 0.5 added to each cell, and the label's rate on both sides."""
     on, real = F.col(flag) == 1, F.col(label) == 1

@@ -55,16 +55,15 @@ register(
 )
 register("flt04", lambda s, d: features(s, d).where("short_review_flag = 1 OR extreme_rating = 1").select("review_id"), _F + " SELECT review_id FROM f WHERE short_review_flag = 1 OR extreme_rating = 1")
 
-_CAMPAIGN = f""", cl AS (SELECT *, {' + '.join(f'greatest({c}, 0)' for c in edges.CAMPAIGN_LIFTS)} AS lift FROM f), cq AS (
-  SELECT quantile_cont(lift, 0.6) AS cut, greatest(quantile_cont(lift, 0.9), quantile_cont(lift, 0.6), 1e-6) AS q90, greatest(quantile_cont(prior_product_rating_std, 0.25) FILTER (prior_product_rating_std > 0), 1e-6) AS std_floor FROM cl
+_CAMPAIGN = f""", cl AS (SELECT *, {' + '.join(f'greatest({c}, 0)' for c in edges.CAMPAIGN_LIFTS)} AS lift FROM p1), cq AS (
+  SELECT quantile_cont(lift, 0.6) AS cut, greatest(quantile_cont(lift, 0.9), quantile_cont(lift, 0.6), 1e-6) AS q90, greatest(quantile_cont(prior_product_rating_std, 0.25) FILTER (prior_product_rating_std > 0), 1e-6) AS std_floor FROM cl WHERE split = 'train'
 ), cg AS (SELECT *, count(*) OVER g AS size, avg(lift) OVER g AS mean FROM cl, cq WHERE rating_direction <> 0 WINDOW g AS (PARTITION BY prod_id, week, rating_direction)
 ), ck AS (SELECT cg.*, least(abs(rating_deviation_from_prior_product_mean) / greatest(prior_product_rating_std, std_floor), 3) / 3 AS dev, CAST(embedding AS DOUBLE[]) AS v FROM cg JOIN embeddings e USING (vec_id) WHERE size >= 3 AND round(mean, 9) >= round(cut, 9)
 ), cs AS (
   SELECT a.review_id AS src, b.review_id AS dst, abs(a.date - b.date) AS apart, round(0.35 * (least(1, greatest(-1, list_cosine_similarity(a.v, b.v))) + 1) / 2 + 0.16 * least(a.is_new_user_at_review_time, b.is_new_user_at_review_time)
     + 0.14 * least(a.short_review_flag, b.short_review_flag) + 0.20 * least(a.dev, b.dev) + 0.15 * greatest(0, least(1, least(a.lift, b.lift) / a.q90)), 9) AS score
   FROM ck a JOIN ck b ON a.prod_id = b.prod_id AND a.week = b.week AND a.rating_direction = b.rating_direction AND a.review_id <> b.review_id
-), ed06 AS (SELECT src, dst, score FROM (SELECT * FROM cs WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, apart, dst) <= 3) ORDER BY score DESC, src, dst LIMIT 6000)"""
-register("ed06", lambda s, d: rounded(edges.campaign_pairs(features(s, d), table(s, d, "embeddings"))), _F + _CAMPAIGN + " SELECT src, dst, round(score, 6) AS score FROM ed06")
+), ed06 AS (SELECT src, dst, score FROM (SELECT cs.* FROM cs ANTI JOIN ed02 ON cs.src = ed02.src AND cs.dst = ed02.dst WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY cs.src ORDER BY score DESC, apart, cs.dst) <= 3) ORDER BY score DESC, src, dst LIMIT 6000)"""
 
 
 def typed_edges(s, d):

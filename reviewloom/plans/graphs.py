@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reviewloom.operators import matrix, models, units
+from reviewloom.operators import edges, matrix, models, stats, units
 from reviewloom.plans.base import features, register, rounded
-from reviewloom.plans.edges import _TYPED, typed_edges
-from reviewloom.sources import table
+from reviewloom.plans.edges import _CAMPAIGN, _F, _LAST, _TYPED, _nodes, typed_edges
+from reviewloom.plans.models import _PARTS
+from reviewloom.plans.scores import _SCORE
+from reviewloom.sources import cut, table
 
 COLUMNS = ["rating_norm", "log_word_len"]
 INPUTS = ["rating_norm", "log_word_len", "prior_user_review_count", "prior_product_rating_std", "rating_impact_abs", "upper_ratio"]
@@ -21,6 +23,11 @@ def _split(s, d):
     return units.temporal_split(features(s, d))
 
 
+def _cut_split(s, d, columns):
+    """Some columns of the split rows; the features are written first, as the split reads them twice and its users again."""
+    return units.temporal_split(cut(features(s, d).select(*dict.fromkeys(["review_id", "date", *columns]))))
+
+
 def _hop_sql(weight: str) -> str:
     means = ", ".join(f"avg({c}) AS {c}" for c in COLUMNS)
     out = ", ".join(f"round(coalesce(sum(w * {c}) / any_value(whole), 0), 6) AS {c}" for c in COLUMNS)
@@ -48,3 +55,36 @@ def _network(s, d):
 # Fitted models have no SQL.
 register("gn01", lambda s, d: rounded(_network(s, d).select("review_id", "split", "is_fake", "score")))
 register("tx02", lambda s, d: rounded(models.latent(matrix.tfidf(table(s, d, "documents"), train := _split(s, d).where(_train()).select("doc_id"), max_features=1000), train, 16)[0]))
+
+
+def _campaign(s, d):
+    """Cutoffs of training rows; pairs that the user's own edges have are passed over."""
+    f = _cut_split(s, d, ["prod_id", "week", "rating_direction", "vec_id", "is_new_user_at_review_time", "short_review_flag", "prior_product_rating_std", "rating_deviation_from_prior_product_mean", *edges.CAMPAIGN_LIFTS])
+    return rounded(edges.campaign_pairs(f, table(s, d, "embeddings"), _train(), edges.last_k(_nodes(s, d), "user_id", 5)))
+
+
+register("ed06", _campaign, _PARTS + _LAST.removeprefix(_F) + _CAMPAIGN + " SELECT src, dst, round(score, 6) AS score FROM ed06")
+register(
+    "gn03",
+    lambda s, d: rounded(models.own_and_mean(typed_edges(s, d), features(s, d), COLUMNS)),
+    _TYPED + " SELECT b.review_id, " + ", ".join(f"round(any_value(b.{c}), 6) AS {c}, round(coalesce(avg(a.{c}), 0), 6) AS mean_{c}" for c in COLUMNS) + " FROM f b LEFT JOIN te ON te.dst = b.review_id LEFT JOIN f a ON a.review_id = te.src GROUP BY 1",
+)
+
+
+def _evaluated(s, d):
+    """A fixed score at the threshold that is best on validation rows, over test rows."""
+    f = _cut_split(s, d, ["is_fake", "rating_norm", "prior_product_review_count"]).withColumn("score", (F.abs("rating_norm") * 37 + F.col("prior_product_review_count") % 61) / 100)
+    return rounded(stats.evaluated(f, "score", "is_fake"))
+
+
+_F1 = "(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2 * tn / nullif(2 * tn + fn + fp, 0), 0)) / 2"
+register(
+    "gn15",
+    _evaluated,
+    _PARTS + f""", ev AS (SELECT split, is_fake, round({_SCORE}, 9) AS score FROM p1 WHERE split <> 'train'), eg AS (SELECT (t + 4) / 100 AS t FROM range(1, 92) x(t)),
+em AS (SELECT split, t, count(*) FILTER (score >= t AND is_fake = 1) AS tp, count(*) FILTER (score >= t AND is_fake = 0) AS fp, count(*) FILTER (score < t AND is_fake = 1) AS fn, count(*) FILTER (score < t AND is_fake = 0) AS tn FROM ev, eg GROUP BY ALL),
+et AS (SELECT t FROM em WHERE split = 'valid' ORDER BY round({_F1}, 12) DESC, t LIMIT 1),
+eq AS (SELECT score, sum(is_fake) AS p, count(*) AS c FROM ev WHERE split = 'test' GROUP BY score), ez AS (SELECT p, c, sum(p) OVER (ORDER BY score DESC) AS a, sum(c) OVER (ORDER BY score DESC) AS n, sum(c - p) OVER (ORDER BY score) - (c - p) / 2 AS below FROM eq)
+SELECT t AS threshold, tn, fp, fn, tp, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round({_F1}, 6) AS macro_f1, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy,
+(SELECT round(CASE WHEN sum(p) > 0 AND sum(c - p) > 0 THEN sum(p * a / n) / sum(p) END, 6) FROM ez) AS average_precision, (SELECT round(CASE WHEN sum(p) > 0 AND sum(c - p) > 0 THEN sum(p * below) / (sum(p) * sum(c - p)) END, 6) FROM ez) AS roc_auc FROM em JOIN et USING (t) WHERE split = 'test'""",
+)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,6 +46,21 @@ def standardize(raw: DataFrame) -> DataFrame:
     return typed.withColumn("is_fake", F.when(F.col("label") == -1, 1).when(F.col("label") == 1, 0).cast("long")).drop("label")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, read from the session's checkpoint folder: for frames that a plan would otherwise hold many times.
+
+    The folder is the one ``spark.checkpoint.dir`` names. Where it is unset, a local session gets its own; a cluster has
+    no folder that all of its machines share, so there it is an error.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     writer = df.write.mode("overwrite")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
