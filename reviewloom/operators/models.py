@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.operators import edges as E
 from reviewloom.operators import matrix, stats
+from reviewloom.sources import cut
 
 
 def relation_mean(edges: DataFrame, values: DataFrame, columns: list[str], weights: dict[int, float] | None = None) -> DataFrame:
@@ -64,10 +65,13 @@ def own_and_mean(edges: DataFrame, values: DataFrame, columns: list[str]) -> Dat
 
 
 def hops(edges: DataFrame, values: DataFrame, columns: list[str], n: int = 2) -> DataFrame:
-    """``values`` with hop<i>_<c> for i up to ``n``: the mean over edge types of the means of the hop before."""
+    """``values`` with hop<i>_<c> for i up to ``n``: the mean over edge types of the means of the hop before.
+
+    Each hop is written to the checkpoint folder, or the plan would hold all hops before it several times.
+    """
     last, out = values.select("review_id", *columns), values
     for i in range(1, n + 1):
-        last = relation_mean(edges, last, columns)
+        last = cut(relation_mean(edges, last, columns))
         out = out.join(last.select("review_id", *[F.col(c).alias(f"hop{i}_{c}") for c in columns]), "review_id")
     return out
 
@@ -79,7 +83,7 @@ def relation_network(edges: DataFrame, df: DataFrame, columns: list[str], label:
     on validation rows has not risen for ``patience`` steps; the best step's weights score all rows. history has
     (iterations, average precision, whether best) of each step. The hops themselves hold no learned weights.
     """
-    wide = hops(edges, matrix.scaled(df, columns, F.col("split") == "train"), columns)
+    wide = hops(edges, cut(matrix.scaled(df, columns, F.col("split") == "train")), columns)
     names = [*columns, *[f"hop{i}_{c}" for i in (1, 2) for c in columns]]
     ready = VectorAssembler(inputCols=names, outputCol="_x").transform(wide).select("review_id", "split", F.col(label).cast("double").alias(label), "_x").persist()
     train, valid = ready.where("split = 'train'"), ready.where("split = 'valid'")

@@ -88,3 +88,21 @@ eq AS (SELECT score, sum(is_fake) AS p, count(*) AS c FROM ev WHERE split = 'tes
 SELECT t AS threshold, tn, fp, fn, tp, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round({_F1}, 6) AS macro_f1, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy,
 (SELECT round(CASE WHEN sum(p) > 0 AND sum(c - p) > 0 THEN sum(p * a / n) / sum(p) END, 6) FROM ez) AS average_precision, (SELECT round(CASE WHEN sum(p) > 0 AND sum(c - p) > 0 THEN sum(p * below) / (sum(p) * sum(c - p)) END, 6) FROM ez) AS roc_auc FROM em JOIN et USING (t) WHERE split = 'test'""",
 )
+
+
+def _relation_network(s, d):
+    nodes = _cut_split(s, d, ["is_fake", *INPUTS])
+    return models.relation_network(cut(typed_edges(s, d)), nodes, INPUTS, "is_fake")
+
+
+register("gn07", lambda s, d: rounded(_relation_network(s, d)[0]))
+register("gn11", lambda s, d: rounded(s.createDataFrame(_relation_network(s, d)[1], "step long, valid_average_precision double, is_best boolean")))
+
+
+def _summary(s, d):
+    scored, history = _relation_network(s, d)
+    best = next((step for step, _, is_best in history if is_best), None)
+    return rounded(stats.evaluated(scored, "score", "is_fake").select(F.lit("relation_network").alias("experiment"), F.lit("completed").alias("status"), F.lit(best).cast("long").alias("best_step"), "*"))
+
+
+register("gn14", _summary)
