@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def placed(nodes: DataFrame, key: str) -> DataFrame:
+def placed(nodes: DataFrame, key: str, *more: str) -> DataFrame:
     """(key, review_id, date, rating, pos): pos from 0 by (date, review_id) inside the key."""
     order = Window.partitionBy(key).orderBy("date", "review_id")
-    return nodes.select(key, "review_id", "date", "rating", (F.row_number().over(order) - 1).cast("long").alias("pos"))
+    extra = [c for c in more if c != "date"]
+    return nodes.select(key, "review_id", "date", "rating", *extra, (F.row_number().over(order) - 1).cast("long").alias("pos"))
 
 
 def neighbour_gaps(nodes: DataFrame) -> DataFrame:
@@ -41,21 +42,24 @@ def segmented_anchors(nodes: DataFrame, key: str, k: int) -> DataFrame:
     return asked.join(at.select(key, "pos", F.col("review_id").alias("src")), [key, "pos"]).select("src", "dst")
 
 
-def prior_triple(nodes: DataFrame, key: str) -> DataFrame:
+def prior_triple(nodes: DataFrame, key: str, apart: str = "date", seeds: DataFrame | None = None) -> DataFrame:
     """(review_id, role, chosen): the recent, middle and baseline review of a key among those of strictly earlier days.
 
+    With ``apart`` "week" they are those of earlier weeks. Of ``seeds`` (review_id) alone, if given.
+
     Of n earlier ones, by (date, id): recent is the last and mid the one at (n - 1) // 2. Baseline is, of those before mid,
     the one of rating nearest to the mean of all n, then earliest. Only the first review of each rating can be that one,
     so a key hands on one place per distinct rating rather than its whole history.
     """
-    at = placed(nodes, key)
+    at = placed(nodes, key, apart)
     earlier = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    day = Window.partitionBy(key, "date")
+    day = Window.partitionBy(key, apart)
     at = at.withColumn("_sum", F.coalesce(F.sum("rating").over(earlier), F.lit(0)))
     at = at.withColumns({"n": F.min("pos").over(day), "_before": F.min_by("_sum", "pos").over(day)})
     firsts = at.groupBy(key, "rating").agg(F.min("pos").alias("first")).groupBy(key).agg(F.collect_list(F.struct("rating", "first")).alias("firsts"))
     mid = F.floor((F.col("n") - 1) / 2).cast("long")
-    seeds = at.where("n > 0").join(firsts, key).withColumn("mean", F.col("_before") / F.col("n"))
+    wanted = at.where("n > 0") if seeds is None else at.where("n > 0").join(seeds.select("review_id"), "review_id", "left_semi")
+    seeds = wanted.join(firsts, key).withColumn("mean", F.col("_before") / F.col("n"))
     pool = F.filter("firsts", lambda x: x["first"] < mid)
     best = F.array_min(F.transform(pool, lambda x: F.struct(F.round(F.abs(x["rating"] - F.col("mean")), 9).alias("gap"), x["first"].alias("first"))))["first"]
     role = lambda name, pos: F.struct(F.lit(name).alias("role"), pos.cast("long").alias("pos"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewloom.functions import clip, dot
+from reviewloom.functions import clip, dot, finite
 
 
 def text_sufficiency(f: DataFrame, train: Column) -> DataFrame:
@@ -27,6 +27,7 @@ def text_sufficiency(f: DataFrame, train: Column) -> DataFrame:
             "word_len_minus_train_rating_history_median": F.col("word_len") - median,
             "word_len_ratio_to_train_rating_history_median": F.col("word_len") / F.greatest(median, F.lit(1.0)),
             "is_short_by_train_rating_history_q25": short,
+            "text_sufficient_by_train_rating_history_median": (F.col("word_len") >= median).cast("long"),
             "extreme_rating_and_short_by_train_rating_history_q25": short * F.col("extreme_rating"),
         }
     ).drop("_bin", *[f"_{p}{q}" for p in "gba" for q in (25, 50)])
@@ -80,3 +81,85 @@ def template_similarity(f: DataFrame, vectors: DataFrame, train: Column) -> Data
     f = f.join(best, "review_id", "left").fillna(0.0, ["max_sim", "top3_sim"])
     cut = f.where(train).agg(F.percentile("max_sim", 0.9).alias("_cut"))
     return f.crossJoin(F.broadcast(cut)).withColumn("high_sim", (F.round("max_sim", 9) >= F.round("_cut", 9)).cast("long")).drop("_cut")
+
+
+#: Feature columns of the compact profile that stay as they are, and those it adds.
+COMPACT_BASE = ["rating_norm", "rating_direction", "extreme_rating", "positive_rating_direction_flag", "negative_rating_direction_flag", "log_word_len", "upper_ratio", "exclamation_count", "question_count", "log1p_prior_user_review_count", "is_new_user_at_review_time", "returning_recent_user_30d_flag", "has_prior_user_review_7d", "has_prior_user_review_30d", "prior_user_avg_rating", "prior_user_extreme_ratio", "log1p_prior_product_review_count", "prior_product_avg_rating", "prior_product_rating_std", "prior_product_extreme_ratio"]
+COMPACT_OPTIONAL = ["unique_token_ratio", "avg_token_len", "numeric_token_flag", "log1p_prior_user_active_span_days", "prior_user_rating_std"]
+COMPACT_ADDED = ["word_len_minus_train_rating_history_median", "word_len_ratio_to_train_rating_history_median", "is_short_by_train_rating_history_q25", "text_sufficient_by_train_rating_history_median", "extreme_rating_and_short_by_train_rating_history_q25", "standardized_rating_deviation_from_prior_product_mean", "abs_standardized_rating_deviation_from_prior_product_mean", "positive_standardized_rating_deviation_from_prior_product_mean", "negative_standardized_rating_deviation_from_prior_product_mean", "rating_impact_abs_from_prior_product", "low_product_reputation_by_train_q25", "high_product_reputation_by_train_q75", "low_reputation_and_abs_standardized_product_deviation", "product_reviews_last_7d_share_of_prior_count", "product_reviews_last_30d_share_of_prior_count", "user_rating_deviation_from_prior_mean", "abs_user_rating_deviation_from_prior_mean", "standardized_user_rating_deviation_from_prior_mean", "abs_standardized_user_rating_deviation_from_prior_mean", "new_user_and_abs_standardized_product_deviation", "text_sufficient_and_abs_standardized_product_deviation", "returning_recent_user_and_text_sufficient", "weak_template_similarity_max_product_week", "weak_template_similarity_top3_mean_product_week", "weak_template_similarity_high_by_train_q90"]
+#: Columns that the directional profile takes over from the compact one, and those it adds.
+DIRECTIONAL_TAKEN = ["word_len_ratio_to_train_rating_history_median", "is_short_by_train_rating_history_q25", "text_sufficient_by_train_rating_history_median", "positive_standardized_rating_deviation_from_prior_product_mean", "negative_standardized_rating_deviation_from_prior_product_mean", "high_product_reputation_by_train_q75", "low_reputation_and_abs_standardized_product_deviation", "product_reviews_last_7d_share_of_prior_count", "product_reviews_last_30d_share_of_prior_count", "standardized_user_rating_deviation_from_prior_mean", "abs_standardized_user_rating_deviation_from_prior_mean", "returning_recent_user_and_text_sufficient", "weak_template_similarity_max_product_week"]
+DIRECTIONAL_ADDED = ["positive_promotion_low_reputation_shock", "negative_attack_high_reputation_shock", "positive_extreme_rating_shock", "negative_extreme_rating_shock", "disguised_high_effort_sparse_user_shock", "returning_recent_user_consistent_rating_and_text_sufficient", "returning_recent_user_consistent_rating"]
+
+
+def _compacted(f: DataFrame, vectors: DataFrame, train: Column) -> DataFrame:
+    """``f`` with every column of the compact profile; cutoffs and medians come from training rows alone."""
+    f = template_similarity(product_prior_context(text_sufficiency(f, train), train), vectors, train)
+    user_std = F.col("prior_user_rating_std")
+    one = f.where(train).agg(
+        F.greatest(F.coalesce(F.percentile(F.when(user_std > 0, user_std), 0.25), F.lit(1.0)), F.lit(1e-6)).alias("_user_floor"),
+        F.percentile("prior_product_review_count", 0.75).alias("_high"),
+    )
+    dev, flag = F.col("standardized_rating_deviation_from_prior_product_mean"), lambda c: c.cast("long")
+    user = F.col("rating_deviation_from_prior_user_mean") / F.greatest(F.coalesce(user_std, F.col("_user_floor")), F.col("_user_floor"))
+    recent = flag(F.col("days_since_user_last_review").between(0, 30))
+    enough = F.col("text_sufficient_by_train_rating_history_median")
+    return f.crossJoin(F.broadcast(one)).withColumns(
+        {
+            "positive_rating_direction_flag": flag(F.col("rating_direction") > 0),
+            "negative_rating_direction_flag": flag(F.col("rating_direction") < 0),
+            "returning_recent_user_30d_flag": recent,
+            "positive_standardized_rating_deviation_from_prior_product_mean": F.greatest(dev, F.lit(0.0)),
+            "negative_standardized_rating_deviation_from_prior_product_mean": F.greatest(-dev, F.lit(0.0)),
+            "rating_impact_abs_from_prior_product": F.abs("rating_deviation_from_prior_product_mean") / (F.col("prior_product_review_count") + 1),
+            "low_product_reputation_by_train_q25": F.col("low_product_history_by_train_q25"),
+            "high_product_reputation_by_train_q75": flag(F.col("prior_product_review_count") >= F.col("_high")),
+            "low_reputation_and_abs_standardized_product_deviation": F.col("low_product_history_by_train_q25") * F.abs(dev),
+            "user_rating_deviation_from_prior_mean": F.col("rating_deviation_from_prior_user_mean"),
+            "abs_user_rating_deviation_from_prior_mean": F.abs("rating_deviation_from_prior_user_mean"),
+            "standardized_user_rating_deviation_from_prior_mean": user,
+            "abs_standardized_user_rating_deviation_from_prior_mean": F.abs(user),
+            "new_user_and_abs_standardized_product_deviation": F.col("is_new_user_at_review_time") * F.abs(dev),
+            "text_sufficient_and_abs_standardized_product_deviation": enough * F.abs(dev),
+            "returning_recent_user_and_text_sufficient": recent * enough,
+            "weak_template_similarity_max_product_week": F.col("max_sim"),
+            "weak_template_similarity_top3_mean_product_week": F.col("top3_sim"),
+            "weak_template_similarity_high_by_train_q90": F.col("high_sim"),
+        }
+    ).drop("_user_floor", "_high")
+
+
+def _plain(f: DataFrame, columns: list[str]) -> DataFrame:
+    return f.select("review_id", *[finite(F.col(c).cast("double")).alias(c) for c in columns])
+
+
+def compact_profile(f: DataFrame, vectors: DataFrame, train: Column) -> DataFrame:
+    """(review_id, 20 base columns, up to 5 optional ones that ``f`` has, 25 engineered ones); what is not finite is 0."""
+    optional = [c for c in COMPACT_OPTIONAL if c in f.columns]
+    return _plain(_compacted(f, vectors, train), COMPACT_BASE + optional + COMPACT_ADDED)
+
+
+def directional_profile(f: DataFrame, vectors: DataFrame, train: Column, original: list[str]) -> DataFrame:
+    """(review_id, the ``original`` columns, up to 13 of the compact profile that are not among these, 7 directional ones).
+
+    A user's rating is consistent if its standardized deviation is at most the lower quarter of the positive ones of
+    training reviews with a history, or their median if none is positive, or 0 without any.
+    """
+    f = _compacted(f, vectors, train)
+    gap = F.round("abs_standardized_user_rating_deviation_from_prior_mean", 9)
+    cut = f.where(train & (F.col("prior_user_review_count") > 0)).agg(F.coalesce(F.percentile(F.when(gap > 0, gap), 0.25), F.percentile(gap, 0.5), F.lit(0.0)).alias("_cut"))
+    up, down = (F.col(f"{s}_standardized_rating_deviation_from_prior_product_mean") for s in ("positive", "negative"))
+    sparse = ((F.col("is_new_user_at_review_time") == 1) | (F.col("prior_user_review_count") <= 1)).cast("long")
+    consistent = F.col("returning_recent_user_30d_flag") * (gap <= F.round("_cut", 9)).cast("long")
+    f = f.crossJoin(F.broadcast(cut)).withColumns(
+        {
+            "positive_promotion_low_reputation_shock": up * F.col("low_product_reputation_by_train_q25"),
+            "negative_attack_high_reputation_shock": down * F.col("high_product_reputation_by_train_q75"),
+            "positive_extreme_rating_shock": up * F.col("extreme_rating"),
+            "negative_extreme_rating_shock": down * F.col("extreme_rating"),
+            "disguised_high_effort_sparse_user_shock": F.col("text_sufficient_and_abs_standardized_product_deviation") * sparse,
+            "returning_recent_user_consistent_rating_and_text_sufficient": consistent * F.col("text_sufficient_by_train_rating_history_median"),
+            "returning_recent_user_consistent_rating": consistent,
+        }
+    )
+    return _plain(f, original + [c for c in DIRECTIONAL_TAKEN if c not in original] + DIRECTIONAL_ADDED)
