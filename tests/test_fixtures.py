@@ -63,7 +63,7 @@ def test_quartiles_of_six_ranks(spark):
 
 
 def test_words_are_parted_by_unicode_space(spark):
-    row = spark.createDataFrame([("a b c",), (None,)], "text string").select(text_columns(F.col("text"))["word_len"].alias("n")).collect()
+    row = spark.createDataFrame([("a\u00a0b c",), (None,)], "text string").select(text_columns(F.col("text"))["word_len"].alias("n")).collect()
     assert [r["n"] for r in row] == [3, 0]
 
 
