@@ -507,3 +507,10 @@ def test_stages_on_hard_rows(spark, hard):
             assert before.count() == now.count() or name != "line dedup"
     nameless = quality.good_documents(rich, spark.read.parquet(f"{SMALL}/labels.parquet")).where("doc_id IS NULL")
     assert nameless.columns == rich.columns
+
+
+@pytest.mark.parametrize("n", [2, 3, 64, 65, 200])
+def test_codewords_are_far_apart(n):
+    code = langid.codewords(n)
+    gaps = [int((code[i] != code[j]).sum()) for i in range(n) for j in range(i)]
+    assert min(gaps) >= 8 and (abs(code.sum(axis=0)) < n).all()
