@@ -46,11 +46,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``stored`` wrote, once all that reads them has itself been stored."""
     for df in tables:
-        spark = df.sparkSession
-        folder, top = df.inputFiles()[0].rpartition("/")[0], shared_dir(spark)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        if folder.split(":", 1)[-1].lstrip("/").startswith(top.split(":", 1)[-1].lstrip("/")):
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if files := df.inputFiles():
+            remove_folder(df.sparkSession, files[0].rpartition("/")[0])
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder if it lies in the shared one."""
+    path, top = spark._jvm.org.apache.hadoop.fs.Path(folder), shared_dir(spark)
+    if folder.split(":", 1)[-1].lstrip("/").startswith(top.split(":", 1)[-1].lstrip("/")):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import hamming, langid, line_dedup, minhash, mixing, packing, pii, quality, secrets, sharding
+from reviewloom.llm import alignment, chunk_bpe, hamming, langid, line_dedup, middle, minhash, mixing, packing, pii, quality, secrets, sharding
 from reviewloom.llm.common import table
 
 
@@ -54,11 +54,11 @@ def op9_online_pack(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer or vocabulary())
 
 
-def vocabulary() -> str:
-    """The vocabulary file of the packing query; operators take its path as a parameter."""
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """A public vocabulary file, by default that of the packing query; operators take its path as a parameter."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,24 @@ def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.hamming_top_k(rows, rows.where("id % 50 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jump_shards, op2_line_chunks, op3_quality_forest, op4_pii_boost, op5_lang_ecoc, op6_fss_neardup, op7_systematic_mix, op8_zstd_secrets, op9_online_pack, op10_multi_index)}
+def op11_fim_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    again = middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.alignments(table(spark, sf_dir, "documents"), vocabulary(), vocabulary("piece_bpe_32k.model"))
+    groups = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return alignment.with_pair_counts(found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", groups, "keys", "links"))
+
+
+def op13_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chunk_bpe.encoded(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return made.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jump_shards, op2_line_chunks, op3_quality_forest, op4_pii_boost, op5_lang_ecoc, op6_fss_neardup, op7_systematic_mix, op8_zstd_secrets, op9_online_pack, op10_multi_index, op11_fim_select, op12_token_alignment, op13_chunk_bpe)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -120,4 +137,20 @@ WITH c AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, neighbor_id, distance FROM r WHERE rank <= 10
 """
 
-ORACLE_SQL = {"op6_fss_neardup": OP6_SQL, "op7_systematic_mix": OP7_SQL, "op10_multi_index": OP10_SQL}
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS h FROM documents
+), r AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS x, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS y,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d
+), p AS (
+  SELECT doc_id, t, CAST(n AS BIGINT) AS n,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(u[1:least(x, y)], '') AS prefix, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS middle, array_to_string(u[greatest(x, y) + 1:n], '') AS suffix FROM r
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p
+"""
+
+ORACLE_SQL = {"op6_fss_neardup": OP6_SQL, "op7_systematic_mix": OP7_SQL, "op10_multi_index": OP10_SQL, "op11_fim_select": OP11_SQL}
