@@ -26,22 +26,22 @@ ID_BITS = 32
 
 
 class Aligner:
-    """Both vocabularies of a worker: bytes of each id, and each id as text with what follows it in a list of groups."""
+    """Both vocabularies of a worker: sizes of ids, and each id as text with what follows it in a list of groups."""
 
     def __init__(self, byte_tokenizer: str, piece_tokenizer: str) -> None:
         import sentencepiece
 
         self.a, self.b = encoder(byte_tokenizer), sentencepiece.SentencePieceProcessor(model_file=piece_tokenizer)
-        self.bytes_a = [self._byte_token(i) for i in range(self.a.n_vocab)]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i in range(self.b.vocab_size()) for p in [self.b.id_to_piece(i)]]
-        self.size_a, self.size_b = np.array(list(map(len, self.bytes_a))), np.array(list(map(len, self.bytes_b)))
-        self.shown = [f"{i}{end}" for i in range(len(self.bytes_a)) for end in ",|"] + [f"{i}{end}" for i in range(len(self.bytes_b)) for end in ",;"]
+        self.size_a, self.size_b = np.array([self._size(i) for i in range(self.a.n_vocab)]), np.array(list(map(len, self.bytes_b)))
+        self.shown = [f"{i}{end}" for i in range(len(self.size_a)) for end in ",|"] + [f"{i}{end}" for i in range(len(self.bytes_b)) for end in ",;"]
 
-    def _byte_token(self, i: int) -> bytes:
+    def _size(self, i: int) -> int:
+        """Bytes of an id, 0 of one that no token has."""
         try:
-            return self.a.decode_single_token_bytes(i)
+            return len(self.a.decode_single_token_bytes(i))
         except KeyError:
-            return b""
+            return 0
 
     def align(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, n_links, groups, keys, links): keys are the distinct linked pairs, sorted."""
@@ -50,18 +50,22 @@ class Aligner:
             return nothing
         raw = f" {text}".encode()
         a, b = self.a.encode_to_numpy(f" {text}", disallowed_special=()).astype(np.int64), self.b.encode(text)
-        if b"".join(map(self.bytes_b.__getitem__, b)) != raw or b"".join(map(self.bytes_a.__getitem__, a.tolist())) != raw:
+        ends_a = self.size_a[a].cumsum()
+        # A byte-level tokenizer's tokens are slices of the text, so their sizes tell whether they are all of it.
+        if b"".join(map(self.bytes_b.__getitem__, b)) != raw or ends_a[-1] != len(raw):
             return nothing
         b = np.array(b, np.int64)
-        ends_a, ends_b = self.size_a[a].cumsum(), self.size_b[b].cumsum()
-        common = np.intersect1d(ends_a, ends_b)
+        ends_b = self.size_b[b].cumsum()
+        ends = np.zeros(len(raw) + 1, bool)
+        ends[ends_b] = True
+        common = ends_a[ends[ends_a]]
         of_a, of_b = common.searchsorted(ends_a), common.searchsorted(ends_b)
         n_a, n_b = np.bincount(of_a, minlength=len(common)), np.bincount(of_b, minlength=len(common))
         upto_a, upto_b = n_a.cumsum(), n_b.cumsum()
         shown = np.empty(len(a) + len(b), np.int64)
         at_a, at_b = np.arange(len(a)), np.arange(len(b))
         shown[at_a + (upto_b - n_b)[of_a]] = 2 * a + (at_a + 1 == upto_a[of_a])
-        shown[at_b + upto_a[of_b]] = 2 * (len(self.bytes_a) + b) + (at_b + 1 == upto_b[of_b])
+        shown[at_b + upto_a[of_b]] = 2 * (len(self.size_a) + b) + (at_b + 1 == upto_b[of_b])
         keys, links = linked(a, b, of_a, n_a, n_b, upto_a, upto_b)
         return len(a), len(b), len(common), int((n_a * n_b).sum()), "".join(map(self.shown.__getitem__, shown.tolist()))[:-1], keys, links
 
