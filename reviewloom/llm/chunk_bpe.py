@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import unicodedata
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -9,6 +12,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +24,8 @@ WINDOW, MULTIPLIER = 16, 0x9E3779B1
 CHUNK = 1024
 #: Characters of chunks that a task keeps encoded.
 KEPT_CHARS = 4_000_000
+#: Words that a task keeps encoded; one more and it begins anew.
+KEPT_WORDS = 500_000
 #: No word that ends so many characters before the end of a text depends on what follows: more than the longest special
 #: token (15) and what the splitting pattern looks ahead.
 MARGIN = 16
@@ -44,13 +50,31 @@ def stands_alone(char: str) -> bool:
     return char < "\u0300" or (unicodedata.category(char) not in ("Mn", "Mc", "Me", "Cn") and not "\u1160" <= char <= "\u11ff" and not "\ud7b0" <= char <= "\ud7ff")
 
 
-def chunk_ends(text: str, chunk: int = CHUNK) -> list[int]:
-    """Ends of the chunks: where the hash of the last WINDOW characters is among one of ``chunk`` values, whatever stands
-    farther off, and the next character stands alone; and the end of the text."""
+#: A blank before a word: no word, contraction or special token reaches across it, and normalization joins nothing there.
+_BLANK = re.compile(r"[\t-\r ](?=\S)")
+#: Characters after a hit of the rolling hash in which a blank is looked for.
+REACH = 64
+
+
+def chunk_ends(text: str, chunk: int = CHUNK) -> list[tuple[int, bool]]:
+    """(end, settled) of the chunks, and the end of the text.
+
+    A chunk ends where the hash of the last WINDOW characters is among one of ``chunk`` values, whatever stands farther
+    off: at the next blank within REACH, at which both sides are encoded as they are in the whole text (settled), else at
+    once, if the next character stands alone.
+    """
     with np.errstate(over="ignore"):
         h = rolling(np.frombuffer(text.encode("utf-32-le"), "<u4"))
-    at = np.flatnonzero(h[WINDOW - 1 : -1] >> np.uint32(9) < (1 << 23) // chunk) + WINDOW
-    return [*(i for i in at.tolist() if stands_alone(text[i])), len(text)]
+    out: list[tuple[int, bool]] = []
+    for i in (np.flatnonzero(h[WINDOW - 1 : -1] >> np.uint32(9) < (1 << 23) // chunk) + WINDOW).tolist():
+        if out and i <= out[-1][0]:
+            continue
+        blank = _BLANK.search(text, i - 1, min(len(text), i + REACH))
+        if blank and blank.end() < len(text) and stands_alone(text[blank.end()]):
+            out.append((blank.end(), True))
+        elif stands_alone(text[i]):
+            out.append((i, False))
+    return [*out, (len(text), True)]
 
 
 class Piece:
@@ -65,24 +89,48 @@ class Piece:
         self.starts, self.ends = offsets[self.first, 0], offsets[ends, 1]
 
 
+#: Characters whose case, class and composition are the same in every version of Unicode, and whose lower case is one
+#: character: words of these alone are looked up.
+_COMMON = re.compile("[\\x00-\u012f\u0131-\u024f]*")
+#: What the splitting pattern calls white space, among these.
+_COMMON_SPACE = r"\t-\r \x85\xa0"
+
+
 class Encoder:
-    """The tokenizer of a file, its vocabulary, and the chunks that it encoded last."""
+    """The tokenizer of a file, its vocabulary, and the chunks and words that it encoded last.
 
-    def __init__(self, path: str, chunk: int = CHUNK, kept_chars: int = KEPT_CHARS) -> None:
+    A chunk's encoding is its ids as little-endian unsigned 32-bit integers and its tokens with blanks between.
+    """
+
+    def __init__(self, path: str, chunk: int = CHUNK, kept_chars: int = KEPT_CHARS, kept_words: int = KEPT_WORDS) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.chunk, self.most = Tokenizer.from_file(path), chunk, kept_chars
+        self.tokenizer, self.chunk, self.most, self.most_words = Tokenizer.from_file(path), chunk, kept_chars, kept_words
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        size = self.tokenizer.get_vocab_size()
-        self.vocabulary = [self.tokenizer.id_to_token(i) for i in range(size)]
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.vocabulary = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Whether an id ends a word.
-        self.last = np.array([t.endswith("</w>") or t in special for t in self.vocabulary])
-        self.kept: OrderedDict[str, Piece] = OrderedDict()
+        self.last = np.array([t.endswith("</w>") or t in self.special for t in self.vocabulary])
+        self.word = self._word_pattern(path)
+        self.ids_of: dict[str, bytes] = {}
+        self.shown: dict[str, str] = {}
+        self.kept: OrderedDict[str, tuple[bytes, str]] = OrderedDict()
         self.chars = self.asked = self.made = 0
 
-    def piece(self, text: str) -> Piece:
+    @staticmethod
+    def _word_pattern(path: str):
+        """The file's own splitting pattern, if its steps are those that ``_common`` takes."""
+        with open(path, encoding="utf-8") as f:
+            whole = json.load(f)
+        steps = [x.get("type") for x in (whole["normalizer"] or {}).get("normalizers", [])]
+        split = ((whole["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        if steps != ["NFC", "Replace", "Lowercase"] or split.get("behavior") != "Removed" or not split.get("invert"):
+            return None
+        return regex.compile(split["pattern"]["Regex"].replace(r"\s", _COMMON_SPACE))
+
+    def piece(self, text: str) -> tuple[bytes, str]:
         """The encoding of a chunk, made once for all documents of the task that share it, as long as it is kept."""
         self.asked += 1
         found = self.kept.get(text)
@@ -90,28 +138,84 @@ class Encoder:
             self.kept.move_to_end(text)
             return found
         self.made += 1
-        e = self.tokenizer.encode(text, add_special_tokens=False)
-        found = self.kept[text] = Piece(np.array(e.ids, np.uint32), np.fromiter(chain.from_iterable(e.offsets), np.int32).reshape(-1, 2), self.last)
+        found = self._common(text)
+        if found is None:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            found = np.array(ids, "<u4").tobytes(), self._tokens(ids)
+        self.kept[text] = found
         self.chars += len(text)
         while self.chars > self.most:
             self.chars -= len(self.kept.popitem(last=False)[0])
         return found
 
-    def encode(self, text: str) -> np.ndarray:
-        """The ids that the tokenizer gives the whole text.
+    def _common(self, text: str) -> tuple[bytes, str] | None:
+        """The encoding of a chunk of common characters without special tokens, word by word; None of others.
+
+        Nothing merges across words, so each is encoded by the library when it is first met.
+        """
+        if self.word is None or not _COMMON.fullmatch(text) or any(s in text for s in self.special):
+            return None
+        words = self.word.findall(text.lower())
+        new = [w for w in dict.fromkeys(words) if w not in self.ids_of]
+        if new:
+            if len(self.ids_of) + len(new) > self.most_words:
+                self.ids_of.clear()
+                self.shown.clear()
+                new = list(dict.fromkeys(words))
+            self._keep(new)
+        return b"".join(map(self.ids_of.__getitem__, words)), " ".join(map(self.shown.__getitem__, words))
+
+    def _keep(self, words: list[str]) -> None:
+        """Encode words with blanks between them, in one call; ids that end a word tell them apart."""
+        ids = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        raw, ends = np.array(ids, "<u4").tobytes(), (np.flatnonzero(self.last[ids]) + 1).tolist()
+        tokens = list(map(self.vocabulary.__getitem__, ids))
+        start = 0
+        for word, end in zip(words, ends, strict=True):
+            self.ids_of[word], self.shown[word] = raw[4 * start : 4 * end], " ".join(tokens[start:end])
+            start = end
+
+    def _tokens(self, ids: list[int]) -> str:
+        return " ".join(map(self.vocabulary.__getitem__, ids))
+
+    def decode(self, ids: np.ndarray) -> str:
+        """What a tokenizer without a decoder gives: its tokens, special ones too, with blanks between."""
+        return self._tokens(ids.tolist())
+
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """(ids, decoded) that the tokenizer gives the whole text: chunks between settled ends, or what ``_repaired`` makes
+        of chunks whose ends are not."""
+        if not text:
+            return b"", ""
+        out, at, open_ends = [], 0, []
+        for end, settled in chunk_ends(text, self.chunk):
+            if not settled:
+                open_ends.append(end)
+            elif open_ends:
+                ids = self._repaired(text[at:end], [e - at for e in (*open_ends, end)])
+                out.append((ids.astype("<u4").tobytes(), self.decode(ids)))
+                at, open_ends = end, []
+            else:
+                out.append(self.piece(text[at:end]))
+                at = end
+        return b"".join(ids for ids, _ in out), " ".join(shown for _, shown in out if shown)
+
+    def _placed(self, text: str) -> Piece:
+        e = self.tokenizer.encode(text, add_special_tokens=False)
+        return Piece(np.array(e.ids, np.uint32), np.fromiter(chain.from_iterable(e.offsets), np.int32).reshape(-1, 2), self.last)
+
+    def _repaired(self, text: str, ends: list[int]) -> np.ndarray:
+        """The ids of a text cut at these ends, wherever they fall.
 
         Before each join, ``out`` and the words of ``piece`` from ``word`` on are the ids of text[:a]. What lies around
         the join is encoded again from the start s of a word that no text after a can change. If that agrees with the
         next chunk on the start of a word, out of reach of the window's end, both go on alike from there and the rest of
         the chunk is taken as it is; else the window grows, at last to the end of the chunk, which needs no agreement.
         """
-        if not text:
-            return np.array([], np.uint32)
-        ends = chunk_ends(text, self.chunk)
         out: list[np.ndarray] = []
-        piece, base, word, begin, a = self.piece(text[: ends[0]]), 0, 0, 0, ends[0]  # the piece is of text[base:a]; its words count from begin on
+        piece, base, word, begin, a = self._placed(text[: ends[0]]), 0, 0, 0, ends[0]  # the piece is of text[base:a]; its words count from begin on
         for b in ends[1:]:
-            after = self.piece(text[a:b])
+            after = self._placed(text[a:b])
             k = int(piece.ends.searchsorted(a - base - MARGIN, "right")) - 1
             while k > word and not self._clean(text, piece, k, base):
                 k -= 1
@@ -121,7 +225,7 @@ class Encoder:
             width = AHEAD
             while True:
                 e = min(b, a + width)
-                window = self.piece(text[s:e])
+                window = self._placed(text[s:e])
                 met = None if e == b else self._meeting(text, window, s, e, after, a)
                 if met or e == b:
                     break
@@ -151,10 +255,6 @@ class Encoder:
                 return i, j
         return None
 
-    def decode(self, ids: np.ndarray) -> str:
-        """What a tokenizer without a decoder gives: its tokens, special ones too, with blanks between."""
-        return " ".join(map(self.vocabulary.__getitem__, ids.tolist()))
-
 
 _encoders: dict[tuple, Encoder] = {}
 
@@ -170,8 +270,9 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
 
     The tokenizer is one of word-end BPE without a decoder; special tokens in a text are found as its library does, none
     is added. Texts are cut into chunks by a rolling hash, so texts that share a passage share its chunks. Each task
-    encodes a chunk once and keeps the last KEPT_CHARS characters of chunks; joins are encoded again until they agree
-    (``Encoder.encode``), so the ids are those of the whole text, whatever the chunks. Null and empty texts have no ids
+    encodes a chunk once and keeps the last KEPT_CHARS characters of chunks, and within chunks each word once; joins that
+    no blank settles are encoded again until they agree (``Encoder._repaired``), so the ids are those of the whole text,
+    whatever the chunks. Null and empty texts have no ids
     and decode to an empty text. Repeated rows and ties are encoded row by row. Very long texts are as any other: work is
     linear in their chunks, unless a text has no place where words begin, which is then encoded from its start. Only
     doc_id and text are read, so further columns of any name do no harm. An empty table gives no rows. Nothing is
@@ -185,8 +286,7 @@ def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
         for pdf in batches:
             out, chars = [], 0
             for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = own.encode(text or "")
-                out.append((doc, ids.astype("<u4").tobytes(), own.decode(ids)))
+                out.append((doc, *own.encode(text or "")))
                 chars += len(out[-1][-1])
                 if chars > FLUSH_CHARS:
                     yield pd.DataFrame(out, columns=["doc_id", "ids", "decoded"])
