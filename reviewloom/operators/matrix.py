@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,18 +39,33 @@ def terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return tokens.select(id_col, F.explode(F.concat("w", pairs)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_df: int = 2, max_df: float = 0.95, max_features: int = 50_000) -> DataFrame:
-    """(id, term, weight): term counts times ln((1 + n) / (1 + df)) + 1, each document at length 1.
+def vocabulary(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_df: int = 2, max_df: float = 0.95, max_features: int = 50_000) -> DataFrame:
+    """(term, idf): terms in ``min_df`` training documents at least and a share of ``max_df`` at most, the
+    ``max_features`` most frequent, then by code point; idf is ln((1 + n) / (1 + df)) + 1. The bound makes it safe to broadcast."""
+    return _vocabulary(terms(docs, id_col, text_col), docs, train, id_col, min_df, max_df, max_features)
 
-    The vocabulary is learned on documents whose id is in ``train``: terms in ``min_df`` documents at least and a share of
-    ``max_df`` at most, the ``max_features`` most frequent, then by code point. That bound makes it safe to broadcast.
-    """
-    counted = terms(docs, id_col, text_col)
+
+def _vocabulary(counted: DataFrame, docs: DataFrame, train: DataFrame, id_col: str, min_df: int, max_df: float, max_features: int) -> DataFrame:
     fit = counted.join(train.select(id_col).distinct(), id_col, "left_semi")
     n = docs.join(train.select(id_col).distinct(), id_col, "left_semi").agg(F.count_distinct(id_col).alias("_n"))
     known = fit.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).crossJoin(F.broadcast(n))
     known = known.where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("_n"))).orderBy(F.desc("total"), "term").limit(max_features)
-    idf = known.select("term", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return known.select("term", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def _weighted(counted: DataFrame, idf: DataFrame, id_col: str) -> DataFrame:
     raw = counted.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return raw.select(id_col, "term", (F.col("w") / norm).alias("weight"))
+
+
+def weighted(docs: DataFrame, known: list[str], idf: Iterable[float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, term, weight) with a vocabulary learned before."""
+    table = docs.sparkSession.createDataFrame([(t, float(x)) for t, x in zip(known, idf, strict=True)], "term string, idf double")
+    return _weighted(terms(docs, id_col, text_col), table, id_col)
+
+
+def tfidf(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_df: int = 2, max_df: float = 0.95, max_features: int = 50_000) -> DataFrame:
+    """(id, term, weight): term counts times the idf of ``vocabulary``, each document at length 1."""
+    counted = terms(docs, id_col, text_col)
+    return _weighted(counted, _vocabulary(counted, docs, train, id_col, min_df, max_df, max_features), id_col)

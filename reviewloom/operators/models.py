@@ -1,4 +1,4 @@
-"""Message passing over typed edges, the classifiers fitted on it, and latent text vectors."""
+"""Message passing over typed edges with fixed weights, and a classifier on own columns."""
 
 from __future__ import annotations
 
@@ -7,14 +7,11 @@ from functools import reduce
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.operators import edges as E
-from reviewloom.operators import matrix, stats
-from reviewloom.sources import cut
+from reviewloom.operators import matrix
 
 
 def relation_mean(edges: DataFrame, values: DataFrame, columns: list[str], weights: dict[int, float] | None = None) -> DataFrame:
@@ -62,68 +59,3 @@ def own_and_mean(edges: DataFrame, values: DataFrame, columns: list[str]) -> Dat
     sent = edges.join(values.select(F.col("review_id").alias("src"), *columns), "src")
     means = sent.groupBy(F.col("dst").alias("review_id")).agg(*[F.avg(c).alias(f"mean_{c}") for c in columns])
     return values.select("review_id", *columns).join(means, "review_id", "left").fillna(0.0, [f"mean_{c}" for c in columns])
-
-
-def hops(edges: DataFrame, values: DataFrame, columns: list[str], n: int = 2) -> DataFrame:
-    """``values`` with hop<i>_<c> for i up to ``n``: the mean over edge types of the means of the hop before.
-
-    Each hop is written to the checkpoint folder, or the plan would hold all hops before it several times.
-    """
-    last, out = values.select("review_id", *columns), values
-    for i in range(1, n + 1):
-        last = cut(relation_mean(edges, last, columns))
-        out = out.join(last.select("review_id", *[F.col(c).alias(f"hop{i}_{c}") for c in columns]), "review_id")
-    return out
-
-
-def relation_network(edges: DataFrame, df: DataFrame, columns: list[str], label: str, hidden: int = 16, step: int = 20, steps: int = 6, patience: int = 2, seed: int = 42) -> tuple[DataFrame, list[tuple[int, float, bool]]]:
-    """((review_id, split, label, score), history) of a network on own columns and two hops of relation means.
-
-    It is fitted on training rows, ``step`` iterations at a time, each from the weights before, until average precision
-    on validation rows has not risen for ``patience`` steps; the best step's weights score all rows. history has
-    (iterations, average precision, whether best) of each step. The hops themselves hold no learned weights.
-    """
-    wide = hops(edges, cut(matrix.scaled(df, columns, F.col("split") == "train")), columns)
-    names = [*columns, *[f"hop{i}_{c}" for i in (1, 2) for c in columns]]
-    ready = VectorAssembler(inputCols=names, outputCol="_x").transform(wide).select("review_id", "split", F.col(label).cast("double").alias(label), "_x").persist()
-    train, valid = ready.where("split = 'train'"), ready.where("split = 'valid'")
-    scored = lambda m, rows: m.transform(rows).withColumn("score", vector_to_array("_p")[1])
-    best, top, seen, weights, since = None, -1.0, [], None, 0
-    for i in range(1, steps + 1):
-        learner = MultilayerPerceptronClassifier(layers=[len(names), hidden, 2], featuresCol="_x", labelCol=label, probabilityCol="_p", maxIter=step, seed=seed)
-        model = (learner.setInitialWeights(weights) if weights is not None else learner).fit(train)
-        weights = model.weights
-        reached = stats.average_precision(scored(model, valid).withColumn("score", F.round("score", 9)), "score", label).first()[0] or 0.0
-        seen.append((i * step, float(reached)))
-        if reached > top:
-            best, top, since = model, reached, 0
-        else:
-            since += 1
-        if since >= patience:
-            break
-    first = max(range(len(seen)), key=lambda i: (seen[i][1], -i))
-    out = scored(best, ready).select("review_id", "split", F.col(label).cast("long").alias(label), "score")
-    return out, [(n, ap, i == first) for i, (n, ap) in enumerate(seen)]
-
-
-def latent(weights: DataFrame, train: DataFrame, k: int, id_col: str = "doc_id") -> tuple[DataFrame, float]:
-    """((id, x0..), share): each document's (term, weight) vector on the ``k`` leading right singular vectors of the
-    training documents, and the share of the training sum of squares these hold.
-
-    The vocabulary is bounded by ``tfidf``'s max_features, so its numbering and the max_features by k matrix are small.
-    The signs of the vectors are arbitrary. Documents without a known term have no row.
-    """
-    spark, weights = weights.sparkSession, weights.persist()
-    vocabulary = weights.select("term").distinct().withColumn("i", F.row_number().over(Window.orderBy("term")) - 1)
-    size = vocabulary.count()
-    numbered = weights.join(F.broadcast(vocabulary), "term").select(id_col, "i", "weight").persist()
-    fit = numbered.join(train.select(id_col).distinct(), id_col, "left_semi")
-    pairs = fit.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("p"))
-    rows = RowMatrix(pairs.rdd.map(lambda r: Vectors.sparse(size, [x["i"] for x in r["p"]], [x["weight"] for x in r["p"]])), numCols=size)
-    found = rows.computeSVD(min(k, size - 1))
-    total = fit.agg(F.sum(F.col("weight") * F.col("weight"))).first()[0]
-    basis = found.V.toArray()
-    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(basis)], "i int, v array<double>")
-    met = numbered.join(F.broadcast(table), "i")
-    projected = met.groupBy(id_col).agg(*[F.sum(F.col("weight") * F.col("v")[j]).alias(f"x{j}") for j in range(basis.shape[1])])
-    return projected, float((found.s.toArray() ** 2).sum() / total)

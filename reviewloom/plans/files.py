@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,19 +10,11 @@ from reviewloom.operators import checks, edges, units
 from reviewloom.plans.base import FEATURES_SQL, features, register, rounded, texts
 from reviewloom.plans.edges import _LAST, _PRIOR, _TYPED, typed_edges
 from reviewloom.plans.reviews import _SAMPLED, _SPLIT, _sampled
-from reviewloom.sources import file_digests, read_json, read_reviews, reviews, standardize, table, write_csv, write_summary, write_table
+from reviewloom.sources import file_digests, read_json, read_reviews, reviews, scratch, standardize, table, write_csv, write_summary, write_table
 
 _F = f"WITH {FEATURES_SQL}"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; a local one only where the session is local and names none."""
-    there = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if there is None and spark.sparkContext.master.startswith("local"):
-        there = f"file://{tempfile.gettempdir()}"
-    return f"{there or spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
-
-
 def _raw(s, d):
     """Reviews as a raw file has them, with texts of several lines and quotes."""
     r = reviews(s, d).join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
@@ -181,18 +170,6 @@ def _graph_tables(s, d):
 register("snk06", _graph_tables, _F + " SELECT review_id, round((rating_norm - (SELECT avg(rating_norm) FROM f)) / (SELECT stddev_pop(rating_norm) FROM f), 6) AS scaled FROM f")
 
 
-def _log(s, d):
-    """A training log as rows: written, appended to, read in order of the epoch."""
-    path = scratch(s, "log")
-    made = _nodes(s, d).groupBy(F.col("rating").alias("epoch")).agg(F.avg("is_fake").alias("loss"))
-    made.where("epoch <= 3").write.parquet(path)
-    made.where("epoch > 3").write.mode("append").parquet(path)
-    return rounded(s.read.parquet(path))
-
-
-register("snk08", _log, _F + " SELECT CAST(rating AS BIGINT) AS epoch, round(avg(is_fake), 6) AS loss FROM r GROUP BY 1")
-
-
 def _texts_csv(s, d):
     path = scratch(s, "texts")
     write_csv(table(s, d, "documents").where("text <> ''").select("doc_id", "text", "source"), path, "none")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from reviewloom.operators import edges, matrix, models, stats, units
-from reviewloom.plans.base import features, register, rounded
+from reviewloom.operators import edges, latent, matrix, models, network, saved, stats, units
+from reviewloom.plans.base import SQL, features, register, rounded
 from reviewloom.plans.edges import _CAMPAIGN, _F, _LAST, _TYPED, _nodes, typed_edges
 from reviewloom.plans.models import _PARTS
 from reviewloom.plans.scores import _SCORE
-from reviewloom.sources import cut, table
+from reviewloom.sources import cut, scratch, table
 
 COLUMNS = ["rating_norm", "log_word_len"]
 INPUTS = ["rating_norm", "log_word_len", "prior_user_review_count", "prior_product_rating_std", "rating_impact_abs", "upper_ratio"]
@@ -54,7 +55,15 @@ def _network(s, d):
 
 # Fitted models have no SQL.
 register("gn01", lambda s, d: rounded(_network(s, d).select("review_id", "split", "is_fake", "score")))
-register("tx02", lambda s, d: rounded(models.latent(matrix.tfidf(table(s, d, "documents"), train := _split(s, d).where(_train()).select("doc_id"), max_features=1000), train, 16)[0]))
+register("tx02", lambda s, d: _vectors(*_texts(s, d)))
+
+
+def _texts(s, d):
+    return table(s, d, "documents").select("doc_id", "text"), cut(_split(s, d).where(_train()).select("doc_id").distinct())
+
+
+def _vectors(docs, train):
+    return latent.learned(docs, train)[0].select("doc_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
 def _campaign(s, d):
@@ -90,19 +99,155 @@ SELECT t AS threshold, tn, fp, fn, tp, round(coalesce(tp / nullif(tp + fp, 0), 0
 )
 
 
-def _relation_network(s, d):
-    nodes = _cut_split(s, d, ["is_fake", *INPUTS])
-    return models.relation_network(cut(typed_edges(s, d)), nodes, INPUTS, "is_fake")
+#: What each session has fitted on a folder's tables: the queries of one fit share it.
+_FITS: dict[tuple[str, str], tuple] = {}
+
+
+def fitted(s, d):
+    """(scores, log, model, weights, nodes, edges) of a relation network on the typed edges."""
+    key = s.sparkContext.applicationId, d
+    if key not in _FITS:
+        frame = _cut_split(s, d, ["is_fake", *INPUTS])
+        x = matrix.scaled(frame, INPUTS, _train()).withColumn("x", F.array(*INPUTS))
+        nodes, links = cut(network.with_shares(x, "is_fake").select("review_id", "split", "is_fake", "y", "share", "x")), cut(typed_edges(s, d))
+        model = network.RelationNetwork(len(INPUTS), 3, hidden=16, layers=2)
+        weights, log = network.fit(model, nodes, links, epochs=12, patience=5)
+        _FITS[key] = model.scores(weights), log, model, weights, nodes, links
+    return _FITS[key]
 
 
-register("gn07", lambda s, d: rounded(_relation_network(s, d)[0]))
-register("gn11", lambda s, d: rounded(s.createDataFrame(_relation_network(s, d)[1], "step long, valid_average_precision double, is_best boolean")))
+LOG = "epoch long, train_loss double, valid_average_precision double, is_best boolean"
+register("gn07", lambda s, d: rounded(fitted(s, d)[0].select("review_id", "split", F.col("y").cast("long").alias("is_fake"), "score")))
+register("gn11", lambda s, d: rounded(s.createDataFrame(fitted(s, d)[1], LOG)))
 
 
 def _summary(s, d):
-    scored, history = _relation_network(s, d)
-    best = next((step for step, _, is_best in history if is_best), None)
-    return rounded(stats.evaluated(scored, "score", "is_fake").select(F.lit("relation_network").alias("experiment"), F.lit("completed").alias("status"), F.lit(best).cast("long").alias("best_step"), "*"))
+    scored, log, *_ = fitted(s, d)
+    best = next((epoch for epoch, *_, is_best in log if is_best), None)
+    return rounded(stats.evaluated(scored.withColumnRenamed("y", "is_fake"), "score", "is_fake").select(F.lit("relation_network").alias("experiment"), F.lit("completed").alias("status"), F.lit(best).cast("long").alias("best_epoch"), "*"))
 
 
 register("gn14", _summary)
+
+
+def _training_tables(s, d):
+    """The log, predictions, metrics and weights of a fit, written and read again: the log with the metrics of its best epoch."""
+    scored, log, model, weights, *_ = fitted(s, d)
+    path = scratch(s, "training")
+    s.createDataFrame(log, LOG).coalesce(1).write.csv(f"{path}/log", header=True)
+    scored.write.partitionBy("split").parquet(f"{path}/predictions")
+    stats.evaluated(s.read.parquet(f"{path}/predictions").withColumnRenamed("y", "is_fake"), "score", "is_fake").write.json(f"{path}/metrics")
+    saved.NetworkModel(weights, model).write().save(f"{path}/weights")
+    metrics = s.read.json(f"{path}/metrics").select("threshold", "tn", "fp", "fn", "tp", "average_precision")
+    return rounded(s.read.schema(LOG).csv(f"{path}/log", header=True).join(F.broadcast(metrics), F.col("is_best"), "left"))
+
+
+register("snk08", _training_tables)
+
+
+def _scored_again(s, d):
+    """Saved weights, loaded, score the nodes as the fit did: scores of both, which agree."""
+    scored, _, model, weights, nodes, links = fitted(s, d)
+    path = scratch(s, "network")
+    saved.NetworkModel(weights, model).write().save(path)
+    again = saved.NetworkModel.load(path).over(links).transform(nodes)
+    return rounded(scored.select("review_id", "score").join(again.select("review_id", F.col("score").alias("loaded_score")), "review_id"))
+
+
+register("snk08_weights", _scored_again)
+
+_SCALED = ["prior_user_review_count", "word_len", "rating_impact_abs"]
+
+
+def _saved_scale(s, d):
+    """A scale learned on training rows, saved, loaded and applied."""
+    f = _split(s, d).select("review_id", _train().alias("train"), *_SCALED)
+    path = scratch(s, "scale")
+    saved.Scale(_SCALED, "train").fit(f).write().save(path)
+    return rounded(saved.ScaleModel.load(path).transform(f).select("review_id", *_SCALED))
+
+
+register(
+    "snk07",
+    _saved_scale,
+    _PARTS + ", z AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) < 1e-12 THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in _SCALED) + " FROM p1 WHERE split = 'train') SELECT review_id, " + ", ".join(f"round(({c} - m_{c}) / s_{c}, 6) AS {c}" for c in _SCALED) + " FROM p1, z",
+)
+
+
+def _saved_vectors(s, d):
+    """A text model of a few dimensions, saved and loaded: its weights per term, and that its vectors are as long as they say."""
+    docs, train = _texts(s, d)
+    _, basis = latent.learned(docs, train, 8)
+    path = scratch(s, "vectors")
+    saved.TextVectorsModel(basis).write().save(path)
+    return rounded(saved.TextVectorsModel.load(path).weights(docs))
+
+
+register("snk15", _saved_vectors, SQL["tx01"])
+
+# Forward passes with given weights.
+_GIVEN = lambda n, m, salt: [[((7 * i + 3 * j + salt) % 11 - 5) / 10 for j in range(m)] for i in range(n)]
+_HEADS, _EACH = 4, 2
+
+
+def _given_nodes(s, d):
+    return features(s, d).select("review_id", F.lit("train").alias("split"), F.lit(0.0).alias("y"), F.lit(0.0).alias("share"), F.array(*COLUMNS).alias("x"))
+
+
+def _heads(s, d):
+    """One layer of four heads with given weights: each node's output."""
+    model = network.AttentionNetwork(len(COLUMNS), hidden=_HEADS * _EACH, layers=2, heads=_HEADS)
+    model.prepare(_given_nodes(s, d), typed_edges(s, d))
+    w = {"map0": np.array(_GIVEN(2, _HEADS * _EACH, 1)), "src0": np.array(_GIVEN(_HEADS, _EACH, 2)), "dst0": np.array(_GIVEN(_HEADS, _EACH, 5))}
+    state = model.layer(w, 0, model.base.select("review_id", F.col("x").alias("h")), model.own)
+    mean = lambda k, c: F.col("sums")[_HEADS + k * _EACH + c] / F.col("sums")[k]
+    return rounded(state.select("review_id", *[mean(k, c).alias(f"o{k}{c}") for k in range(_HEADS) for c in range(_EACH)]))
+
+
+def _dot(columns, weights):
+    return "(" + " + ".join(f"{c} * ({w})" for c, w in zip(columns, weights, strict=True)) + ")"
+
+
+def _heads_sql():
+    m, a, b = _GIVEN(2, _HEADS * _EACH, 1), _GIVEN(_HEADS, _EACH, 2), _GIVEN(_HEADS, _EACH, 5)
+    t = [f"{_dot(COLUMNS, [m[0][i], m[1][i]])} AS t{i}" for i in range(_HEADS * _EACH)]
+    own = lambda k: [f"t{k * _EACH + c}" for c in range(_EACH)]
+    ends = [f"{_dot(own(k), w[k])} AS {n}{k}" for k in range(_HEADS) for n, w in (("s", a), ("d", b))]
+    power = [f"exp(CASE WHEN x.s{k} + y.d{k} > 0 THEN x.s{k} + y.d{k} ELSE 0.2 * (x.s{k} + y.d{k}) END) AS p{k}" for k in range(_HEADS)]
+    out = [f"round(sum(p{k} * t{k * _EACH + c}) / sum(p{k}), 6) AS o{k}{c}" for k in range(_HEADS) for c in range(_EACH)]
+    return f"""{_TYPED}, ga AS (SELECT review_id, {", ".join(t)} FROM f), gb AS (SELECT *, {", ".join(ends)} FROM ga), ge AS (SELECT src, dst FROM te UNION ALL SELECT review_id, review_id FROM f),
+gc AS (SELECT dst, x.*, {", ".join(power)} FROM ge JOIN gb x ON x.review_id = ge.src JOIN gb y ON y.review_id = ge.dst) SELECT dst AS review_id, {", ".join(out)} FROM gc GROUP BY 1"""
+
+
+register("gn04_heads", _heads, _heads_sql())
+
+
+def _relations(s, d):
+    """One layer of relation maps with given weights, before and after the rectifier."""
+    model = network.RelationNetwork(len(COLUMNS), 3, hidden=3, layers=1, own_branch=False)
+    model.prepare(_given_nodes(s, d), typed_edges(s, d))
+    w = {"self0": np.array(_GIVEN(2, 3, 4)), "bias0": np.array(_GIVEN(1, 3, 2)[0]), "rel0": np.array([_GIVEN(2, 3, r) for r in range(3)]), "relb0": np.array(_GIVEN(3, 3, 6)), "out": np.eye(3, 2), "outb": np.zeros(2)}
+    return rounded(model.outputs(w).select("review_id", *[F.col("h")[i].alias(f"h{i}") for i in range(3)]))
+
+
+def _relations_sql():
+    own, rel, relb, bias = _GIVEN(2, 3, 4), [_GIVEN(2, 3, r) for r in range(3)], _GIVEN(3, 3, 6), _GIVEN(1, 3, 2)[0]
+    column = lambda m, i: [m[0][i], m[1][i]]
+    means = ", ".join(f"coalesce(avg(a.{c}) FILTER (edge_type = {r}), 0) AS {c}{r}" for c in COLUMNS for r in range(3))
+    part = lambda r, i: f"CASE WHEN {r} IN (SELECT edge_type FROM te) THEN {_dot([f'{c}{r}' for c in COLUMNS], column(rel[r], i))} + ({relb[r][i]}) ELSE 0 END"
+    out = [f"round(greatest(0, {_dot([f'f.{c}' for c in COLUMNS], column(own, i))} + ({bias[i]}) + ({' + '.join(part(r, i) for r in range(3))}) / (SELECT count(DISTINCT edge_type) FROM te)), 6) AS h{i}" for i in range(3)]
+    return f"{_TYPED}, gm AS (SELECT f.review_id, {means} FROM f LEFT JOIN te ON te.dst = f.review_id LEFT JOIN f a ON a.review_id = te.src GROUP BY 1) SELECT f.review_id, {', '.join(out)} FROM f JOIN gm USING (review_id)"
+
+
+register("gn06_layer", _relations, _relations_sql())
+
+
+def _attention(s, d):
+    """Scores of a fitted attention network with four heads."""
+    _, _, _, _, nodes, links = fitted(s, d)
+    model = network.AttentionNetwork(len(INPUTS), hidden=16, layers=2, heads=4)
+    weights, _ = network.fit(model, nodes, links, epochs=6, patience=3)
+    return rounded(model.scores(weights).select("review_id", "split", F.col("y").cast("long").alias("is_fake"), "score"))
+
+
+register("gn04_fit", _attention)
