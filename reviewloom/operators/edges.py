@@ -8,33 +8,42 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewloom.functions import clip, day_number, dot
+from reviewloom.functions import clip, day_number, dot, week_of
+from reviewloom.operators.stats import quantiles
 
-#: Weights of a campaign pair's score: text, both new users, both short, both deviating, joint lift.
+#: Fixed values, these and the two lists below: weights of a campaign pair's score: text, both new users, both short, both deviating, joint lift.
 CAMPAIGN_WEIGHTS = (0.35, 0.16, 0.14, 0.20, 0.15)
 CAMPAIGN_LIFTS = ["same_dir_log_count_lift_4w", "direction_concentration_lift_4w", "new_user_ratio_lift_4w", "short_review_ratio_lift_4w"]
 BEHAVIOR = ["short_review_flag", "extreme_rating", "is_new_user_at_review_time", "prior_user_review_count", "prior_product_review_count", "rating_deviation_from_prior_product_mean"]
 
 
 def last_k(df: DataFrame, key: str, k: int) -> DataFrame:
-    """Directed edges from the k latest earlier rows of the same key: lags in one sorted pass, no self-join."""
-    w = Window.partitionBy(key).orderBy("date", "review_id")
-    lags = F.array(*[F.lag("review_id", i).over(w) for i in range(1, k + 1)])
-    return df.select(F.col("review_id").alias("dst"), lags.alias("srcs")).select(F.explode("srcs").alias("src"), "dst").where("src IS NOT NULL")
+    """Directed edges from the k latest earlier rows of the same key, in (date, review_id) order.
 
+    Inside a key's week they are lags. Each week hands its k latest on, and as a week that is there has one row at least,
+    the k weeks before hold the k latest of all: so a hot key is as many tasks as it has weeks.
+    """
+    df = df.select(key, "date", "review_id", week_of(F.col("date")).alias("week"))
+    w = Window.partitionBy(key, "week").orderBy("date", "review_id")
+    own = F.filter(F.array(*[F.lag("review_id", i).over(w) for i in range(1, k + 1)]), lambda x: x.isNotNull())
+    inside = df.withColumn("_own", own).join(_carried_latest(df, key, k), [key, "week"], "left")
+    srcs = F.slice(F.concat("_own", F.coalesce(F.transform("earlier", lambda e: e["review_id"]), F.array().cast("array<long>"))), 1, k)
+    return inside.select(F.explode(srcs).alias("src"), F.col("review_id").alias("dst"))
 
-def prior_context(df: DataFrame, k: int) -> DataFrame:
-    """Directed edges from the k latest same-product reviews of earlier weeks.
 
-    Each product week keeps its own k latest; a window over the product's weeks strings them together, so the state per
-    product is k rows a week.
-    """
-    recent = Window.partitionBy("prod_id", "week").orderBy(F.desc("date"), F.desc("review_id"))
+def _carried_latest(df: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, week, earlier): the k latest rows of the key in weeks before, the latest first."""
+    recent = Window.partitionBy(key, "week").orderBy(F.desc("date"), F.desc("review_id"))
     tops = df.withColumn("_n", F.row_number().over(recent)).where(F.col("_n") <= k)
-    weeks = tops.groupBy("prod_id", "week").agg(F.sort_array(F.collect_list(F.struct("date", "review_id")), False).alias("own"))
-    before = Window.partitionBy("prod_id").orderBy(F.desc("week")).rowsBetween(1, Window.unboundedFollowing)
-    have = weeks.withColumn("earlier", F.slice(F.sort_array(F.flatten(F.collect_list("own").over(before)), False), 1, k)).where(F.size("earlier") > 0)
-    return df.join(have.select("prod_id", "week", "earlier"), ["prod_id", "week"]).select(F.explode("earlier").alias("e"), F.col("review_id").alias("dst")).select(F.col("e.review_id").alias("src"), "dst")
+    weeks = tops.groupBy(key, "week").agg(F.collect_list(F.struct("date", "review_id")).alias("own"))
+    before = Window.partitionBy(key).orderBy("week").rowsBetween(-k, -1)
+    return weeks.select(key, "week", F.slice(F.sort_array(F.flatten(F.collect_list("own").over(before)), False), 1, k).alias("earlier"))
+
+
+def prior_context(df: DataFrame, k: int) -> DataFrame:
+    """Directed edges from the k latest same-product reviews of earlier weeks; each week carries the k latest forward."""
+    have = _carried_latest(df.select("prod_id", "week", "date", "review_id"), "prod_id", k).where(F.size("earlier") > 0)
+    return df.join(have, ["prod_id", "week"]).select(F.explode("earlier").alias("e"), F.col("review_id").alias("dst")).select(F.col("e.review_id").alias("src"), "dst")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -61,10 +70,14 @@ def _strangers(pairs: DataFrame) -> DataFrame:
 
 def shock_candidates(f: DataFrame, max_prior: int = 30, min_dev: float = 1.0, standardized: bool = False) -> DataFrame:
     """Reviews that depart from a little-reviewed product's mean, with their shock direction and score."""
-    floor = f.where("prior_product_rating_std > 0").agg(F.greatest(F.coalesce(F.percentile("prior_product_rating_std", 0.25), F.lit(1.0)), F.lit(1e-6)).alias("_floor"))
     dev = F.col("rating_deviation_from_prior_product_mean")
-    f = f.crossJoin(F.broadcast(floor)).withColumn("abs_dev", F.abs(dev))
-    score = F.col("abs_dev") / F.greatest("prior_product_rating_std", "_floor") if standardized else F.col("abs_dev")
+    f = f.withColumn("abs_dev", F.abs(dev))
+    score = F.col("abs_dev")
+    if standardized:
+        std = F.col("prior_product_rating_std")
+        floor = quantiles(f, {"_floor": (F.when(std > 0, std), 0.25)})
+        f = f.crossJoin(F.broadcast(floor))  # one row
+        score = score / F.greatest(std, F.coalesce("_floor", F.lit(1.0)), F.lit(1e-6))
     f = f.withColumns({"shock_score": score, "shock_direction": F.when(dev > 0, 1).when(dev < 0, -1).otherwise(0)}).drop("_floor")
     return f.where((F.col("prior_product_review_count") <= max_prior) & (F.col("shock_score") >= min_dev) & (F.col("rating_direction") != 0))
 
@@ -88,13 +101,22 @@ def shock_baseline(f: DataFrame, k: int = 5, **candidates) -> DataFrame:
     return met.withColumn("_n", F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("date"), F.desc("src")))).where(F.col("_n") <= k).select("src", "dst")
 
 
+def behavior_matrix(c: DataFrame) -> DataFrame:
+    """Adds z_<c> for the columns of BEHAVIOR: missing values at the median, less the median, over the population deviation
+    (1 where that is under 1e-12)."""
+    medians = quantiles(c, {f"_m_{x}": (F.col(x), 0.5) for x in BEHAVIOR})
+    filled = c.crossJoin(F.broadcast(medians)).withColumns({f"_x_{x}": F.coalesce(F.col(x).cast("double"), F.col(f"_m_{x}"), F.lit(0.0)) for x in BEHAVIOR})
+    scale = filled.agg(*[F.stddev_pop(f"_x_{x}").alias(f"_s_{x}") for x in BEHAVIOR])
+    z = {f"z_{x}": (F.col(f"_x_{x}") - F.coalesce(F.col(f"_m_{x}"), F.lit(0.0))) / F.when(F.col(f"_s_{x}") < 1e-12, 1.0).otherwise(F.col(f"_s_{x}")) for x in BEHAVIOR}
+    return filled.crossJoin(F.broadcast(scale)).withColumns(z).drop(*[f"_{n}_{x}" for x in BEHAVIOR for n in "msx"])
+
+
 def cold_start_cohort(f: DataFrame, max_prior: int = 1, days: int = 3, k: int = 5) -> DataFrame:
     """Symmetric edges between risky reviews of new users, of one direction and near in time, by likeness of behavior."""
     new = (F.col("prior_user_review_count") <= max_prior) | (F.col("is_new_user_at_review_time") == 1)
     risky = (F.col("short_review_flag") == 1) | (F.col("extreme_rating") == 1)
     c = f.where(new & risky)
-    scale = c.agg(*[F.median(x).alias(f"_m_{x}") for x in BEHAVIOR], *[F.stddev_pop(x).alias(f"_s_{x}") for x in BEHAVIOR])
-    c = c.crossJoin(F.broadcast(scale)).withColumns({f"z_{x}": (F.col(x) - F.col(f"_m_{x}")) / F.when(F.col(f"_s_{x}") < 1e-12, 1.0).otherwise(F.col(f"_s_{x}")) for x in BEHAVIOR})
+    c = behavior_matrix(c)
     pairs = _strangers(band_self_join(c.where("rating_direction <> 0"), ["rating_direction"], days, ["review_id", "user_id", "prod_id", "week", *[f"z_{x}" for x in BEHAVIOR]]))
     distance = F.round(reduce(lambda x, y: x + y, [F.abs(F.col(f"a_z_{x}") - F.col(f"b_z_{x}")) for x in BEHAVIOR]) / len(BEHAVIOR), 9)
     pairs = pairs.withColumnsRenamed({"a_review_id": "src", "b_review_id": "dst"})
@@ -109,25 +131,34 @@ def campaign_pairs(f: DataFrame, vectors: DataFrame, train: Column | None = None
     """
     lift = reduce(lambda a, b: a + b, [F.greatest(F.col(c), F.lit(0.0)) for c in CAMPAIGN_LIFTS])
     f = f.withColumn("lift", lift)
-    cuts = (f if train is None else f.where(train)).agg(F.coalesce(F.percentile("lift", quantile), F.lit(0.0)).alias("cut"), F.coalesce(F.percentile("lift", 0.9), F.lit(1.0)).alias("q90"), F.greatest(F.coalesce(F.percentile(F.when(F.col("prior_product_rating_std") > 0, F.col("prior_product_rating_std")), 0.25), F.lit(1.0)), F.lit(1e-6)).alias("std_floor"))
-    cuts = cuts.withColumn("q90", F.greatest("q90", "cut", F.lit(1e-6)))
+    std = F.col("prior_product_rating_std")
+    cuts = quantiles(f if train is None else f.where(train), {"cut": (F.col("lift"), quantile), "q90": (F.col("lift"), 0.9), "std_floor": (F.when(std > 0, std), 0.25)})
+    cuts = cuts.select(F.coalesce("cut", F.lit(0.0)).alias("cut"), F.greatest("q90", "cut", F.lit(1e-6)).alias("q90"), F.greatest(F.coalesce("std_floor", F.lit(1.0)), F.lit(1e-6)).alias("std_floor"))
     g = Window.partitionBy("prod_id", "week", "rating_direction")
     f = f.where("rating_direction <> 0").withColumns({"_size": F.count("*").over(g), "_mean": F.avg("lift").over(g)}).crossJoin(F.broadcast(cuts))
     f = f.where((F.col("_size") >= min_group) & (F.round("_mean", 9) >= F.round("cut", 9)))
     f = f.withColumn("dev", clip(F.abs("rating_deviation_from_prior_product_mean") / F.greatest("prior_product_rating_std", "std_floor"), 0.0, 3.0) / 3)
-    v = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
-    v = v.select("vec_id", F.transform("v", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0)).alias("v"))
-    f = f.join(v, "vec_id").select("prod_id", "week", "rating_direction", "review_id", "date", "lift", "q90", "dev", F.col("is_new_user_at_review_time").alias("new"), F.col("short_review_flag").alias("short"), "v")
+    f = f.select("prod_id", "week", "rating_direction", "review_id", "vec_id", "date", "lift", "q90", "dev", F.col("is_new_user_at_review_time").alias("new"), F.col("short_review_flag").alias("short"))
     keys = ["prod_id", "week", "rating_direction"]
-    side = lambda p: f.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in ("review_id", "date", "lift", "q90", "dev", "new", "short", "v")])
+    side = lambda p: f.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in ("review_id", "vec_id", "date", "lift", "q90", "dev", "new", "short")])
     pairs = side("a").join(side("b"), keys).where("a_review_id <> b_review_id")
     low = lambda c: F.least(f"a_{c}", f"b_{c}")
-    parts = ((clip(dot(F.col("a_v"), F.col("b_v")), -1.0, 1.0) + 1) / 2, low("new"), low("short"), low("dev"), clip(low("lift") / F.col("a_q90"), 0.0, 1.0))
-    score = F.round(reduce(lambda x, y: x + y, [w * p for w, p in zip(CAMPAIGN_WEIGHTS, parts, strict=True)]), 9)
-    pairs = pairs.select(F.col("a_review_id").alias("src"), F.col("b_review_id").alias("dst"), score.alias("score"), F.abs(F.datediff("a_date", "b_date")).alias("days_apart"))
+    text, *weights = CAMPAIGN_WEIGHTS
+    rest = reduce(lambda x, y: x + y, [w * p for w, p in zip(weights, (low("new"), low("short"), low("dev"), clip(low("lift") / F.col("a_q90"), 0.0, 1.0)), strict=True)])
+    pairs = pairs.select(F.col("a_review_id").alias("src"), F.col("b_review_id").alias("dst"), "a_vec_id", "b_vec_id", rest.alias("rest"), F.abs(F.datediff("a_date", "b_date")).alias("days_apart"))
     if existing is not None:
         pairs = pairs.join(existing.select("src", "dst"), ["src", "dst"], "left_anti")
-    kept = top_k(pairs.where(F.col("score") >= min_score), k, F.desc("score"), F.col("days_apart"), F.col("dst"))
+    # The text adds between nothing and its weight: a pair that even so stays under its source's k-th surest is out.
+    sure = F.nth_value("rest", k).over(Window.partitionBy("src").orderBy(F.desc("rest")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    pairs = pairs.withColumn("_sure", sure).where(F.col("rest") + text + 1e-6 >= F.greatest(F.coalesce("_sure", F.lit(0.0)), F.lit(min_score))).drop("_sure")
+    v = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
+    v = v.select("vec_id", F.transform("v", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0)).alias("v"))
+    of = lambda p: v.withColumnsRenamed({"vec_id": f"{p}_vec_id", "v": f"{p}_v"})
+    # Reviews share vectors, so each pair of vectors is multiplied once.
+    likeness = pairs.select("a_vec_id", "b_vec_id").distinct().join(of("a"), "a_vec_id").join(of("b"), "b_vec_id")
+    likeness = likeness.select("a_vec_id", "b_vec_id", ((clip(dot(F.col("a_v"), F.col("b_v")), -1.0, 1.0) + 1) / 2).alias("text"))
+    scored = pairs.join(likeness, ["a_vec_id", "b_vec_id"]).select("src", "dst", F.round(text * F.col("text") + F.col("rest"), 9).alias("score"), "days_apart")
+    kept = top_k(scored.where(F.col("score") >= min_score), k, F.desc("score"), F.col("days_apart"), F.col("dst"))
     return kept.orderBy(F.desc("score"), "src", "dst").limit(budget).select("src", "dst", "score")
 
 

@@ -8,24 +8,64 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewloom.sources import cut
+
 
 def running(counts: DataFrame, value: str, sums: list[str], descending: bool = False, ranges: int = 128) -> DataFrame:
     """Adds upto_<s> for each of ``sums``: its total over all rows up to this one in the order of ``value``, which is distinct.
 
     A window over all values would run in one task. Values are cut into ranges at approximate quantiles, sums run inside
-    each range, and what the ranges before hold, at most ``ranges`` rows, is broadcast. Rows whose sums are all 0 go.
+    each range, and what the ranges before hold, at most ``ranges`` rows, is broadcast. Rows whose sums are all 0 go. The
+    rows are written once, as they are read three times.
     """
-    counts = counts.where(reduce(lambda a, b: a + b, [F.col(c) for c in sums]) > 0)
+    counts = cut(counts.where(reduce(lambda a, b: a + b, [F.col(c) for c in sums]) > 0))
     cuts = counts.agg(F.array_distinct(F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(20 * ranges))).alias("_cuts"))
-    cut = counts.crossJoin(F.broadcast(cuts)).withColumn("_range", F.when(F.col(value).isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(value))))).drop("_cuts")
+    ranged = counts.crossJoin(F.broadcast(cuts)).withColumn("_range", F.when(F.col(value).isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(value))))).drop("_cuts")
     order = (lambda c: F.desc(c)) if descending else F.asc
     before = Window.orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = cut.groupBy("_range").agg(*[F.sum(c).alias(c) for c in sums]).select("_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{c}") for c in sums])
+    whole = ranged.groupBy("_range").agg(*[F.sum(c).alias(c) for c in sums]).select("_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{c}") for c in sums])
     inside = Window.partitionBy("_range").orderBy(order(value))
-    out = cut.join(F.broadcast(whole), "_range")
+    out = ranged.join(F.broadcast(whole), "_range")
     return out.withColumns({f"upto_{c}": F.sum(c).over(inside) + F.col(f"_before_{c}") for c in sums}).drop("_range", *[f"_before_{c}" for c in sums])
 
 
+#: Ranges of values that an exact quantile is first looked for in.
+RANGES = 64
+
+
+def quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], keys: list[str] | None = None) -> DataFrame:
+    """A row per group of ``keys`` (one row without) with the exact quantile of a value under each name, interpolated between
+    neighbours as ``percentile`` does; null for a group or value without a number.
+
+    No task holds all values of one: distinct values are counted, approximate quantiles cut each value into RANGES, the
+    counts of ranges tell in which the wanted places lie, and only these ranges are put in order, each in its own task.
+    The counts are written once, as they are read three times. The same value is counted once for all its quantiles.
+    """
+    keys = keys or []
+    values: dict[str, tuple[int, Column]] = {}
+    for column, _ in wanted.values():
+        values.setdefault(str(column), (len(values), column))
+    asked = [(name, values[str(c)][0], float(q)) for name, (c, q) in wanted.items()]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), c.cast("double").alias("_v")) for i, c in values.values()]))
+    by = [*keys, "_i"]
+    counts = cut(df.select(*keys, each.alias("_x")).select(*keys, "_x.*").where("_v IS NOT NULL").groupBy(*by, "_v").agg(F.count("*").alias("_c")))
+    cuts = counts.groupBy(*by).agg(F.array_distinct(F.percentile_approx("_v", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(20 * RANGES))).alias("_cuts"))
+    ranged = counts.join(cuts.hint("broadcast") if not keys else cuts, by).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = ranged.groupBy(*by, "_range").agg(F.sum("_c").alias("_here"))
+    whole = whole.withColumns({"_before": F.coalesce(F.sum("_here").over(before), F.lit(0)), "_n": F.sum("_here").over(Window.partitionBy(*by))})
+    names = df.sparkSession.createDataFrame([(n, i, q) for n, i, q in asked], "_name string, _i int, _q double")
+    place = F.round(F.col("_q") * (F.col("_n") - 1), 9)
+    ends = F.explode(F.array(F.struct(F.floor(place).alias("_at"), (1 - (place - F.floor(place))).alias("_share")), F.struct(F.ceil(place).alias("_at"), (place - F.floor(place)).alias("_share"))))
+    places = whole.join(F.broadcast(names), "_i").select(*by, "_range", "_here", "_before", "_name", ends.alias("_e")).where("_e._at >= _before AND _e._at < _before + _here")
+    some = places.select(*by, "_range", "_before").distinct()
+    inside = Window.partitionBy(*by, "_range").orderBy("_v")
+    ordered = ranged.join(some, [*by, "_range"]).withColumn("_upto", F.col("_before") + F.sum("_c").over(inside)).select(*by, "_range", "_v", "_c", "_upto")
+    met = ordered.join(places.select(*by, "_range", "_name", "_e"), [*by, "_range"]).where("_e._at < _upto AND _e._at >= _upto - _c")
+    out = met.groupBy(*keys).agg(*[F.sum(F.when(F.col("_name") == n, F.col("_v") * F.col("_e._share"))).alias(n) for n in wanted])
+    return out
+
+
 def _gamma_tail(a: float, x: float) -> float:
     """Upper regularised incomplete gamma function, by the series below a + 1 and the continued fraction above."""
     if x <= 0:

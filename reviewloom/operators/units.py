@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewloom.operators.stats import quantiles
+
 SHIFTS = ["same_dir_log_count_lift_4w", "total_log_count_lift_4w", "direction_concentration_lift_4w", "new_user_ratio_lift_4w", "short_review_ratio_lift_4w", "word_len_drop_ratio_4w", "abuse_burst_behavior_score_4w"]
 #: Fixed values, this map and the next: sources of the quantile flags in absolute mode.
 ABSOLUTE = {"review_growth_flag": "growth_ratio_30d", "new_user_ratio_flag": "new_user_ratio", "extreme_rating_ratio_flag": "extreme_ratio", "short_review_ratio_flag": "short_ratio", "weak_product_flag": "weak_product_score", "rating_deviation_flag": "mean_abs_rating_dev", "rating_direction_concentration_flag": "rating_direction_concentration"}
@@ -60,7 +62,7 @@ def flagged(units: DataFrame, mode: str = "absolute", quantile: float = 0.75, mi
         positive = base.where("prior_product_rating_std_median > 0").agg(F.greatest(F.coalesce(F.percentile("prior_product_rating_std_median", 0.25), F.lit(1.0)), F.lit(1e-6)).alias("_floor"))
         scaled = lambda u: u.crossJoin(F.broadcast(positive)).withColumn("standardized_mean_abs_rating_dev", F.col("mean_abs_rating_dev") / F.greatest(F.col("prior_product_rating_std_median"), F.col("_floor"))).drop("_floor")
         units, base = scaled(units), scaled(base)
-    cuts = base.agg(*[F.percentile(c, quantile).alias(f"_{flag}") for flag, c in sources.items()])  # one row
+    cuts = quantiles(base, {f"_{flag}": (F.col(c), quantile) for flag, c in sources.items()})  # one row
     units = units.crossJoin(F.broadcast(cuts)).withColumns({flag: F.coalesce((F.col(c) >= F.col(f"_{flag}")).cast("long"), F.lit(0).cast("long")) for flag, c in sources.items()})
     count: Column = sum((F.col(flag) for flag in sources), F.lit(0)) + F.col("local_template_repeat_flag")
     units = units.withColumn("sampling_flag_count", count.cast("long"))

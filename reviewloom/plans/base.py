@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewloom.functions import text_columns
-from reviewloom.operators import history, units
+from reviewloom.operators import history
 from reviewloom.sources import reviews, standardize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,8 +44,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All review features: rating, text, user and product history, interactions, group sizes, weekly shift."""
     f = history.rating_features(standardize(reviews(spark, sf_dir))).join(texts(spark, sf_dir), "doc_id", "left")
-    f = history.group_sizes(history.interactions(history.product_history(history.user_history(f))))
-    return f.join(history.weekly_shift(f), ["prod_id", "rating_direction", "week"], "left").fillna(0.0, units.SHIFTS)
+    return history.with_weekly_shift(history.group_sizes(history.interactions(history.product_history(history.user_history(f)))))
 
 
 #: The same frame as DuckDB common table expressions; ``f`` has every column.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.operators import edges
 from reviewloom.plans.base import FEATURES_SQL, features, register, rounded
-from reviewloom.sources import reviews, standardize, table
+from reviewloom.sources import cut, reviews, standardize
 
 _F = f"WITH {FEATURES_SQL}"
 _LAST = _F + ", k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date, review_id) AS n FROM r), ed02 AS (SELECT a.review_id AS src, b.review_id AS dst FROM k a JOIN k b ON a.user_id = b.user_id AND b.n - a.n BETWEEN 1 AND 5)"
@@ -18,6 +18,14 @@ def _nodes(s, d):
     return standardize(reviews(s, d)).withColumn("week", F.date_trunc("week", "date").cast("date"))
 
 
+_SHOCKED = ["review_id", "user_id", "prod_id", "date", "week", "rating_direction", "prior_product_review_count", "prior_product_rating_std", "rating_deviation_from_prior_product_mean"]
+
+
+def once(s, d, columns=()):
+    """Columns of the feature frame that edges need, written once for all uses in a plan."""
+    return cut(features(s, d).select(*dict.fromkeys([*_SHOCKED, *columns])))
+
+
 register("ed02", lambda s, d: edges.last_k(_nodes(s, d), "user_id", 5), _LAST + " SELECT * FROM ed02")
 register("jn14", lambda s, d: edges.last_k(_nodes(s, d), "prod_id", 3), _F + ", k AS (SELECT *, row_number() OVER (PARTITION BY prod_id ORDER BY date, review_id) AS n FROM r) SELECT a.review_id AS src, b.review_id AS dst FROM k a JOIN k b ON a.prod_id = b.prod_id AND b.n - a.n BETWEEN 1 AND 3")
 _PRIOR = ", ed05 AS (SELECT a.review_id AS src, b.review_id AS dst FROM a JOIN a b ON a.prod_id = b.prod_id AND a.week < b.week QUALIFY row_number() OVER (PARTITION BY b.review_id ORDER BY a.date DESC, a.review_id DESC) <= 5)"
@@ -36,10 +44,10 @@ _PEERS = """, sp AS (
 ), ed11 AS (SELECT src, dst FROM sp UNION SELECT dst, src FROM sp)"""
 _ABSOLUTE = _SHOCK.format(scaled="", least="1.0")
 register("flt03", lambda s, d: rounded(edges.shock_candidates(features(s, d)).select("review_id", "shock_score", "shock_direction")), _F + _ABSOLUTE + " SELECT review_id, round(shock_score, 6) AS shock_score, CAST(shock_direction AS BIGINT) AS shock_direction FROM sd")
-register("ed13", lambda s, d: rounded(edges.shock_candidates(features(s, d), min_dev=0.75, standardized=True).select("review_id", "shock_score")), _F + _SHOCK.format(scaled=_SCALED, least="0.75") + " SELECT review_id, round(shock_score, 6) AS shock_score FROM sd")
-register("ed11", lambda s, d: edges.shock_peers(features(s, d)), _F + _ABSOLUTE + _PEERS + " SELECT * FROM ed11")
+register("ed13", lambda s, d: rounded(edges.shock_candidates(once(s, d), min_dev=0.75, standardized=True).select("review_id", "shock_score")), _F + _SHOCK.format(scaled=_SCALED, least="0.75") + " SELECT review_id, round(shock_score, 6) AS shock_score FROM sd")
+register("ed11", lambda s, d: edges.shock_peers(once(s, d, ["abuse_burst_behavior_score_4w"])), _F + _ABSOLUTE + _PEERS + " SELECT * FROM ed11")
 _BASE = ", ed12 AS (SELECT e.review_id AS src, c.review_id AS dst FROM sd c JOIN f e ON c.prod_id = e.prod_id AND c.prior_product_review_count >= 1 AND (e.date < c.date OR (e.date = c.date AND e.review_id < c.review_id)) AND e.user_id <> c.user_id QUALIFY row_number() OVER (PARTITION BY c.review_id ORDER BY e.date DESC, e.review_id DESC) <= 5)"
-register("ed12", lambda s, d: edges.shock_baseline(features(s, d)), _F + _ABSOLUTE + _BASE + " SELECT * FROM ed12")
+register("ed12", lambda s, d: edges.shock_baseline(once(s, d)), _F + _ABSOLUTE + _BASE + " SELECT * FROM ed12")
 
 _Z = ", ".join(f"({x} - (SELECT median({x}) FROM cc)) / (SELECT CASE WHEN stddev_pop({x}) < 1e-12 THEN 1 ELSE stddev_pop({x}) END FROM cc) AS z_{x}" for x in edges.BEHAVIOR)
 _COLD = f""", cc AS (SELECT * FROM f WHERE (prior_user_review_count <= 1 OR is_new_user_at_review_time = 1) AND (short_review_flag = 1 OR extreme_rating = 1)), cz AS (SELECT *, {_Z} FROM cc), cp AS (
@@ -47,7 +55,12 @@ _COLD = f""", cc AS (SELECT * FROM f WHERE (prior_user_review_count <= 1 OR is_n
     AND a.review_id <> b.review_id AND a.user_id <> b.user_id AND NOT (a.prod_id = b.prod_id AND a.week = b.week)
   QUALIFY row_number() OVER (PARTITION BY a.review_id ORDER BY abs(a.date - b.date), round(({' + '.join(f'abs(a.z_{x} - b.z_{x})' for x in edges.BEHAVIOR)}) / {len(edges.BEHAVIOR)}, 9), b.review_id) <= 5
 ), ed10 AS (SELECT src, dst FROM cp UNION SELECT dst, src FROM cp)"""
-register("ed10", lambda s, d: edges.cold_start_cohort(features(s, d)), _F + _COLD + " SELECT * FROM ed10")
+register("ed10", lambda s, d: edges.cold_start_cohort(once(s, d, edges.BEHAVIOR)), _F + _COLD + " SELECT * FROM ed10")
+register(
+    "ed10b",
+    lambda s, d: rounded(edges.behavior_matrix(once(s, d, edges.BEHAVIOR).where("(prior_user_review_count <= 1 OR is_new_user_at_review_time = 1) AND (short_review_flag = 1 OR extreme_rating = 1)")).select("review_id", *[f"z_{x}" for x in edges.BEHAVIOR])),
+    _F + _COLD + " SELECT review_id, " + ", ".join(f"round(z_{x}, 6) AS z_{x}" for x in edges.BEHAVIOR) + " FROM cz",
+)
 register(
     "flt05",
     lambda s, d: features(s, d).where("(prior_user_review_count <= 1 OR is_new_user_at_review_time = 1) AND (short_review_flag = 1 OR extreme_rating = 1)").select("review_id"),
@@ -68,7 +81,7 @@ _CAMPAIGN = f""", cl AS (SELECT *, {' + '.join(f'greatest({c}, 0)' for c in edge
 
 def typed_edges(s, d):
     """User (0), prior context (1) and shock baseline (2) edges, one per pair."""
-    f = features(s, d)
+    f = once(s, d)
     kinds = (edges.last_k(f, "user_id", 5), edges.prior_context(f, 5), edges.shock_baseline(f))
     return edges.collapsed(reduce(lambda a, b: a.unionByName(b), [e.select("src", "dst", F.lit(i).alias("edge_type")) for i, e in enumerate(kinds)]))
 

@@ -95,12 +95,12 @@ register(
 )
 register(
     "ag18",
-    lambda s, d: rounded(_split(s, d).where("split = 'train'").groupBy("rating_bucket").agg(F.percentile("word_len", 0.25).alias("q25"), F.median("word_len").alias("median"))),
+    lambda s, d: rounded(stats.quantiles(_split(s, d).where("split = 'train'"), {"q25": (F.col("word_len"), 0.25), "median": (F.col("word_len"), 0.5)}, ["rating_bucket"])),
     _PARTS + " SELECT rating_bucket, round(quantile_cont(word_len, 0.25), 6) AS q25, round(median(word_len), 6) AS median FROM p1 WHERE split = 'train' GROUP BY 1",
 )
 register(
     "ag19",
-    lambda s, d: rounded(_split(s, d).where("split = 'train'").agg(*[F.percentile("word_len", p).alias(f"q{int(p * 100)}") for p in (0.1, 0.25, 0.75, 0.9)])),
+    lambda s, d: rounded(stats.quantiles(_split(s, d).where("split = 'train'"), {f"q{int(p * 100)}": (F.col("word_len"), p) for p in (0.1, 0.25, 0.75, 0.9)})),
     _PARTS + " SELECT " + ", ".join(f"round(quantile_cont(word_len, {p}), 6) AS q{int(p * 100)}" for p in (0.1, 0.25, 0.75, 0.9)) + " FROM p1 WHERE split = 'train'",
 )
 register("ag20", lambda s, d: table(s, d, "documents").agg(*[F.count_if(F.col(c).isNull()).alias(f"{c}_missing") for c in ("text", "lang", "source")]), "SELECT count(*) FILTER (text IS NULL) AS text_missing, count(*) FILTER (lang IS NULL) AS lang_missing, count(*) FILTER (source IS NULL) AS source_missing FROM documents")

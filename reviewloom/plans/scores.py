@@ -89,9 +89,14 @@ for _name, _key in {"ag07_rating": "rating", "ag07_month": "month"}.items():
         lambda s, d, k=_key: rounded(features(s, d).groupBy(k).agg(F.count("*").alias("reviews"), F.sum("is_fake").alias("fake"), F.avg("is_fake").alias("fake_rate"))),
         _F + f" SELECT {_key}, count(*) AS reviews, CAST(sum(is_fake) AS BIGINT) AS fake, round(avg(is_fake), 6) AS fake_rate FROM f GROUP BY 1",
     )
+def _lengths(f):
+    points = stats.quantiles(f, {n: (F.col("char_len"), q) for n, q in (("median_chars", 0.5), ("p90", 0.9), ("p99", 0.99))}, ["is_fake"])
+    return f.groupBy("is_fake").agg(F.avg("char_len").alias("mean_chars")).join(points, "is_fake", "left")
+
+
 register(
     "ag08",
-    lambda s, d: rounded(features(s, d).groupBy("is_fake").agg(F.avg("char_len").alias("mean_chars"), F.median("char_len").alias("median_chars"), F.percentile("char_len", 0.9).alias("p90"), F.percentile("char_len", 0.99).alias("p99"))),
+    lambda s, d: rounded(_lengths(features(s, d))),
     _F + " SELECT CAST(is_fake AS BIGINT) AS is_fake, round(avg(char_len), 6) AS mean_chars, round(median(char_len), 6) AS median_chars, round(quantile_cont(char_len, 0.9), 6) AS p90, round(quantile_cont(char_len, 0.99), 6) AS p99 FROM f GROUP BY is_fake",
 )
 register(
@@ -159,7 +164,7 @@ register(
 )
 register("ag13", lambda s, d: standardize(reviews(s, d)).agg(F.count_distinct("user_id").alias("users"), F.count_distinct("prod_id").alias("products")), _F + " SELECT count(DISTINCT user_id) AS users, count(DISTINCT prod_id) AS products FROM r")
 _POINTS = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
-register("ag14", lambda s, d: rounded(features(s, d).agg(*[F.percentile("word_len", p).alias(f"q{int(p * 100)}") for p in _POINTS])), _F + " SELECT " + ", ".join(f"round(quantile_cont(word_len, {p}), 6) AS q{int(p * 100)}" for p in _POINTS) + " FROM f")
+register("ag14", lambda s, d: rounded(stats.quantiles(features(s, d), {f"q{int(p * 100)}": (F.col("word_len"), p) for p in _POINTS})), _F + " SELECT " + ", ".join(f"round(quantile_cont(word_len, {p}), 6) AS q{int(p * 100)}" for p in _POINTS) + " FROM f")
 
 
 def _entropy(s, d):

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reviewloom.operators import similar
-from reviewloom.plans.base import features, register, rounded
+from reviewloom.functions import cosine, week_of
+from reviewloom.operators import edges, similar
+from reviewloom.plans.base import FEATURES_SQL, features, register, rounded
 from reviewloom.plans.edges import _F
-from reviewloom.sources import table
+from reviewloom.sources import reviews, standardize, table
 
 #: Least cosine of ed08: the adapter's vectors are too far apart for the default to find any in a product week.
 TEMPLATE = 0.2
@@ -37,3 +38,22 @@ register(
     "rn AS (SELECT x.review_id AS src, y.review_id AS dst, x.prod_id = y.prod_id AND x.week = y.week AS own, row_number() OVER (PARTITION BY x.review_id ORDER BY sim DESC, y.review_id) AS n FROM rk x JOIN es ON es.a = x.vec_id JOIN rk y ON y.vec_id = es.b AND y.rating_direction = x.rating_direction WHERE sim >= 0.9), "
     "rt AS (SELECT src, dst FROM rn WHERE n <= 31 AND src <> dst AND NOT own QUALIFY row_number() OVER (PARTITION BY src ORDER BY n) <= 3) SELECT src, dst FROM rt UNION SELECT dst, src FROM rt",
 )
+
+
+def _pair_likeness(s, d):
+    """Cosine of the texts' vectors at both ends of prior-context edges: each end looks its vector up by key."""
+    n = standardize(reviews(s, d)).withColumn("week", week_of(F.col("date")))
+    vectors = table(s, d, "embeddings").select("vec_id", "embedding")
+    end = lambda p: n.join(vectors, "vec_id").select(F.col("review_id").alias(p), F.col("date").alias(f"{p}_date"), F.col("embedding").alias(f"{p}_v"))
+    met = edges.prior_context(n, 6).join(end("src"), "src").join(end("dst"), "dst")
+    return met.select("src", "dst", F.round(cosine(F.col("src_v"), F.col("dst_v")), 9).alias("score"), F.datediff("dst_date", "src_date").alias("days_apart"))
+
+
+_LIKENESS = f"""WITH {FEATURES_SQL}, jc AS (SELECT a.review_id AS src, b.review_id AS dst, a.vec_id AS av, b.vec_id AS bv, b.date - a.date AS apart FROM a JOIN a b ON a.prod_id = b.prod_id AND a.week < b.week QUALIFY row_number() OVER (PARTITION BY b.review_id ORDER BY a.date DESC, a.review_id DESC) <= 6),
+jl AS (SELECT src, dst, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 9) AS score, apart FROM jc JOIN embeddings x ON x.vec_id = av JOIN embeddings y ON y.vec_id = bv)"""
+register("jn16", lambda s, d: rounded(_pair_likeness(s, d).select("src", "dst", "score")), _LIKENESS + " SELECT src, dst, round(score, 6) AS score FROM jl")
+register(
+    "so05",
+    lambda s, d: rounded(edges.top_k(_pair_likeness(s, d), 2, F.desc("score"), F.col("days_apart"), F.col("dst"))),
+    _LIKENESS + " SELECT src, dst, round(score, 6) AS score, CAST(apart AS BIGINT) AS days_apart FROM jl QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, apart, dst) <= 2",
+)

@@ -24,8 +24,7 @@ def nodes(spark, rows):
 def features(spark, rows):
     f = history.rating_features(nodes(spark, rows))
     f = f.withColumns(text_columns(F.col("text")))
-    f = history.group_sizes(history.interactions(history.product_history(history.user_history(f))))
-    return cut(f.join(history.weekly_shift(f), ["prod_id", "rating_direction", "week"], "left").fillna(0.0, units.SHIFTS))
+    return cut(history.with_weekly_shift(history.group_sizes(history.interactions(history.product_history(history.user_history(f))))))
 
 
 def by_id(df, *columns):
