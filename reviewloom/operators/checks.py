@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Who may do what with the results.
-ROLE_SCHEMA = "role string, may_read string, may_change string"
-ROLES = [("analyst", "scores", "nothing"), ("reviewer", "scores and texts", "labels"), ("owner", "all", "thresholds")]
-#: What each step reads and writes.
-LINEAGE = [(1, "raw reviews", "nodes"), (2, "nodes", "sampled nodes"), (3, "sampled nodes", "edges"), (4, "nodes and edges", "graph"), (5, "graph", "predictions"), (6, "predictions", "governance tables")]
-#: Ratios of splits, right and wrong ones.
-RATIOS = [(0.64, 0.16, 0.2), (0.8, 0.1, 0.2), (1.0, 0.0, 0.0), (0.6, 0.2, 0.2), (1.2, -0.4, 0.2)]
+#: What each role may do; fixed values.
+ROLES = [("viewer", True, False, False), ("reviewer", True, True, False), ("admin", True, True, True)]
+ROLE_SCHEMA = "role string, may_read boolean, may_export boolean, may_change boolean"
 
 
-def ratios_ok(train: float, valid: float, test: float) -> bool:
-    return min(train, valid, test) > 0 and abs(train + valid + test - 1) <= 1e-8
+def ratio_checks(parts: DataFrame, tolerance: float = 1e-8) -> DataFrame:
+    """Adds ok: train, valid and test are positive and sum to one."""
+    whole = F.col("train") + F.col("valid") + F.col("test")
+    return parts.withColumn("ok", (F.least("train", "valid", "test") > 0) & (F.abs(whole - 1) <= tolerance))
 
 
 def input_violations(nodes: DataFrame, required: list[str], expected_rows: int) -> DataFrame:
@@ -37,25 +35,12 @@ def compared(expected: DataFrame, actual: DataFrame, tolerance: float) -> DataFr
     return expected.join(actual, "name", "left").select("name", "expected", "actual", ok.alias("ok"))
 
 
-def rehashed(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
-    """By table: how many files were registered, and how many still have their digest."""
-    out = None
-    for name, old in before.items():
-        held = old.join(after[name].select("sha256", F.lit(1).alias("held")).distinct(), "sha256", "left")
-        row = held.agg(F.lit(name).alias("name"), F.count("*").alias("files"), F.count("held").alias("unchanged"))
-        out = row if out is None else out.unionByName(row)
-    return out
+def registered(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """Artifacts (name, ...) beside the files there are (name, size_bytes, sha256): whether each exists, its size and digest."""
+    return expected.join(found, "name", "left").withColumn("exists", F.col("sha256").isNotNull())
 
 
-def model_card(nodes: DataFrame) -> DataFrame:
-    period = F.concat_ws("/", F.min("date").cast("string"), F.max("date").cast("string"))
-    return nodes.agg(F.lit("review graph").alias("model"), F.count("*").alias("reviews"), F.round(F.avg("is_fake"), 6).alias("fake_rate"), period.alias("period"))
-
-
-def manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows of each table and a key that changes with them."""
-    out = None
-    for name, df in tables.items():
-        row = df.agg(F.lit(name).alias("name"), F.count("*").alias("rows"))
-        out = row if out is None else out.unionByName(row)
-    return out.withColumn("version_key", F.md5(F.concat_ws(":", "name", F.col("rows").cast("string"))))
+def rehashed(registry: DataFrame, found: DataFrame) -> DataFrame:
+    """(name, unchanged): whether each registered file still has its digest."""
+    now = found.select("name", F.col("sha256").alias("_now"))
+    return registry.where("exists").join(now, "name", "left").select("name", F.coalesce(F.col("_now") == F.col("sha256"), F.lit(False)).alias("unchanged"))

@@ -10,7 +10,7 @@ from reviewloom.operators import checks, edges, units
 from reviewloom.plans.base import FEATURES_SQL, features, register, rounded, texts
 from reviewloom.plans.edges import _LAST, _PRIOR, _TYPED, typed_edges
 from reviewloom.plans.reviews import _SAMPLED, _SPLIT, _sampled
-from reviewloom.sources import file_digests, read_json, read_reviews, reviews, scratch, standardize, table, write_csv, write_summary, write_table
+from reviewloom.sources import read_json, read_reviews, reviews, scratch, standardize, table, write_csv, write_summary, write_table
 
 _F = f"WITH {FEATURES_SQL}"
 
@@ -180,17 +180,6 @@ register("snk10", _texts_csv, "SELECT doc_id, md5(text) AS text_md5, source FROM
 register("snk14", lambda s, d: _kept(s, units.temporal_split(_nodes(s, d)).select("review_id", "split"), "split"), _F + _CUTS + f" SELECT review_id, {_SPLIT} AS split FROM pm")
 
 
-def _dict_rows(s, d):
-    path = scratch(s, "roles")
-    write_csv(s.createDataFrame(checks.ROLES, checks.ROLE_SCHEMA), path, "none")
-    return s.read.schema(checks.ROLE_SCHEMA).csv(path, header=True)
-
-
-_ROLES_SQL = "SELECT * FROM (VALUES " + ", ".join(str(r) for r in checks.ROLES) + ") AS v(" + ", ".join(x.split()[0] for x in checks.ROLE_SCHEMA.split(", ")) + ")"
-register("snk17", _dict_rows, _ROLES_SQL)
-register("gv06", lambda s, d: s.createDataFrame(checks.ROLES, checks.ROLE_SCHEMA).where("role = 'analyst'"), f"SELECT * FROM ({_ROLES_SQL}) WHERE role = 'analyst'")
-
-
 def _updated(s, d):
     """The one row of a summary with a new figure: read, rewritten beside the old one, read again."""
     old = _kept(s, _nodes(s, d).agg(F.count("*").alias("reviews"), F.lit(0.5).alias("threshold")), "active")
@@ -212,11 +201,7 @@ register(
     lambda s, d: checks.graph_violations(features(s, d).select("review_id", F.when(F.col("review_id") % 6 != 1, F.col("rating_norm")).alias("x"), F.when(F.col("rating") > 1, F.col("is_fake")).otherwise(F.lit(5)).alias("label")), edges.last_k(_nodes(s, d), "user_id", 5).withColumn("dst", F.when(F.col("dst") % 8 == 0, -F.col("dst")).otherwise(F.col("dst")))),
     _LAST + " SELECT count(*) FILTER (review_id % 6 = 1) AS null_features, count(*) FILTER (rating = 1) AS bad_labels, (SELECT count(*) FROM ed02 WHERE dst % 8 = 0 AND -dst NOT IN (SELECT review_id FROM r)) AS unknown_ends FROM r",
 )
-register("val06", lambda s, d: s.createDataFrame([(a, b, c, checks.ratios_ok(a, b, c)) for a, b, c in checks.RATIOS], "train double, valid double, test double, ok boolean"), "SELECT *, train > 0 AND valid > 0 AND test > 0 AND abs(train + valid + test - 1) <= 1e-8 AS ok FROM (VALUES " + ", ".join(f"(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), CAST({c} AS DOUBLE))" for a, b, c in checks.RATIOS) + ") AS v(train, valid, test)")
-
 # Governance.
-_LINEAGE_SQL = "SELECT * FROM (VALUES " + ", ".join(str(r) for r in checks.LINEAGE) + ") AS v(step, reads, writes)"
-register("gv03", lambda s, d: s.createDataFrame(checks.LINEAGE, "step long, reads string, writes string"), _LINEAGE_SQL)
 register("gv09", lambda s, d: rounded(checks.compared(_expected(s, d), _measured(s, d), 1e-6)), _F + ", m AS (SELECT 'fake_rate_' || rating AS name, avg(is_fake) AS actual, rating FROM f GROUP BY ALL), e AS (SELECT 'fake_rate_' || rating AS name, sum(is_fake) / count(*) + CASE WHEN rating = 2 THEN 0.1 ELSE 0 END AS expected FROM r GROUP BY rating UNION ALL SELECT 'absent', 1.0) SELECT name, round(expected, 6) AS expected, round(actual, 6) AS actual, coalesce(abs(expected - actual) <= 1e-6, false) AS ok FROM e LEFT JOIN m USING (name)")
 
 
@@ -229,31 +214,3 @@ def _expected(s, d):
     raw = _nodes(s, d).groupBy("rating").agg((F.sum("is_fake") / F.count("*")).alias("rate"))
     raw = raw.select(F.concat(F.lit("fake_rate_"), F.col("rating").cast("string")).alias("name"), (F.col("rate") + F.when(F.col("rating") == 2, 0.1).otherwise(0.0)).alias("expected"))
     return raw.unionByName(s.createDataFrame([("absent", 1.0)], "name string, expected double"))
-
-
-def _registry(s, d):
-    """Digests of written tables, again after one of them has changed: files and changes by table."""
-    paths = {name: scratch(s, name) for name in ("nodes", "split")}
-    write_table(_nodes(s, d).coalesce(1), paths["nodes"])
-    write_table(units.temporal_split(_nodes(s, d)).select("review_id", "split").coalesce(1), paths["split"])
-    before = {name: _kept(s, file_digests(s, p), "digests") for name, p in paths.items()}
-    write_table(_nodes(s, d).where("review_id % 2 = 0").coalesce(1), paths["nodes"])
-    return checks.rehashed(before, {name: file_digests(s, p) for name, p in paths.items()})
-
-
-register("sc28", lambda s, d: _registry(s, d).select("name", "files"), "SELECT * FROM (VALUES ('nodes', CAST(1 AS BIGINT)), ('split', 1)) AS v(name, files)")
-register("gv04", lambda s, d: _registry(s, d).select("name", F.col("files").alias("registered"), F.lit(True).alias("exists")), "SELECT * FROM (VALUES ('nodes', CAST(1 AS BIGINT), true), ('split', 1, true)) AS v(name, registered, exists)")
-register("gv08", lambda s, d: _registry(s, d).select("name", "unchanged"), "SELECT * FROM (VALUES ('nodes', CAST(0 AS BIGINT)), ('split', 1)) AS v(name, unchanged)")
-register("gv01", lambda s, d: checks.model_card(_nodes(s, d)), _F + " SELECT 'review graph' AS model, count(*) AS reviews, round(avg(is_fake), 6) AS fake_rate, CAST(min(date) AS VARCHAR) || '/' || CAST(max(date) AS VARCHAR) AS period FROM r")
-register("gv05", lambda s, d: checks.manifest({"nodes": _nodes(s, d), "split": units.temporal_split(_nodes(s, d))}), _F + ", k AS (SELECT 'nodes' AS name, count(*) AS rows FROM r UNION ALL SELECT 'split', count(*) FROM r) SELECT name, rows, md5(name || ':' || rows) AS version_key FROM k")
-
-
-def _changes(s, d):
-    """Appended threshold changes; the last one of each model holds."""
-    path = scratch(s, "changes")
-    s.createDataFrame([(1, "graph", 0.5), (1, "text", 0.4)], "seq long, model string, threshold double").write.parquet(path)
-    s.createDataFrame([(2, "graph", 0.794)], "seq long, model string, threshold double").write.mode("append").parquet(path)
-    return s.read.parquet(path).groupBy("model").agg(F.max_by("threshold", "seq").alias("threshold"), F.count("*").alias("changes"))
-
-
-register("gv07", _changes, "SELECT * FROM (VALUES ('graph', CAST(0.794 AS DOUBLE), CAST(2 AS BIGINT)), ('text', 0.4, 1)) AS v(model, threshold, changes)")
