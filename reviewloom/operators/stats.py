@@ -11,21 +11,24 @@ from pyspark.sql import functions as F
 from reviewloom.sources import cut
 
 
-def running(counts: DataFrame, value: str, sums: list[str], descending: bool = False, ranges: int = 128) -> DataFrame:
-    """Adds upto_<s> for each of ``sums``: its total over all rows up to this one in the order of ``value``, which is distinct.
+def running(counts: DataFrame, value: str, sums: list[str], descending: bool = False, ranges: int = 128, keys: list[str] | None = None) -> DataFrame:
+    """Adds upto_<s> for each of ``sums``: its total over all rows up to this one in the order of ``value``, which is distinct
+    (within ``keys``, if any are given, which are few).
 
     A window over all values would run in one task. Values are cut into ranges at approximate quantiles, sums run inside
-    each range, and what the ranges before hold, at most ``ranges`` rows, is broadcast. Rows whose sums are all 0 go. The
-    rows are written once, as they are read three times.
+    each range, and what the ranges before hold, at most ``ranges`` rows a key, is broadcast. Rows whose sums are all 0 go.
+    The rows are written once, as they are read three times.
     """
+    keys = keys or []
     counts = cut(counts.where(reduce(lambda a, b: a + b, [F.col(c) for c in sums]) > 0))
-    cuts = counts.agg(F.array_distinct(F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(20 * ranges))).alias("_cuts"))
-    ranged = counts.crossJoin(F.broadcast(cuts)).withColumn("_range", F.when(F.col(value).isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(value))))).drop("_cuts")
+    cuts = counts.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(20 * ranges))).alias("_cuts"))
+    met = counts.join(F.broadcast(cuts), keys) if keys else counts.crossJoin(F.broadcast(cuts))
+    ranged = met.withColumn("_range", F.when(F.col(value).isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(value))))).drop("_cuts")
     order = (lambda c: F.desc(c)) if descending else F.asc
-    before = Window.orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = ranged.groupBy("_range").agg(*[F.sum(c).alias(c) for c in sums]).select("_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{c}") for c in sums])
-    inside = Window.partitionBy("_range").orderBy(order(value))
-    out = ranged.join(F.broadcast(whole), "_range")
+    before = Window.partitionBy(*keys).orderBy(order("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = ranged.groupBy(*keys, "_range").agg(*[F.sum(c).alias(c) for c in sums]).select(*keys, "_range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{c}") for c in sums])
+    inside = Window.partitionBy(*keys, "_range").orderBy(order(value))
+    out = ranged.join(F.broadcast(whole), [*keys, "_range"])
     return out.withColumns({f"upto_{c}": F.sum(c).over(inside) + F.col(f"_before_{c}") for c in sums}).drop("_range", *[f"_before_{c}" for c in sums])
 
 
@@ -242,22 +245,26 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def feature_screen(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """Pearson and Spearman correlation with a 0/1 label, and the AUC, of each column.
+    """Pearson and Spearman correlation with a 0/1 label, the AUC and the average precision of each column.
 
-    One pass counts rows per column and value; ranks and sums are taken over these counts.
+    One pass counts rows per column and value; ranks and sums are taken over these counts, in ranges of values.
     """
     long = df.select(F.col(label).alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x"))
     counts = long.groupBy("x.feature", "x.v").agg(F.count("*").alias("n"), F.sum("y").alias("p"))
-    upto = F.sum("n").over(Window.partitionBy("feature").orderBy("v"))
-    ranked = counts.withColumn("k", upto - F.col("n") + (F.col("n") + 1) / 2)
+    steps = running(counts, "v", ["n", "p"], keys=["feature"])
+    total = steps.groupBy("feature").agg(F.sum("n").alias("_n"), F.sum("p").alias("_p"))
+    ranked = steps.join(F.broadcast(total), "feature").withColumn("k", F.col("upto_n") - F.col("n") + (F.col("n") + 1) / 2)
+    # From the top down: rows with this value or a higher one, and those of them with the label.
+    above, hits = F.col("_n") - F.col("upto_n") + F.col("n"), F.col("_p") - F.col("upto_p") + F.col("p")
     n, p = F.sum("n"), F.sum("p")
 
     def correlation(x: str):
         s, ss, sy = F.sum(F.col("n") * F.col(x)), F.sum(F.col("n") * F.col(x) * F.col(x)), F.sum(F.col("p") * F.col(x))
-        return (n * sy - s * p) / F.sqrt((n * ss - s * s) * (n * p - p * p))
+        return F.try_divide(n * sy - s * p, F.sqrt((n * ss - s * s) * (n * p - p * p)))  # null for a column that is all one value
 
-    auc = (F.sum(F.col("p") * F.col("k")) - p * (p + 1) / 2) / (p * (n - p))
-    return ranked.groupBy("feature").agg(correlation("v").alias("pearson"), correlation("k").alias("spearman"), auc.alias("auc"))
+    auc = F.try_divide(F.sum(F.col("p") * F.col("k")) - p * (p + 1) / 2, p * (n - p))
+    precision = F.try_divide(F.sum(F.col("p") * hits / above), p)
+    return ranked.groupBy("feature").agg(correlation("v").alias("pearson"), correlation("k").alias("spearman"), auc.alias("auc"), precision.alias("average_precision"))
 
 
 def odds_table(df: DataFrame, flags: list[str], label: str) -> DataFrame:

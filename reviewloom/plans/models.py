@@ -114,13 +114,18 @@ def _label_rates(s, d):
 _RATES = _F + ", s AS (SELECT review_id, is_fake, avg(is_fake) OVER (PARTITION BY user_id) AS user_fake_rate, avg(is_fake) OVER (PARTITION BY prod_id) AS product_fake_rate FROM r)"
 register("ag27", lambda s, d: rounded(_label_rates(s, d).drop("is_fake")), _RATES + " SELECT review_id, round(user_fake_rate, 6) AS user_fake_rate, round(product_fake_rate, 6) AS product_fake_rate FROM s")
 _LEAKY = ["user_fake_rate", "product_fake_rate"]
-_SCREENED = ["word_len", "rating_impact_abs", "prior_user_review_count", "product_reviews_last_7d", "abuse_burst_behavior_score_4w"]
+#: The twelve features of the screen, in their order.
+_SCREENED = {
+    "rating": "rating", "extreme": "extreme_rating", "positive": "CAST(rating >= 4 AS INT)", "negative": "CAST(rating <= 2 AS INT)", "char_len": "char_len", "word_len": "word_len", "upper_ratio": "upper_ratio",
+    "exclam": "exclamation_count", "question": "question_count", "dollar": "dollar", "user_total_reviews": "user_total_reviews", "prod_total_reviews": "prod_total_reviews",
+}
 _RATIO_FLAGS = ["extreme_rating", "short_review_flag", "is_new_user_at_review_time", "weak_product_prior_count_flag", "has_prior_user_review_7d", "numeric_token_flag", "new_user_short_extreme_flag"]
 
 
 def _screen_sql(columns: list[str]) -> str:
     return " UNION ALL ".join(
-        f"SELECT '{c}' AS feature, round(corr({c}, is_fake), 6) AS pearson, round(corr(k, is_fake), 6) AS spearman, round((sum(k * is_fake) - sum(is_fake) * (sum(is_fake) + 1) / 2) / (sum(is_fake) * sum(1 - is_fake)), 6) AS auc FROM (SELECT {c}, is_fake, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS k FROM s)"
+        f"SELECT '{c}' AS feature, CASE WHEN min({c}) < max({c}) THEN round(corr({c}, is_fake), 6) END AS pearson, CASE WHEN min({c}) < max({c}) THEN round(corr(k, is_fake), 6) END AS spearman, round((sum(k * is_fake) - sum(is_fake) * (sum(is_fake) + 1) / 2) / (sum(is_fake) * sum(1 - is_fake)), 6) AS auc, round(sum(is_fake * hits / above) / sum(is_fake), 6) AS average_precision "
+        f"FROM (SELECT {c}, is_fake, rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2 AS k, count(*) OVER (ORDER BY {c} DESC) AS above, sum(is_fake) OVER (ORDER BY {c} DESC) AS hits FROM s)"
         for c in columns
     )
 
@@ -131,7 +136,19 @@ def _rounded_screen(df, columns):
 
 
 register("ts10", lambda s, d: _rounded_screen(_label_rates(s, d), _LEAKY), _RATES.replace(", s AS (SELECT", ", s1 AS (SELECT") + ", s AS (SELECT is_fake, " + ", ".join(f"round({c}, 9) AS {c}" for c in _LEAKY) + " FROM s1) " + _screen_sql(_LEAKY))
-register("ts07", lambda s, d: _rounded_screen(features(s, d), _SCREENED), _F + ", s AS (SELECT is_fake, " + ", ".join(f"round(CAST({c} AS DOUBLE), 9) AS {c}" for c in _SCREENED) + " FROM f) " + _screen_sql(_SCREENED))
+def _screened(s, d):
+    dollars = table(s, d, "documents").select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("$")))).alias("dollar"))
+    total = lambda k: F.count("*").over(Window.partitionBy(k))
+    f = features(s, d).join(dollars, "doc_id").withColumns({"user_total_reviews": total("user_id"), "prod_total_reviews": total("prod_id")})
+    return f.select("is_fake", *[F.expr(x).alias(n) for n, x in _SCREENED.items()])
+
+
+register(
+    "ts07",
+    lambda s, d: _rounded_screen(_screened(s, d), list(_SCREENED)),
+    _F + ", s0 AS (SELECT f.*, length(text) - length(replace(text, '$', '')) AS dollar, count(*) OVER (PARTITION BY user_id) AS user_total_reviews, count(*) OVER (PARTITION BY prod_id) AS prod_total_reviews FROM f JOIN documents USING (doc_id)), s AS (SELECT is_fake, "
+    + ", ".join(f"round(CAST({x} AS DOUBLE), 9) AS {n}" for n, x in _SCREENED.items()) + " FROM s0) " + _screen_sql(list(_SCREENED)),
+)
 register(
     "ts11",
     lambda s, d: rounded(stats.odds_table(features(s, d), _RATIO_FLAGS, "is_fake")),
