@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reviewloom.operators import roles, units
 from reviewloom.plans.base import features, register, rounded
 from reviewloom.plans.reviews import _flag_sql
-from reviewloom.plans.sampled import BUDGET
+from reviewloom.plans.sampled import SMALL_BUDGET as BUDGET
 from reviewloom.sources import cut
 
 #: Seeds of each role in the contrast, few enough that strata are cut at the test scales; and its node budget.

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewloom.operators import profiles, sampling, units
-from reviewloom.plans.base import FEATURES_SQL, features, register, rounded
+from reviewloom.plans.base import FEATURES_SQL, QUERIES, SQL, features, register, rounded
 from reviewloom.plans.models import _PARTS
 from reviewloom.plans.reviews import _flag_sql, _sampled
-from reviewloom.sources import table
+from reviewloom.sources import cut, table
 
-#: Budget of the adapter's samplings: small enough that the ladder and the skipping of units matter at the test scales.
-BUDGET = 600
+#: Budget of the samplings, and one small enough that the ladder and the skipping of units matter on small tables: each
+#: sampling is registered with both.
+BUDGET, SMALL_BUDGET = 50_000, 600
 
 
 def _train():
@@ -22,17 +23,13 @@ def _split(s, d):
     return units.temporal_split(features(s, d))
 
 
-def _units(s, d):
-    return units.flagged(units.product_week_units(features(s, d)), "relative")
-
-
-def _budget(legacy: bool) -> str:
+def _budget(legacy: bool, budget: int) -> str:
     """The budget; where the selected units come first, that much beside them."""
-    return f"((SELECT count(*) FROM s2 WHERE old) + {BUDGET})" if legacy else str(BUDGET)
+    return f"((SELECT count(*) FROM s2 WHERE old) + {budget})" if legacy else str(budget)
 
 
-def _reach_sql(legacy: bool) -> str:
-    budget = _budget(legacy)
+def _reach_sql(legacy: bool, budget: int) -> str:
+    budget = _budget(legacy, budget)
     seed = "prior_product_review_count BETWEEN 1 AND 30 AND abs(rating_deviation_from_prior_product_mean) >= 1.0 AND rating_direction <> 0" + (" AND NOT old" if legacy else "")
     old = "(prod_id, week) IN (SELECT (prod_id, week) FROM v WHERE selected)" if legacy else "false"
     return f""", s0 AS (SELECT *, {old} AS old FROM f), s1 AS (SELECT *, CASE WHEN {seed} THEN round(rating_impact_abs, 12) END AS impact FROM s0),
@@ -42,44 +39,44 @@ s5 AS (SELECT q, cut FROM s4 WHERE (SELECT count(*) FROM s2 WHERE old OR reach >
 s6 AS (SELECT review_id FROM s2 WHERE old OR (NOT EXISTS (FROM s5) AND review_id IN (SELECT review_id FROM s2 WHERE impact >= (SELECT max(cut) FROM s4) ORDER BY impact DESC, date, review_id LIMIT (SELECT {budget} - count(*) FROM s2 WHERE old))) OR reach >= (SELECT cut FROM s5))"""
 
 
-def _fill_sql(legacy: bool) -> str:
+def _fill_sql(legacy: bool, budget: int) -> str:
     return f""", h0 AS (SELECT median(rating_direction_concentration) AS dc, median(prior_product_review_count_median) AS hc FROM v WHERE base_candidate),
 h1 AS (SELECT prod_id, week, n_reviews, n_users FROM v, h0 WHERE base_candidate AND rating_direction_concentration <= dc AND prior_product_review_count_median >= hc),
 h2 AS (SELECT prod_id, week, count(*) AS added FROM f WHERE review_id NOT IN (FROM s6) GROUP BY ALL),
 h3 AS (SELECT *, row_number() OVER (ORDER BY n_reviews DESC, n_users DESC, prod_id, week) AS i FROM h1 JOIN h2 USING (prod_id, week)),
-h4(i, room, took) AS (SELECT CAST(0 AS BIGINT), CAST({_budget(legacy)} - (SELECT count(*) FROM s6) AS BIGINT), false UNION ALL SELECT h3.i, CASE WHEN added <= room THEN room - added ELSE room END, added <= room FROM h4 JOIN h3 ON h3.i = h4.i + 1),
+h4(i, room, took) AS (SELECT CAST(0 AS BIGINT), CAST({_budget(legacy, budget)} - (SELECT count(*) FROM s6) AS BIGINT), false UNION ALL SELECT h3.i, CASE WHEN added <= room THEN room - added ELSE room END, added <= room FROM h4 JOIN h3 ON h3.i = h4.i + 1),
 h5 AS (SELECT prod_id, week, added FROM h3 JOIN h4 USING (i) WHERE took)"""
 
 
 _BASE = _flag_sql(units.RELATIVE).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def _whole(legacy: bool) -> str:
-    return _BASE + _reach_sql(legacy) + _fill_sql(legacy) + " SELECT review_id FROM s6 UNION SELECT review_id FROM f WHERE (prod_id, week) IN (SELECT (prod_id, week) FROM h5)"
-
-
-def _shock_sample(s, d):
-    f = features(s, d)
-    return sampling.with_hard_negatives(f, _units(s, d), sampling.shock_context(f, BUDGET), BUDGET)
+def _whole(legacy: bool, budget: int) -> str:
+    return _BASE + _reach_sql(legacy, budget) + _fill_sql(legacy, budget) + " SELECT review_id FROM s6 UNION SELECT review_id FROM f WHERE (prod_id, week) IN (SELECT (prod_id, week) FROM h5)"
 
 
-def _legacy_sample(s, d):
-    f, old = features(s, d), _sampled(s, d)
-    budget = old.count() + BUDGET
-    return sampling.with_hard_negatives(f, _units(s, d), sampling.shock_context(f, budget, old), budget)
+def _shock_sample(s, d, budget):
+    f = cut(features(s, d))
+    return sampling.with_hard_negatives(f, units.flagged(units.product_week_units(f), "relative"), sampling.shock_context(f, budget), budget)
 
 
-register("so12", lambda s, d: sampling.shock_context(features(s, d), BUDGET), _BASE + _reach_sql(False) + " SELECT review_id FROM s6")
-register("sm05", _shock_sample, _whole(False))
-register("sm06", _legacy_sample, _whole(True))
+def _legacy_sample(s, d, room):
+    f, old = cut(features(s, d)), _sampled(s, d)
+    budget = old.count() + room
+    return sampling.with_hard_negatives(f, units.flagged(units.product_week_units(f), "relative"), sampling.shock_context(f, budget, old), budget)
 
 
-def _hard_negatives(s, d):
-    f = features(s, d)
-    return sampling.hard_negative_units(f, _units(s, d), sampling.shock_context(f, BUDGET), BUDGET)
+def _hard_negatives(s, d, budget):
+    f = cut(features(s, d))
+    return sampling.hard_negative_units(f, units.flagged(units.product_week_units(f), "relative"), sampling.shock_context(f, budget), budget)
 
 
-register("sm09", _hard_negatives, _BASE + _reach_sql(False) + _fill_sql(False) + " SELECT prod_id, week, added FROM h5")
+for _suffix, _n in (("", BUDGET), ("_small", SMALL_BUDGET)):
+    register(f"so12{_suffix}", lambda s, d, n=_n: sampling.shock_context(cut(features(s, d)), n), _BASE + _reach_sql(False, _n) + " SELECT review_id FROM s6")
+    register(f"sm05{_suffix}", lambda s, d, n=_n: _shock_sample(s, d, n), _whole(False, _n))
+    register(f"sm06{_suffix}", lambda s, d, n=_n: _legacy_sample(s, d, n), _whole(True, _n))
+    register(f"sm09{_suffix}", lambda s, d, n=_n: _hard_negatives(s, d, n), _BASE + _reach_sql(False, _n) + _fill_sql(False, _n) + " SELECT prod_id, week, added FROM h5")
+register("so11", QUERIES["sm09_small"], SQL["sm09_small"])
 _TAKE = ", qc AS (SELECT rating, is_fake, count(*) AS c FROM r GROUP BY ALL), q AS (SELECT *, round(c / sum(c) OVER () * 300, 9) AS raw, sum(c) OVER () AS n FROM qc), q1 AS (SELECT *, CASE WHEN n <= 300 THEN c ELSE floor(raw) + CASE WHEN row_number() OVER (ORDER BY floor(raw) - raw, c DESC, rating, is_fake) <= 300 - sum(floor(raw)) OVER () THEN 1 ELSE 0 END END AS quota FROM q)"
 register(
     "so09",
