@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.operators.edges import both_ways
+from reviewloom.sources import cut
 
 
 def nearest(sources: DataFrame, targets: DataFrame, keys: list[str], k: int, threshold: float = -1.0, block: int = 2048) -> DataFrame:
@@ -67,13 +68,13 @@ def template_similar(f: DataFrame, vectors: DataFrame, threshold: float = 0.9, k
     return both_ways(first.where(F.col("_n") <= k))
 
 
-def risk_text(f: DataFrame, vectors: DataFrame, threshold: float = 0.9, k: int = 3, targets: str = "both_risky", neutral: bool = True, same_week: bool = False, multiplier: int = 10) -> DataFrame:
+def risk_text(f: DataFrame, vectors: DataFrame, threshold: float = 0.9, k: int = 3, targets: str = "both_risky", neutral: bool = True, same_week: bool = False, multiplier: int = 10, new_only: bool = True) -> DataFrame:
     """Symmetric edges from short or extreme reviews to the most similar ones of their rating direction.
 
     Of a source's k * multiplier + 1 nearest, itself among them, those of its own product week go unless ``same_week``;
-    the first k stay. ``targets`` are the risky reviews ("both_risky") or all ("anchor_risky"); ``neutral`` says whether
-    direction 0 takes part. The k are counted before pairs of both ends are united, so an edge may use up a place of
-    either end. Reviews share vectors: classes of one direction and vector are compared, not reviews, and of a class only
+    the first k stay; with ``new_only`` the first k pairs that no source of smaller id has made (``first_new``).
+    ``targets`` are the risky reviews ("both_risky") or all ("anchor_risky"); ``neutral`` says whether direction 0 takes
+    part. Reviews share vectors: classes of one direction and vector are compared, not reviews, and of a class only
     its first k * multiplier + 1 reviews can be wanted, nor can more classes than that.
     """
     if targets not in ("both_risky", "anchor_risky"):
@@ -98,5 +99,26 @@ def risk_text(f: DataFrame, vectors: DataFrame, threshold: float = 0.9, k: int =
     met = sources.select(number.alias("src"), "review_id", "prod_id", "week").join(near.drop("dst"), "src").where("review_id <> to")
     if not same_week:
         met = met.where("NOT (prod_id = to_prod AND week = to_week)")
-    kept = met.withColumn("_k", F.row_number().over(Window.partitionBy("review_id").orderBy("_n"))).where(F.col("_k") <= k)
-    return both_ways(kept.select(F.col("review_id").alias("src"), F.col("to").alias("dst")))
+    lists = met.select(F.col("review_id").alias("src"), F.col("to").alias("dst"), "_n")
+    return both_ways(first_new(lists, k) if new_only else _first(lists, k))
+
+
+def _first(lists: DataFrame, k: int) -> DataFrame:
+    return lists.withColumn("_k", F.row_number().over(Window.partitionBy("src").orderBy("_n"))).where(F.col("_k") <= k).select("src", "dst")
+
+
+def first_new(lists: DataFrame, k: int) -> DataFrame:
+    """Of each source's list (src, dst, _n) the first k pairs that are new when sources choose one after the other by id.
+
+    What a source chooses depends on sources of smaller id alone. So all choose at once, passing over what smaller ones
+    chose the round before, until nothing changes: after each round at least one more source in any chain of dependence
+    is right for good, and the end is the same as one by one. Each round is a join on pairs.
+    """
+    lists = cut(lists)
+    chosen = cut(_first(lists, k))
+    while True:
+        taken = chosen.where("src < dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        again = cut(_first(lists.join(taken, ["src", "dst"], "left_anti"), k))
+        if again.count() == chosen.count() and again.join(chosen, ["src", "dst"], "left_anti").isEmpty():
+            return again
+        chosen = again

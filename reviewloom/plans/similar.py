@@ -8,7 +8,7 @@ from reviewloom.functions import cosine, week_of
 from reviewloom.operators import edges, similar
 from reviewloom.plans.base import FEATURES_SQL, features, register, rounded
 from reviewloom.plans.edges import _F
-from reviewloom.sources import reviews, standardize, table
+from reviewloom.sources import cut, reviews, standardize, table
 
 #: Least cosine of ed08: the adapter's vectors are too far apart for the default to find any in a product week.
 TEMPLATE = 0.2
@@ -31,9 +31,11 @@ register(
     f"tk AS (SELECT x.review_id AS src, y.review_id AS dst FROM g x JOIN g y ON x.prod_id = y.prod_id AND x.week = y.week AND x.review_id <> y.review_id JOIN es ON es.a = x.vec_id AND es.b = y.vec_id WHERE sim >= {TEMPLATE} QUALIFY row_number() OVER (PARTITION BY x.review_id ORDER BY sim DESC, y.review_id) <= 3) "
     "SELECT src, dst FROM tk UNION SELECT dst, src FROM tk",
 )
+_RISK = ["review_id", "rating_direction", "vec_id", "prod_id", "week", "short_review_flag", "extreme_rating"]
+register("ed09", lambda s, d: similar.risk_text(cut(features(s, d).select(*_RISK)), table(s, d, "embeddings")))  # choices one after the other have no SQL
 register(
-    "ed09",
-    lambda s, d: similar.risk_text(features(s, d), table(s, d, "embeddings")),
+    "ed09_any",
+    lambda s, d: similar.risk_text(cut(features(s, d).select(*_RISK)), table(s, d, "embeddings"), new_only=False),
     _F + _SIMS + ", rk AS (SELECT review_id, rating_direction, vec_id, prod_id, week FROM f WHERE short_review_flag = 1 OR extreme_rating = 1), "
     "rn AS (SELECT x.review_id AS src, y.review_id AS dst, x.prod_id = y.prod_id AND x.week = y.week AS own, row_number() OVER (PARTITION BY x.review_id ORDER BY sim DESC, y.review_id) AS n FROM rk x JOIN es ON es.a = x.vec_id JOIN rk y ON y.vec_id = es.b AND y.rating_direction = x.rating_direction WHERE sim >= 0.9), "
     "rt AS (SELECT src, dst FROM rn WHERE n <= 31 AND src <> dst AND NOT own QUALIFY row_number() OVER (PARTITION BY src ORDER BY n) <= 3) SELECT src, dst FROM rt UNION SELECT dst, src FROM rt",
