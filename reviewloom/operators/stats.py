@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,6 +122,43 @@ def normal_p(z: Column) -> Column:
     return _helper(lambda z: math.erfc(abs(z) / math.sqrt(2)))(z)
 
 
+#: Samples of which the smaller has so many values at most get Mann-Whitney's exact distribution, if no value is tied; and
+#: the larger one so many, the exact distribution of the two-sample distance. Fixed values.
+EXACT_RANKS, EXACT_DISTANCE = 8, 10_000
+
+
+def rank_sum_tails(u: float, n1: int, n2: int) -> float:
+    """Both tails of U without ties. The orders with U = k are the coefficients of a Gaussian binomial, built factor by
+    factor: times 1 - x ** (n2 + i), over 1 - x ** i."""
+    small, other = int(min(n1, n2)), int(max(n1, n2))
+    ways = np.zeros(small * other + 1)
+    ways[0] = 1.0
+    for i in range(1, small + 1):
+        step = other + i
+        if step < len(ways):
+            ways[step:] = ways[step:] - ways[:-step]
+        for start in range(i):
+            ways[start::i] = ways[start::i].cumsum()
+    low = int(math.floor(min(u, small * other - u)))
+    return float(min(1.0, 2 * ways[: low + 1].sum() / ways.sum()))
+
+
+def distance_tail(distance: float, n1: int, n2: int) -> float:
+    """The chance that two samples of one distribution lie so far apart or farther: of all ways to merge them, the share
+    that leaves the band, counted along diagonals as a chance so that no number grows."""
+    a, b = int(min(n1, n2)), int(max(n1, n2))
+    i = np.arange(a + 1)
+    inside = np.zeros(a + 1)
+    inside[0] = 1.0
+    for s in range(1, a + b + 1):
+        j = s - i
+        moved = inside * np.clip(j, 0, None) / s
+        moved[1:] += inside[:-1] * i[1:] / s
+        moved[(j < 0) | (j > b) | (np.abs(i / a - j / b) >= distance - 1e-12)] = 0.0
+        inside = moved
+    return float(1 - inside[a])
+
+
 def kolmogorov_p(distance: Column, n1: Column, n2: Column) -> Column:
     """Limit distribution of the two-sample distance."""
     x2 = distance * distance * n1 * n2 / (n1 + n2)
@@ -202,7 +240,8 @@ def odds_ratio(df: DataFrame, flag: str, label: str) -> DataFrame:
 def two_groups(df: DataFrame, value: str, label: str) -> DataFrame:
     """Cohen's d (pooled sample variance), Welch's t, Cliff's delta and Mann-Whitney U of a value, label 1 against 0.
 
-    welch_p takes Welch's degrees of freedom; mann_whitney_p the normal limit with ties and continuity.
+    welch_p takes Welch's degrees of freedom; mann_whitney_p is exact for a sample of EXACT_RANKS values at most without
+    ties, else the normal limit with ties and continuity.
     """
     one, two = F.when(F.col(label) == 1, F.col(value)), F.when(F.col(label) == 0, F.col(value))
     m = df.agg(*[f(c).alias(n + s) for s, c in (("1", one), ("0", two)) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
@@ -218,17 +257,21 @@ def two_groups(df: DataFrame, value: str, label: str) -> DataFrame:
     z = F.greatest((F.abs(F.col("roc_auc") - 0.5) * product - 0.5) / spread, F.lit(0.0))
     return m.crossJoin(auc).crossJoin(ties).select(
         F.lit(value).alias("feature"), (gap / pooled).alias("cohens_d"), t.alias("welch_t"), t_p(t, dof).alias("welch_p"), (2 * F.col("roc_auc") - 1).alias("cliffs_delta"),
-        (F.col("roc_auc") * product).alias("mann_whitney_u"), normal_p(z).alias("mann_whitney_p"),
+        (F.col("roc_auc") * product).alias("mann_whitney_u"), F.when((F.least("n1", "n0") <= EXACT_RANKS) & (F.col("ties") == 0), _helper(rank_sum_tails)(F.round(F.col("roc_auc") * product), F.col("n1"), F.col("n0"))).otherwise(normal_p(z)).alias("mann_whitney_p"),
     )
 
 
-def kolmogorov_smirnov(df: DataFrame, value: str, side: str) -> DataFrame:
-    """Largest distance of the two cumulative distributions, side 1 against 0, and its p-value in the limit."""
+def kolmogorov_smirnov(df: DataFrame, value: str, side: str, exact: bool = False) -> DataFrame:
+    """Largest distance of the two cumulative distributions, side 1 against 0, and its p-value in the limit, or with
+    ``exact`` the exact one where both sides have EXACT_DISTANCE values at most."""
     c = df.groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(side) == 1).alias("a"), F.count_if(F.col(side) == 0).alias("b"))
     whole = c.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     gap = F.abs(F.col("upto_a") / F.col("na") - F.col("upto_b") / F.col("nb"))
     best = running(c, "v", ["a", "b"]).crossJoin(F.broadcast(whole)).groupBy("na", "nb").agg(F.max(gap).alias("ks_statistic"))
-    return best.select("ks_statistic", kolmogorov_p(F.col("ks_statistic"), F.col("na"), F.col("nb")).alias("p_value"))
+    p = kolmogorov_p(F.col("ks_statistic"), F.col("na"), F.col("nb"))
+    if exact:
+        p = F.when(F.greatest("na", "nb") <= EXACT_DISTANCE, _helper(distance_tail)(F.col("ks_statistic"), F.col("na"), F.col("nb"))).otherwise(p)
+    return best.select("ks_statistic", p.alias("p_value"))
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -83,6 +83,8 @@ register(
     _S + ", g AS (SELECT word_len AS v, sum(is_fake) AS a, sum(1 - is_fake) AS b FROM s GROUP BY word_len), h AS (SELECT abs(sum(a) OVER w / sum(a) OVER () - sum(b) OVER w / sum(b) OVER ()) AS gap FROM g WINDOW w AS (ORDER BY v)) SELECT round(max(gap), 6) AS ks_statistic, round(CASE WHEN x < 0.04 THEN 1 ELSE least(1, greatest(0, list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END) * exp(-2 * k * k * x))))) END, 6) AS p_value FROM (SELECT max(gap) AS gap, power(max(gap), 2) * (SELECT sum(a) * sum(b) / (sum(a) + sum(b)) FROM g) AS x FROM h) GROUP BY x",
 )
 
+register("ts08_exact", lambda s, d: rounded(stats.kolmogorov_smirnov(_scored(s, d), "word_len", "is_fake", exact=True)))  # the distribution has no SQL
+
 for _name, _key in {"ag07_rating": "rating", "ag07_month": "month"}.items():
     register(
         _name,
