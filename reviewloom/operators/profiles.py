@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.functions import clip, dot, finite
+from reviewloom.operators.similar import nearest
+from reviewloom.operators.stats import quantiles
+from reviewloom.sources import cut
 
 
 def text_sufficiency(f: DataFrame, train: Column) -> DataFrame:
@@ -14,12 +17,13 @@ def text_sufficiency(f: DataFrame, train: Column) -> DataFrame:
     A bin that training lacks falls back to its bucket, then to all. The statistics have at most four buckets by four
     bins, so they are broadcast.
     """
-    cuts = f.where(train).agg(F.array_distinct(F.percentile("prior_product_review_count", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).alias("_cuts"))
+    count = F.col("prior_product_review_count")
+    cuts = quantiles(f.where(train), {f"_q{i}": (count, i / 4) for i in (1, 2, 3)}).select(F.array_distinct(F.array("_q1", "_q2", "_q3")).alias("_cuts"))
     f = f.crossJoin(F.broadcast(cuts)).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c <= F.col("prior_product_review_count")))).drop("_cuts")
-    part = f.where(train)
-    pair = lambda p: [F.percentile("word_len", 0.25).alias(f"{p}25"), F.median("word_len").alias(f"{p}50")]
-    f = f.join(F.broadcast(part.groupBy("rating_bucket", "_bin").agg(*pair("_g"))), ["rating_bucket", "_bin"], "left")
-    f = f.join(F.broadcast(part.groupBy("rating_bucket").agg(*pair("_b"))), "rating_bucket", "left").crossJoin(F.broadcast(part.agg(*pair("_a"))))
+    part = cut(f.where(train).select("rating_bucket", "_bin", "word_len"))
+    pair = lambda p: {f"{p}25": (F.col("word_len"), 0.25), f"{p}50": (F.col("word_len"), 0.5)}
+    f = f.join(F.broadcast(quantiles(part, pair("_g"), ["rating_bucket", "_bin"])), ["rating_bucket", "_bin"], "left")
+    f = f.join(F.broadcast(quantiles(part, pair("_b"), ["rating_bucket"])), "rating_bucket", "left").crossJoin(F.broadcast(quantiles(part, pair("_a"))))
     q25, median = F.coalesce("_g25", "_b25", "_a25"), F.coalesce("_g50", "_b50", "_a50")
     short = (F.col("word_len") <= q25).cast("long")
     return f.withColumns(
@@ -36,7 +40,8 @@ def text_sufficiency(f: DataFrame, train: Column) -> DataFrame:
 def product_prior_context(f: DataFrame, train: Column) -> DataFrame:
     """Standardised deviation from the product's prior mean, recent shares of its history, and a short-history flag."""
     std, n = F.col("prior_product_rating_std"), F.col("prior_product_review_count")
-    one = f.where(train).agg(F.greatest(F.coalesce(F.percentile(F.when(std > 0, std), 0.25), F.lit(1.0)), F.lit(1e-6)).alias("_floor"), F.percentile("prior_product_review_count", 0.25).alias("_low"))
+    one = quantiles(f.where(train), {"_std": (F.when(std > 0, std), 0.25), "_low": (n, 0.25)})
+    one = one.select(F.greatest(F.coalesce("_std", F.lit(1.0)), F.lit(1e-6)).alias("_floor"), "_low")
     dev = F.col("rating_deviation_from_prior_product_mean") / F.greatest(F.coalesce(std, F.col("_floor")), F.col("_floor"))
     least = F.greatest(n, F.lit(1))
     return f.crossJoin(F.broadcast(one)).withColumns(
@@ -62,25 +67,33 @@ def campaign_quality(f: DataFrame) -> DataFrame:
     ).drop("_users")
 
 
+#: Reviews of a product week whose pairs a join may make.
+SMALL_WEEK = 64
+
+
 def template_similarity(f: DataFrame, vectors: DataFrame, train: Column) -> DataFrame:
     """Adds max_sim, top3_sim and high_sim: cosine with the other reviews of the product week.
 
     A review's likeness to itself counts as 0 among the values, so neither is negative; the mean is over three values or
-    as many as there are others. high_sim is 1 from the training rows' 0.9 quantile of max_sim on.
+    as many as there are others. Weeks of up to SMALL_WEEK reviews meet by a join, larger ones in blocks (``nearest``), which
+    hand on four values a review. high_sim is 1 from the training rows' 0.9 quantile of max_sim on.
     """
     v = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
     e = f.join(v, "vec_id").select("prod_id", "week", "review_id", "v", "norm")
-    side = lambda p: e.select("prod_id", "week", *[F.col(c).alias(f"{p}_{c}") for c in ("review_id", "v", "norm")])
+    e = e.withColumn("n", F.count("*").over(Window.partitionBy("prod_id", "week")))
+    side = lambda p: e.where(F.col("n") <= SMALL_WEEK).select("prod_id", "week", *[F.col(c).alias(f"{p}_{c}") for c in ("review_id", "v", "norm")])
     norm = F.col("a_norm") * F.col("b_norm")
-    same = F.col("a_review_id") == F.col("b_review_id")
-    sim = F.when(same | (norm == 0), 0.0).otherwise(clip(dot(F.col("a_v"), F.col("b_v")) / norm, -1.0, 1.0))
-    pairs = side("a").join(side("b"), ["prod_id", "week"]).select(F.col("a_review_id").alias("review_id"), sim.alias("sim"))
-    of = Window.partitionBy("review_id")
-    ranked = pairs.select("review_id", "sim", F.row_number().over(of.orderBy(F.desc("sim"))).alias("k"), F.count("*").over(of).alias("n"))
+    sim = F.when(norm == 0, 0.0).otherwise(clip(dot(F.col("a_v"), F.col("b_v")) / norm, -1.0, 1.0))
+    small = side("a").join(side("b"), ["prod_id", "week"]).where("a_review_id <> b_review_id").select(F.col("a_review_id").alias("review_id"), sim.alias("sim"))
+    large = e.where(F.col("n") > SMALL_WEEK).select("prod_id", "week", F.col("review_id").alias("src"), "v")
+    near = nearest(large, large.select("prod_id", "week", F.col("src").alias("dst"), "v", F.col("src").alias("rank_as")), ["prod_id", "week"], 4)  # one of the four may be the review itself
+    values = small.unionByName(near.where("src <> dst").select(F.col("src").alias("review_id"), "sim"))
+    values = values.unionByName(e.select("review_id", F.lit(0.0).alias("sim"))).join(e.select("review_id", "n"), "review_id")
+    ranked = values.withColumn("k", F.row_number().over(Window.partitionBy("review_id").orderBy(F.desc("sim"))))
     best = ranked.where("k <= least(3, greatest(n - 1, 1))").groupBy("review_id").agg(F.max("sim").alias("max_sim"), F.avg("sim").alias("top3_sim"))
-    f = f.join(best, "review_id", "left").fillna(0.0, ["max_sim", "top3_sim"])
-    cut = f.where(train).agg(F.percentile("max_sim", 0.9).alias("_cut"))
-    return f.crossJoin(F.broadcast(cut)).withColumn("high_sim", (F.round("max_sim", 9) >= F.round("_cut", 9)).cast("long")).drop("_cut")
+    f = cut(f.join(best, "review_id", "left").fillna(0.0, ["max_sim", "top3_sim"]))
+    high = quantiles(f.where(train), {"_cut": (F.col("max_sim"), 0.9)})
+    return f.crossJoin(F.broadcast(high)).withColumn("high_sim", (F.round("max_sim", 9) >= F.round("_cut", 9)).cast("long")).drop("_cut")
 
 
 #: Feature columns of the compact profile that stay as they are, and those it adds.
@@ -96,10 +109,8 @@ def _compacted(f: DataFrame, vectors: DataFrame, train: Column) -> DataFrame:
     """``f`` with every column of the compact profile; cutoffs and medians come from training rows alone."""
     f = template_similarity(product_prior_context(text_sufficiency(f, train), train), vectors, train)
     user_std = F.col("prior_user_rating_std")
-    one = f.where(train).agg(
-        F.greatest(F.coalesce(F.percentile(F.when(user_std > 0, user_std), 0.25), F.lit(1.0)), F.lit(1e-6)).alias("_user_floor"),
-        F.percentile("prior_product_review_count", 0.75).alias("_high"),
-    )
+    one = quantiles(f.where(train), {"_std": (F.when(user_std > 0, user_std), 0.25), "_high": (F.col("prior_product_review_count"), 0.75)})
+    one = one.select(F.greatest(F.coalesce("_std", F.lit(1.0)), F.lit(1e-6)).alias("_user_floor"), "_high")
     dev, flag = F.col("standardized_rating_deviation_from_prior_product_mean"), lambda c: c.cast("long")
     user = F.col("rating_deviation_from_prior_user_mean") / F.greatest(F.coalesce(user_std, F.col("_user_floor")), F.col("_user_floor"))
     recent = flag(F.col("days_since_user_last_review").between(0, 30))
@@ -147,11 +158,12 @@ def directional_profile(f: DataFrame, vectors: DataFrame, train: Column, origina
     """
     f = _compacted(f, vectors, train)
     gap = F.round("abs_standardized_user_rating_deviation_from_prior_mean", 9)
-    cut = f.where(train & (F.col("prior_user_review_count") > 0)).agg(F.coalesce(F.percentile(F.when(gap > 0, gap), 0.25), F.percentile(gap, 0.5), F.lit(0.0)).alias("_cut"))
+    cutoff = quantiles(f.where(train & (F.col("prior_user_review_count") > 0)), {"_positive": (F.when(gap > 0, gap), 0.25), "_median": (gap, 0.5)})
+    cutoff = cutoff.select(F.coalesce("_positive", "_median", F.lit(0.0)).alias("_cut"))
     up, down = (F.col(f"{s}_standardized_rating_deviation_from_prior_product_mean") for s in ("positive", "negative"))
     sparse = ((F.col("is_new_user_at_review_time") == 1) | (F.col("prior_user_review_count") <= 1)).cast("long")
     consistent = F.col("returning_recent_user_30d_flag") * (gap <= F.round("_cut", 9)).cast("long")
-    f = f.crossJoin(F.broadcast(cut)).withColumns(
+    f = f.crossJoin(F.broadcast(cutoff)).withColumns(
         {
             "positive_promotion_low_reputation_shock": up * F.col("low_product_reputation_by_train_q25"),
             "negative_attack_high_reputation_shock": down * F.col("high_product_reputation_by_train_q75"),

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewloom.operators.stats import quantiles
+
 #: Quantiles of the shock impact, tried in this order until the chosen reviews fit the budget.
 LADDER = (0.0, 0.25, 0.50, 0.60, 0.70, 0.75, 0.80, 0.90, 0.95)
 
@@ -31,8 +33,9 @@ def ladder_threshold(reached: DataFrame, max_nodes: int, taken: int = 0) -> tupl
 
     Two rows of nine numbers are fetched.
     """
-    cuts = reached.agg(F.percentile("impact", F.array(*[F.lit(q) for q in LADDER])).alias("c")).first()["c"]
-    if not cuts:
+    found = quantiles(reached, {f"c{i}": (F.col("impact"), q) for i, q in enumerate(LADDER)}).first()
+    cuts = [found[f"c{i}"] for i in range(len(LADDER))]
+    if cuts[0] is None:
         return None, None
     counts = reached.agg(*[F.count_if(F.col("reach") >= c).alias(f"n{i}") for i, c in enumerate(cuts)]).first()
     return next((c for i, c in enumerate(cuts) if counts[i] + taken <= max_nodes), None), cuts[-1]
