@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.operators.stats import quantiles
+from reviewloom.sources import cut
 
 SHIFTS = ["same_dir_log_count_lift_4w", "total_log_count_lift_4w", "direction_concentration_lift_4w", "new_user_ratio_lift_4w", "short_review_ratio_lift_4w", "word_len_drop_ratio_4w", "abuse_burst_behavior_score_4w"]
 #: Fixed values, this map and the next: sources of the quantile flags in absolute mode.
@@ -56,10 +57,12 @@ def flagged(units: DataFrame, mode: str = "absolute", quantile: float = 0.75, mi
     if mode not in ("absolute", "relative"):
         raise ValueError(f"unknown flag mode {mode!r}")
     sources = ABSOLUTE if mode == "absolute" else RELATIVE
-    units = units.withColumn("base_candidate", (F.col("n_reviews") >= min_reviews) & (F.col("n_users") >= min_users))
+    # The units are written once, as cutoffs and flags read them several times.
+    units = cut(units.withColumn("base_candidate", (F.col("n_reviews") >= min_reviews) & (F.col("n_users") >= min_users)))
     base = units.where("base_candidate")
     if mode == "relative":
-        positive = base.where("prior_product_rating_std_median > 0").agg(F.greatest(F.coalesce(F.percentile("prior_product_rating_std_median", 0.25), F.lit(1.0)), F.lit(1e-6)).alias("_floor"))
+        std = F.col("prior_product_rating_std_median")
+        positive = quantiles(base, {"_std": (F.when(std > 0, std), 0.25)}).select(F.greatest(F.coalesce("_std", F.lit(1.0)), F.lit(1e-6)).alias("_floor"))
         scaled = lambda u: u.crossJoin(F.broadcast(positive)).withColumn("standardized_mean_abs_rating_dev", F.col("mean_abs_rating_dev") / F.greatest(F.col("prior_product_rating_std_median"), F.col("_floor"))).drop("_floor")
         units, base = scaled(units), scaled(base)
     cuts = quantiles(base, {f"_{flag}": (F.col(c), quantile) for flag, c in sources.items()})  # one row

@@ -33,3 +33,20 @@ def test_only_new_pairs_use_up_a_place(spark, targets, seed):
         got = similar.risk_text(f, v, threshold=0.5, k=k, targets=targets, new_only=new_only).collect()
         assert {frozenset((e.src, e.dst)) for e in got} == want and len(got) == 2 * len(want)
     assert pairs > any_pairs or len(pairs) > len(any_pairs)
+
+
+def test_likeness_of_large_weeks_in_blocks_is_that_of_a_join(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from reviewloom.operators import profiles
+
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.integers(0, 2)), "w", int(rng.integers(0, 12))) for i in range(40)] + [(99, 7, "w", 3)]
+    f = spark.createDataFrame(rows, "review_id long, prod_id long, week string, vec_id long").withColumn("is_train", F.col("review_id") % 3 > 0)
+    v = spark.createDataFrame([(i, [0.0, 0.0] if i == 0 else x.tolist()) for i, x in enumerate(rng.normal(size=(12, 2)))], "vec_id long, embedding array<double>")
+    got = []
+    for most in (1000, 3):
+        monkeypatch.setattr(profiles, "SMALL_WEEK", most)
+        made = profiles.template_similarity(f, v, F.col("is_train"))
+        got.append({r.review_id: (round(r.max_sim, 8), round(r.top3_sim, 8), r.high_sim) for r in made.collect()})
+    assert got[0] == got[1] and got[0][99] == (0.0, 0.0, 0)
