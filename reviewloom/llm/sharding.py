@@ -36,15 +36,16 @@ def jump_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_
 
     Returns id, size (UTF-8 bytes of the text plus 8), text_crc32, law (``key``), shard, slot, grown_shard (the shard
     with one shard more: the same, or the new one) and key (what is hashed: an integer id itself, else its hash).
-    A null id counts as key 0; a null text has no bytes and the checksum of the empty text. Repeated rows get a slot
+    A row without an id is placed by a hash of its text, so many
+    of them are no one shard; a null text has no bytes and the checksum of the empty text. Repeated rows get a slot
     each. Slots follow the key within a shard and have no gaps. Only ids and checksums are shuffled, never texts: keys
     are cut at quantiles into blocks of about BLOCK_ROWS rows of a shard, a prefix sum over the block counts gives
     each block its first slot, and rows are numbered inside their block.
     """
     whole = dict(docs.select(id_col).dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint")
     given = F.col(id_col)
-    key = F.coalesce(given.cast("long") if whole else F.xxhash64(given), F.lit(0).cast("long"))
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
+    key = F.when(given.isNull(), F.xxhash64(F.lit("no id"), text)).otherwise(given.cast("long") if whole else F.xxhash64(given))
     rows = docs.select(given.alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), key.alias("key"))
     n = rows.count()
     blocks = max(1, math.ceil(n / (shards * BLOCK_ROWS)))

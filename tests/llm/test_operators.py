@@ -76,6 +76,9 @@ def test_shards(spark, docs, hard, none):
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
     assert sharding.jump_shards(hard).count() == len(HARD)
     assert sharding.jump_shards(none).count() == 0
+    lost = spark.range(2400).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    found = sharding.jump_shards(lost).groupBy("shard").count().collect()
+    assert len(found) == 24 and max(r["count"] for r in found) < 200
 
 
 # Line dedup
