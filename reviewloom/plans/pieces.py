@@ -8,11 +8,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from reviewloom.functions import bin_right, clip, finite, safe_ratio
-from reviewloom.operators import anchors, edges, history, units
+from reviewloom.operators import anchors, edges, history, stats, units
 from reviewloom.plans.base import FEATURES_SQL, QUERIES, SQL, features, register, register_columns, rounded, texts
 from reviewloom.plans.edges import _ABSOLUTE, _LAST, _PRIOR, _TYPED, typed_edges
 from reviewloom.plans.reviews import _SAMPLED, _SPLIT, _UNITS, _flag_sql, _sampled
-from reviewloom.sources import reviews, standardize, table
+from reviewloom.sources import cut, reviews, scratch, standardize, table, write_summary
 
 _F = f"WITH {FEATURES_SQL}"
 
@@ -199,6 +199,41 @@ register(
 )
 
 
+_POINTS = (0.5, 0.75, 0.8, 0.85, 0.9, 0.95, 0.975, 0.99, 0.995)
+
+
+def _sampling_summary(s, d):
+    """The summary of a sampling as one nested document: input, quantiles of units, candidates, what was selected and how
+    common each flag is there; written, read, and laid flat."""
+    f = cut(features(s, d).drop("text_hash"))
+    u = units.flagged(units.product_week_units(f), "relative")
+    chosen = cut(units.sampled_nodes(f, u))
+    people = [F.count_distinct("prod_id").alias("products"), F.count_distinct("user_id").alias("users")]
+    given = f.agg(F.struct(F.count("*").alias("nodes"), *people).alias("input"))
+    points = stats.quantiles(u, {f"{c}_{i}": (F.col(c), q) for c in ("n_reviews", "n_users") for i, q in enumerate(_POINTS)})
+    points = points.select(F.struct(*[F.array(*[f"{c}_{i}" for i in range(len(_POINTS))]).alias(c) for c in ("n_reviews", "n_users")]).alias("quantiles"))
+    base = u.agg(F.count("*").alias("units"), F.struct(F.count_if("base_candidate").alias("units"), F.coalesce(F.sum(F.when(F.col("base_candidate"), F.col("n_reviews"))), F.lit(0)).alias("nodes")).alias("base_candidates"), F.struct(*[F.coalesce(F.sum(F.when(F.col("selected"), F.col(c))), F.lit(0)).alias(c) for c in _FLAGS]).alias("flags"), F.count_if("selected").alias("selected_units"))
+    got = chosen.agg(F.struct(F.count("*").alias("nodes"), *people, F.min("date").cast("string").alias("date_min"), F.max("date").cast("string").alias("date_max"), F.sum("is_fake").alias("fake"), F.avg("is_fake").alias("fake_rate")).alias("selected"))
+    path = scratch(s, "summary")
+    whole = given.crossJoin(points).crossJoin(base).crossJoin(got)
+    write_summary(whole, path)
+    back = s.read.schema(whole.schema).json(path)
+    flat = [*(f"input.{c}" for c in ("nodes", "products", "users")), "base_candidates.units", "base_candidates.nodes", *(f"selected.{c}" for c in ("nodes", "products", "users", "date_min", "date_max", "fake", "fake_rate")), *(f"flags.{c}" for c in _FLAGS)]
+    return rounded(back.select("units", "selected_units", *[F.col(c).alias(c.replace(".", "_")) for c in flat], *[F.col(f"quantiles.{c}")[i].alias(f"{c}_q{i}") for c in ("n_reviews", "n_users") for i in range(len(_POINTS))]))
+
+
+register(
+    "ag25_sampling",
+    _sampling_summary,
+    _flag_sql(units.RELATIVE) + ", ns AS (SELECT f.* FROM f SEMI JOIN v ON v.prod_id = f.prod_id AND v.week = f.week AND v.selected) SELECT (SELECT count(*) FROM v) AS units, (SELECT count(*) FROM v WHERE selected) AS selected_units, "
+    + ", ".join(f"(SELECT {x} FROM {t}) AS {n}_{c}" for n, t in (("input", "f"), ("selected", "ns")) for c, x in (("nodes", "count(*)"), ("products", "count(DISTINCT prod_id)"), ("users", "count(DISTINCT user_id)")))
+    + ", (SELECT count(*) FROM v WHERE base_candidate) AS base_candidates_units, (SELECT CAST(coalesce(sum(n_reviews), 0) AS BIGINT) FROM v WHERE base_candidate) AS base_candidates_nodes, (SELECT CAST(min(date) AS VARCHAR) FROM ns) AS selected_date_min, (SELECT CAST(max(date) AS VARCHAR) FROM ns) AS selected_date_max, "
+    "(SELECT CAST(sum(is_fake) AS BIGINT) FROM ns) AS selected_fake, (SELECT round(avg(is_fake), 6) FROM ns) AS selected_fake_rate, "
+    + ", ".join(f"(SELECT CAST(coalesce(sum({c}), 0) AS BIGINT) FROM v WHERE selected) AS flags_{c}" for c in _FLAGS)
+    + ", " + ", ".join(f"(SELECT round(quantile_cont({c}, {q}), 6) FROM v) AS {c}_q{i}" for c in ("n_reviews", "n_users") for i, q in enumerate(_POINTS)),
+)
+
+
 def _structure(s, d):
     c = _nodes(s, d).groupBy("prod_id", "rating").agg(F.count("*").alias("c"), F.sum("is_fake").alias("fake"))
     p = F.col("c") / F.sum("c").over(Window.partitionBy("prod_id"))
