@@ -10,7 +10,7 @@ from reviewloom.operators import checks, edges, units
 from reviewloom.plans.base import FEATURES_SQL, features, register, rounded, texts
 from reviewloom.plans.edges import _LAST, _PRIOR, _TYPED, typed_edges
 from reviewloom.plans.reviews import _SAMPLED, _SPLIT, _sampled
-from reviewloom.sources import read_json, read_reviews, reviews, scratch, standardize, table, write_csv, write_summary, write_table
+from reviewloom.sources import read_json, read_reviews, replace_summary, reviews, scratch, standardize, table, write_csv, write_summary, write_table
 
 _F = f"WITH {FEATURES_SQL}"
 
@@ -140,11 +140,13 @@ register("snk01", lambda s, d: rounded(_csv(s, d).select("review_id", "rating",
 
 
 def _sampled_tables(s, d):
+    """Three tables of a sampling, written and read together: each node with its unit's and text's rows found again."""
     f = _kept(s, _sampled(s, d).select("review_id", "user_id", "prod_id", "week", "doc_id"), "sampled")
-    return _rows({"nodes": f, "units": _kept(s, f.select("prod_id", "week").distinct(), "units"), "texts": _kept(s, f.select("doc_id").distinct(), "texts")})
+    parts = _kept(s, f.groupBy("prod_id", "week").agg(F.count("*").alias("unit_rows")), "units"), _kept(s, texts(s, d).join(f.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text_hash"), "texts")
+    return f.join(parts[0], ["prod_id", "week"], "left").join(parts[1], "doc_id", "left").select("review_id", "prod_id", "week", "unit_rows", "text_hash")
 
 
-register("snk02", _sampled_tables, _SAMPLED + " SELECT 'nodes' AS name, count(*) AS rows FROM n UNION ALL SELECT 'units', count(DISTINCT (prod_id, week)) FROM n UNION ALL SELECT 'texts', count(DISTINCT doc_id) FROM n")
+register("snk02", _sampled_tables, _SAMPLED + " SELECT review_id, prod_id, week, count(*) OVER (PARTITION BY prod_id, week) AS unit_rows, text_hash FROM n")
 register(
     "snk03",
     lambda s, d: _kept(s, table(s, d, "embeddings").join(_sampled(s, d).select("vec_id"), "vec_id", "left_semi").select("vec_id", "label"), "vectors"),
@@ -154,11 +156,14 @@ register("snk04", lambda s, d: _kept(s, typed_edges(s, d), "edges", ["edge_type"
 
 
 def _no_edges(s, d):
+    """An edge table without a row keeps its columns: joined to the nodes read back, it gives each a degree of 0."""
     empty = s.createDataFrame([], T.StructType([T.StructField(c, T.LongType()) for c in ("src", "dst", "edge_type")]))
-    return _rows({"nodes": _kept(s, _nodes(s, d).select("review_id"), "nodes"), "edges": _kept(s, empty, "edges")})
+    nodes, links = _kept(s, _nodes(s, d).select("review_id", "is_fake"), "nodes"), _kept(s, empty, "edges")
+    degree = links.groupBy(F.col("dst").alias("review_id")).agg(F.count("edge_type").alias("degree"))
+    return nodes.join(degree, "review_id", "left").select("review_id", "is_fake", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-register("snk05", _no_edges, _F + " SELECT 'nodes' AS name, count(*) AS rows FROM r UNION ALL SELECT 'edges', 0")
+register("snk05", _no_edges, _F + " SELECT review_id, CAST(is_fake AS BIGINT) AS is_fake, CAST(0 AS BIGINT) AS degree FROM r")
 
 
 def _graph_tables(s, d):
@@ -181,12 +186,14 @@ register("snk14", lambda s, d: _kept(s, units.temporal_split(_nodes(s, d)).selec
 
 
 def _updated(s, d):
-    """The one row of a summary with a new figure: read, rewritten beside the old one, read again."""
-    old = _kept(s, _nodes(s, d).agg(F.count("*").alias("reviews"), F.lit(0.5).alias("threshold")), "active")
-    return rounded(_kept(s, old.withColumn("threshold", F.lit(0.794)), "active"))
+    """The one row of a summary with a new figure, in the place of the old one."""
+    path = scratch(s, "active")
+    write_summary(_nodes(s, d).agg(F.count("*").alias("reviews"), F.lit(0.5).alias("threshold"), F.avg("is_fake").alias("fake_rate")), path)
+    replace_summary(s.read.json(path).withColumn("threshold", F.lit(0.794)), path)
+    return rounded(s.read.json(path))
 
 
-register("snk18", _updated, _F + " SELECT count(*) AS reviews, CAST(0.794 AS DOUBLE) AS threshold FROM r")
+register("snk18", _updated, _F + " SELECT count(*) AS reviews, CAST(0.794 AS DOUBLE) AS threshold, round(avg(is_fake), 6) AS fake_rate FROM r")
 
 # Checks of inputs.
 register("val02", lambda s, d: checks.input_violations(_broken_nodes(s, d), ["review_id", "user_id", "date", "missing"], _nodes(s, d).count()), _F + ", vb AS (SELECT review_id, CASE WHEN review_id % 9 <> 4 THEN date END AS date FROM r WHERE review_id % 11 <> 0) SELECT CAST(1 AS BIGINT) AS missing_columns, count(*) FILTER (date IS NULL) AS null_dates, (SELECT count(*) FROM r) - count(*) AS rows_short FROM vb")

@@ -102,6 +102,20 @@ def write_summary(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def replace_summary(df: DataFrame, path: str) -> None:
+    """Put a new summary in the place of the one at ``path``, of which it may be made: the new one is written whole beside
+    it, and then two renames exchange them, so a reader finds either the old or the new one."""
+    spark = df.sparkSession
+    write_summary(df, f"{path}.new")
+    of = lambda end: spark._jvm.org.apache.hadoop.fs.Path(path + end)
+    files = of("").getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(of(".old"), True)
+    for start, end in (("", ".old"), (".new", "")):
+        if not files.rename(of(start), of(end)):
+            raise OSError(f"{path}{start} could not be moved")
+    files.delete(of(".old"), True)
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
