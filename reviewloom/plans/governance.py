@@ -156,14 +156,19 @@ it AS (SELECT 'validation_selected' AS policy_item, t AS value FROM (SELECT t FR
 SELECT policy_item, round(CAST(value AS DOUBLE), 6) AS value, count(*) FILTER (score >= value) AS flagged, count(*) FILTER (score >= value AND is_fake = 1) AS right FROM ev, it WHERE split = 'test' GROUP BY ALL""",
 )
 
-_ROLE_OF = F.when(F.col("c_custkey") % 10 == 0, "admin").when(F.col("c_custkey") % 3 == 0, "reviewer").otherwise("viewer")
+
+
+def _role():
+    return F.when(F.col("c_custkey") % 10 == 0, "admin").when(F.col("c_custkey") % 3 == 0, "reviewer").otherwise("viewer")
+
+
 _ROLES_SQL = "(VALUES " + ", ".join(str(r) for r in checks.ROLES) + ") AS a(" + ", ".join(x.split()[0] for x in checks.ROLE_SCHEMA.split(", ")) + ")"
 
 
 def _permitted(s, d):
     """Each customer's account looked up in the role table: how many of a segment may read, export and change."""
     roles = s.createDataFrame(checks.ROLES, checks.ROLE_SCHEMA)
-    met = table(s, d, "customer").select("c_mktsegment", _ROLE_OF.alias("role")).join(F.broadcast(roles), "role")
+    met = table(s, d, "customer").select("c_mktsegment", _role().alias("role")).join(F.broadcast(roles), "role")
     return met.groupBy("c_mktsegment").agg(*[F.count_if(c).alias(c) for c in ("may_read", "may_export", "may_change")])
 
 
