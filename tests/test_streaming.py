@@ -51,3 +51,14 @@ def test_weeks_begin_on_monday_and_a_batch_run_again_replaces_its_own(spark, tmp
         streaming.start_weekly(spark, f"{path}/out", f"{path}/weeks", f"{path}/checkpoint-weeks").awaitTermination()
     got = {str(r.week): (r.n, r.new_users, r.words) for r in streaming.latest_weeks(spark, f"{path}/weeks").collect()}
     assert got == {"2024-01-01": (1, 1, 3), "2024-01-08": (2, 2, 6)}
+
+
+def test_weeks_of_many_files_are_one_batch(spark, tmp_path):
+    """A history of as many files as there are tasks is no series of small batches."""
+    from reviewloom import streaming
+
+    rows = spark.range(60).selectExpr("id AS review_id", "id % 7 AS user_id", "id % 3 AS prod_id", "date_add(DATE'2024-01-01', CAST(id AS INT)) AS date", "1L AS rating_direction", "0L AS short_review_flag", "5L AS word_len", "0L AS prior_user_review_count", "0D AS prior_user_avg_rating", "0D AS prior_user_rating_std", "0D AS prior_user_extreme_ratio", "1L AS is_new_user_at_review_time", "-1L AS days_since_user_last_review", "false AS late")
+    rows.repartition(20).write.parquet(f"{tmp_path}/history")
+    streaming.start_weekly(spark, f"{tmp_path}/history", f"{tmp_path}/weeks", f"{tmp_path}/checkpoint", "36500 days", None).awaitTermination()
+    assert len(list((tmp_path / "weeks").glob("part=*"))) == 1
+    assert streaming.latest_weeks(spark, f"{tmp_path}/weeks").groupBy().sum("n").first()[0] == 60
