@@ -17,7 +17,7 @@ _INPUTS = ["review_id", "user_id", "prod_id", "date", "week", "rating", "rating_
 
 def _parts(s, d, mode="relative"):
     """The reviews and the units with their roles, both written first: each is read for several cutoffs."""
-    f = cut(features(s, d))
+    f = cut(features(s, d).select(*dict.fromkeys([*_INPUTS, *units.UNIT])))
     u = cut(roles.burst_roles(cut(units.flagged(units.product_week_units(f), mode))))
     return f.select(*_INPUTS), u
 
