@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reviewloom.functions import cosine, week_of
+from reviewloom.functions import clip, dot, week_of
 from reviewloom.operators import edges, similar
 from reviewloom.plans.base import FEATURES_SQL, features, register, rounded
 from reviewloom.plans.edges import _F
@@ -42,20 +42,28 @@ register(
 )
 
 
+def _dated(s, d):
+    return standardize(reviews(s, d)).withColumn("week", week_of(F.col("date")))
+
+
 def _pair_likeness(s, d):
-    """Cosine of the texts' vectors at both ends of prior-context edges: each end looks its vector up by key."""
-    n = standardize(reviews(s, d)).withColumn("week", week_of(F.col("date")))
-    vectors = table(s, d, "embeddings").select("vec_id", "embedding")
-    end = lambda p: n.join(vectors, "vec_id").select(F.col("review_id").alias(p), F.col("date").alias(f"{p}_date"), F.col("embedding").alias(f"{p}_v"))
-    met = edges.prior_context(n, 6).join(end("src"), "src").join(end("dst"), "dst")
-    return met.select("src", "dst", F.round(cosine(F.col("src_v"), F.col("dst_v")), 9).alias("score"), F.datediff("dst_date", "src_date").alias("days_apart"))
+    """Cosine of the texts' vectors at both ends of prior-context edges. A source is known by its product's week, so edges are
+    thin rows until their vectors, with the length of each, are looked up by key."""
+    n, v = _dated(s, d), table(s, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    lengths = v.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
+    met = n.join(edges.context_sources(n, 6, "vec_id"), ["prod_id", "week"]).select(F.col("e.review_id").alias("src"), F.col("e.vec_id").alias("src_vec"), F.col("review_id").alias("dst"), F.col("vec_id").alias("dst_vec"))
+    end = lambda p: lengths.select(*[F.col(c).alias(f"{p}_{x}") for c, x in (("vec_id", "vec"), ("v", "v"), ("norm", "norm"))])
+    met = met.join(end("src"), "src_vec").join(end("dst"), "dst_vec")
+    norm = F.col("src_norm") * F.col("dst_norm")
+    score = F.when(norm > 0, clip(dot(F.col("src_v"), F.col("dst_v")) / norm, -1.0, 1.0)).otherwise(F.lit(0.0))
+    return met.select("src", "dst", F.round(score, 9).alias("score"))
 
 
 _LIKENESS = f"""WITH {FEATURES_SQL}, jc AS (SELECT a.review_id AS src, b.review_id AS dst, a.vec_id AS av, b.vec_id AS bv, b.date - a.date AS apart FROM a JOIN a b ON a.prod_id = b.prod_id AND a.week < b.week QUALIFY row_number() OVER (PARTITION BY b.review_id ORDER BY a.date DESC, a.review_id DESC) <= 6),
 jl AS (SELECT src, dst, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 9) AS score, apart FROM jc JOIN embeddings x ON x.vec_id = av JOIN embeddings y ON y.vec_id = bv)"""
-register("jn16", lambda s, d: rounded(_pair_likeness(s, d).select("src", "dst", "score")), _LIKENESS + " SELECT src, dst, round(score, 6) AS score FROM jl")
+register("jn16", lambda s, d: rounded(_pair_likeness(s, d)), _LIKENESS + " SELECT src, dst, round(score, 6) AS score FROM jl")
 register(
     "so05",
-    lambda s, d: rounded(edges.top_k(_pair_likeness(s, d), 2, F.desc("score"), F.col("days_apart"), F.col("dst"))),
+    lambda s, d: rounded(edges.likest_after(_dated(s, d), table(s, d, "embeddings"), 6, 2)),
     _LIKENESS + " SELECT src, dst, round(score, 6) AS score, CAST(apart AS BIGINT) AS days_apart FROM jl QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, apart, dst) <= 2",
 )
