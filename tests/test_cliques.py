@@ -30,3 +30,12 @@ def test_capped_clique(spark, cap):
     df = spark.createDataFrame(rows, "k long, date string, review_id long").selectExpr("k", "cast(date as date) as date", "review_id")
     got = [tuple(r) for r in capped_clique(df, ["k"], cap).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_no_group_goes_to_python(spark):
+    """Which members are linked is told by patterns, of groups on both sides of the bound; members are read once."""
+    df = spark.createDataFrame([(1, i) for i in range(200)] + [(2, i) for i in range(300, 320)], "k long, review_id long").selectExpr("k", "review_id", "date '2024-01-01' as date")
+    made = capped_clique(df, ["k"], 5)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "InPandas" not in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") <= 3
+    assert {tuple(r) for r in made.collect()} == plain(list(range(200)), 5) | plain(list(range(300, 320)), 5)
