@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reviewloom.operators import profiles, sampling, units
-from reviewloom.plans.base import FEATURES_SQL, QUERIES, SQL, features, register, rounded
+from reviewloom.plans.base import FEATURES_SQL, QUERIES, SQL, features, register, rounded, written_features
 from reviewloom.plans.models import _PARTS
 from reviewloom.plans.reviews import _flag_sql, _sampled
 from reviewloom.sources import cut, table
@@ -57,7 +57,7 @@ def _whole(legacy: bool, budget: int) -> str:
 
 def _rows(s, d):
     """What units and seeds take of the feature frame, written once."""
-    return cut(features(s, d).select(*dict.fromkeys([*sampling.REACH, *units.UNIT])))
+    return written_features(s, d, [*sampling.REACH, *units.UNIT])
 
 
 def _flagged(f):
