@@ -159,6 +159,28 @@ def test_short_passages_in_other_surroundings_go(spark):
     assert not any(p in made[10 * k + c] or p.split("\n")[0] in made[10 * k + c] for k, p in enumerate(passages) for c in (1, 2))
 
 
+def test_line_chunks_end_where_a_rolling_hash_says(spark):
+    """Ends depend on two lines only: a shared run has the same chunks in any surroundings, all lie between ends, each two
+    adjacent lines lie in one, and most have more than two lines."""
+    rng = np.random.default_rng(4)
+    say = lambda n: "".join(" ".join(f"w{x}" for x in rng.integers(0, 10**9, 7)) + "\n" for _ in range(n))
+    shared = say(80)
+    texts = {1: say(11) + shared + say(5), 2: shared + say(23), 3: say(2) + shared[: len(shared) // 2] + say(1) + shared[len(shared) // 2 :], 4: "one\n", 5: "", 6: "a\nb\n"}
+    df = spark.createDataFrame(list(texts.items()), "_id long, _text string")
+    found = {}
+    for r in line_dedup.chunks(df, "_text", inside=True).orderBy("_id", "start").collect():
+        found.setdefault(r["_id"], []).append(r)
+    assert set(found) == {1, 2, 3, 6}
+    for k, own in found.items():
+        assert own[0]["start"] == 0 and own[-1]["start"] + own[-1]["size"] == len(plain_lines(texts[k]))
+        assert all(b["start"] == a["start"] + a["size"] - 1 for a, b in zip(own, own[1:]))
+        assert sum(len(r["pairs"]) for r in own) == 16 * (len(plain_lines(texts[k])) - 1)
+    sizes = [r["size"] for r in found[1]]
+    assert 3.5 < sum(sizes) / len(sizes) < 8 and len(set(sizes)) > 3
+    hashes = [{bytes(r["hash"]) for r in found[k]} for k in (1, 2, 3)]
+    assert len(hashes[0] & hashes[1]) >= 10 and len(hashes[0] & hashes[2]) >= len(hashes[0] & hashes[1]) - 3
+
+
 # Quality rules
 
 
